@@ -1,6 +1,6 @@
 """Registered queries of the library over the driver's tables, and the SQL that checks them."""
 
-from __future__ import annotations
+from leadweave.plans import resolution  # noqa: F401
+from leadweave.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
