@@ -11,18 +11,21 @@ too, for partners above it.
 Before two sets are compared, counts of their elements by hash range (about a byte for three elements)
 give an upper bound of what they have in common; only pairs that pass it need the sets themselves.
 
-A list isn't expanded into pairs. First each member is compared with one other of its list, and what
-links is one component; then members of different components are compared, each with all of the other
+A list isn't expanded into pairs. First each member is compared with the centre of its lists, and what
+links is one component; this is repeated for what is left, with the largest component's centre; then members of different components are compared, each with all of the other
 components in its lists. So no link between different components is lost, and a group of n near copies
 costs about n comparisons.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +33,8 @@ from leadweave.llm.flat import _ODD, mix, shingle_sets, slices
 from leadweave.llm.tables import written
 from leadweave.operators.components import connected_components
 
-#: Cells of the table of frequencies that tasks get, whatever the input: one byte each.
-CELLS = 1 << 21
-#: A shingle counts as frequent from so many documents; a task reports those it has so often in a row of documents.
-FREQUENT, REPORTED, FLUSH = 16, 3, 4_000_000
+#: Counters of shingles by hash, whatever the input; tasks get a byte of each. Counted in chunks.
+CELLS, CHUNK = 1 << 22, 1 << 16
 #: Ids up to which the documents to compare are found by a broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -63,25 +64,20 @@ def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     return int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
 
 
+def _cell(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(20)) & np.uint64(CELLS - 1)
+
+
 def _survey(df: DataFrame, width: int) -> DataFrame:
-    """A row per document: id, n, one, two (its set's 128 bits), sketch, times 0; and (one, times) of frequent shingles."""
+    """A row per document: doc, n, one, two (its set's 128 bits), sketch; and per task its counts of shingles by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
-
-        def flush() -> pa.RecordBatch:
-            values, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = times >= REPORTED
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(values[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(times[often].astype(np.int64)), pa.nulls(k, pa.binary())],
-                names=["doc", "n", "one", "two", "times", "sketch"],
-            )
-
+        counts = np.zeros(CELLS, np.int32)
+        names = ["doc", "n", "one", "two", "sketch", "part", "chunk", "counts"]
+        seen: set = set()
         for batch in batches:
             for lo, hi, texts in slices(batch.column(1)):
-                n, one, two, sketches = [], [], [], []
+                n, one, two, sketches, fresh = [], [], [], [], []
                 for items in shingle_sets(texts, width):
                     a, b = _signature(items)
                     n.append(len(items))
@@ -89,19 +85,48 @@ def _survey(df: DataFrame, width: int) -> DataFrame:
                     two.append(b)
                     sketches.append(sketch(items))
                     if len(items) and (a, b) not in seen:
-                        seen.add((a, b))
-                        held.append(items)
-                        size += len(items)
+                        if len(seen) < 1_000_000:
+                            seen.add((a, b))
+                        fresh.append(items)
+                if fresh:
+                    cell, times = np.unique(_cell(np.concatenate(fresh)), return_counts=True)
+                    counts[cell] += times.astype(np.int32)
+                k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array([0] * len(n), pa.int64()), pa.array(sketches, pa.binary())],
-                    names=["doc", "n", "one", "two", "times", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                    names=names,
                 )
-                if size >= FLUSH:
-                    yield flush()
-                    held, size, seen = [], 0, set()
-        yield flush()
+        part = TaskContext.get().partitionId()
+        parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(-1, CHUNK)]
+        k = len(parts)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array([part] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names
+        )
+
+    return df.mapInArrow(run, "doc bigint, n bigint, one bigint, two bigint, sketch binary, part int, chunk int, counts binary")
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(CHUNK, np.int64)
+    for blob in group["counts"]:
+        total += np.frombuffer(zlib.decompress(blob), np.int32)
+    total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+    return pd.DataFrame({"part": [0], "chunk": group["chunk"].iloc[:1].to_numpy(), "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    return df.mapInArrow(run, "doc bigint, n bigint, one bigint, two bigint, times bigint, sketch binary")
+
+def levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(level of each cell, mean length of a list of level 0).
+
+    A cell is the sum of many rare shingles; what it holds beyond their mean and four deviations is a
+    frequent one, of the level of its binary logarithm. What the cells of level 0 vary beyond chance
+    tells how often a shingle there repeats.
+    """
+    mean = float(np.median(counts))
+    excess = counts - (mean + 4 * np.sqrt(mean) + 8)
+    level = np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(counts - mean, 1))), 0).astype(np.uint8)
+    light = counts[level == 0].astype(float)
+    length = 1.0 if not light.mean() else max(1.0, float(light.var() / light.mean()))
+    return level, length
 
 
 def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndarray) -> DataFrame:
@@ -119,7 +144,7 @@ def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndar
                         continue  # one shingle has no partner but its equals; of equal sets one of a task stands for all
                     if len(seen) < 1_000_000:
                         seen.add(sign)
-                    level = cells[(items >> np.uint64(20)) & np.uint64(CELLS - 1)]
+                    level = cells[_cell(items)]
                     ordered = items[np.lexsort((items, level))]
                     p = n - least_overlap(n, percent)
                     mine = []
@@ -180,7 +205,7 @@ def choose_boundary(sizes: list[tuple[int, int]], list_length: float, percent: i
     return at
 
 
-def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundary: int | None = None, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of df, ids being long.
 
     Two documents link if 100 * intersection >= percent * union of their sets of word shingles (A-Z
@@ -192,38 +217,28 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
     """
     source = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     survey = written(_survey(source, width), "survey")
-    sets = survey.where("times = 0")
+    sets = survey.where("chunk is null").select("doc", "n", "one", "two", "sketch")
     live = sets.where("n > 0 and doc is not null")
     classes = written(live.groupBy("n", "one", "two").agg(F.min("doc").alias("rep")), "classes")
     equal = live.join(classes, ["n", "one", "two"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
 
-    often = written(survey.where("times > 0").groupBy("one").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT), "frequent")
-    cell = F.shiftrightunsigned("one", 20).bitwiseAND(F.lit(CELLS - 1))
-    level = often.groupBy(cell.alias("cell")).agg(F.max(F.floor(F.log2("times"))).cast("int").alias("level")).toPandas()  # <= CELLS rows
-    cells = np.zeros(CELLS, np.uint8)
-    cells[level["cell"].to_numpy(np.int64)] = level["level"].to_numpy(np.uint8)
+    # Added up in two steps, so that no group holds the counts of all tasks; CELLS numbers reach the driver.
+    tasks = survey.where("chunk is not null").select("part", "chunk", "counts").withColumn("share", F.pmod("part", F.lit(256)))
+    some = tasks.groupBy("chunk", "share").applyInPandas(_added, "part int, chunk int, counts binary")
+    total = some.groupBy("chunk").applyInPandas(_added, "part int, chunk int, counts binary").toPandas().sort_values("chunk")
+    counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int32) for c in total["counts"]] or [np.zeros(CELLS, np.int32)])
+    cells, length = levels(counts)
     if boundary is None:
-        # Sizes up to 200: a subset never pays beyond. Lists: as long as documents with a frequent shingle are many.
-        stat = often.agg(F.sum(F.col("times").cast("double") ** 2).alias("s"), F.sum("times").alias("t")).first()
-        weight = live.agg(F.sum("n")).first()[0] or 1
-        length = 1 + float(stat["s"] or 0) / weight
-        sizes = [(r["n"], r["count"]) for r in live.where("n <= 200").groupBy("n").count().collect()]
-        boundary = choose_boundary(sizes, min(length, 64.0), percent)
+        sizes = [(r["n"], r["count"]) for r in live.where("n <= 200").groupBy("n").count().collect()]  # a subset never pays beyond
+        boundary = choose_boundary(sizes, length, percent)
 
     keys = _keys(source, width, percent, boundary, cells)
     by_key = Window.partitionBy("key")
     lists = written(
-        keys.withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)}).where("low <> high"), "lists"
+        keys.withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)}).where("low <> high").select("key", "doc", "n"), "lists"
     )
     near_size = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
 
-    # The member that most of a document's lists begin with, and the one that most end with.
-    ends = lists.select("doc", F.explode(F.array("low", "high")).alias("other")).where("doc <> other")
-    first = (
-        ends.groupBy("doc", "other").agg(F.count("*").alias("k"))
-        .groupBy("doc").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
-        .select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
-    )
     size_of = live.select("doc", "n", "sketch").dropDuplicates(["doc"])
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -237,17 +252,47 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
         both = F.size(F.array_intersect("x", "y"))
         return written(likely.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
 
-    edges = written(equal, "equal").unionByName(linked(first, "near"))
-    now = connected_components(edges).select(F.col("id").alias("doc"), F.col("component").alias("c"))
-    apart = written(
-        lists.select("key", "doc", "n").join(now, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "doc", "n", "c"), "apart"
-    )
-    # Of each list the members outside its largest component, against all members of other components.
-    main = apart.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    minor = apart.join(main, "key").where("c <> main").select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("c").alias("e"))
+    # A document is compared with the centre of most of its lists: the member that most lists of its own hold.
+    # An original is in nearly all lists that its prefix opens; a copy with changes has shingles of its own.
+    known = lists.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / F.col("n")).alias("known"))
+    lists = written(lists.join(known, "doc").select("key", "doc", "n", "known"), "lists")
+
+    def towards(rows: DataFrame, centre: DataFrame | None) -> DataFrame:
+        """Each doc of rows with the most frequent `other` that its lists give."""
+        met = (rows if centre is None else rows.join(centre, "key")).where("doc <> other").groupBy("doc", "other").agg(F.count("*").alias("k"))
+        best = met.groupBy("doc").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
+        return best.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
+
+    rank = F.struct("known", -F.col("doc"))
+    centre = lists.groupBy("key").agg(F.max_by("doc", rank).alias("other"))
+    edges = written(equal, "equal").unionByName(linked(towards(lists.select("key", "doc"), centre), "near"))
+    for step in range(rounds + 1):
+        now = connected_components(edges).select(F.col("id").alias("doc"), F.col("component").alias("c"))
+        apart = written(
+            lists.join(now, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+            .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "doc", "n", "known", "c"), "apart"
+        )
+        main = (
+            apart.groupBy("key", "c").agg(F.count("*").alias("k"), F.max_by("doc", rank).alias("other"))
+            .groupBy("key").agg(F.max_by(F.struct("c", "other"), F.struct("k", "c")).alias("m")).select("key", "m.c", "m.other").toDF("key", "main", "other")
+        )
+        minor = apart.join(main, "key").where("c <> main")
+        if step == rounds:
+            break
+        if step % 2 == 0:
+            # Against a sibling: who has three of a document's lists in a row has most of them.
+            in_order = Window.partitionBy("doc").orderBy("key")  # the prefix of one document
+            three = apart.select("doc", "c", F.xxhash64("key", F.lead("key", 1).over(in_order), F.lead("key", 2).over(in_order)).alias("key"))
+            ends = three.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("lo"), F.max(F.struct("doc", "c")).alias("hi")).select("key", F.explode(F.array("lo", "hi")).alias("e")).select("key", F.col("e.doc").alias("other"), F.col("e.c").alias("oc"))
+            more = towards(three.join(ends, "key").where("c <> oc").select("key", "doc", "other"), None)
+        else:
+            # Against the centre of the largest component of its lists.
+            more = towards(minor.select("key", "doc", "other"), None)
+        edges = edges.unionByName(linked(more, "near"))
+    # What still is apart: members outside the largest component of a list against all of other components.
+    outside = minor.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("c").alias("e"))
     across = (
-        apart.join(minor, "key").where((F.col("c") != F.col("e")) & near_size(F.col("n"), F.col("m")))
+        apart.join(outside, "key").where((F.col("c") != F.col("e")) & near_size(F.col("n"), F.col("m")))
         .select(F.greatest("doc", "d").alias("a"), F.least("doc", "d").alias("b")).distinct()
     )
     last = connected_components(edges.unionByName(linked(across, "across")))
