@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 LEGAL_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "co", "corp", "corporation", "company", "lp", "llp", "pllc")
 SECOND_LEVEL = ("co.uk", "com.au", "co.nz", "com.br")
 GENERIC_HOSTS = (
-    "facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com",
-    "yelp.com", "google.com", "business.site", "wixsite.com", "linktr.ee",
+    "facebook.com", "instagram.com", "linkedin.com", "yelp.com", "google.com",
+    "business.site", "wixsite.com", "godaddysites.com", "squarespace.com", "sites.google.com",
 )
 
 

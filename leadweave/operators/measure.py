@@ -79,7 +79,7 @@ def _code(campaign: Column, lead: Column, attempt: Column, seed: str) -> Column:
     return F.concat(*(F.substring(F.lit(CODE_LETTERS), (F.shiftrightunsigned(h, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(6)))
 
 
-def assign_tracking_codes(leads: DataFrame, codes: DataFrame, base_url: str, seed: str = "codes") -> DataFrame:
+def assign_tracking_codes(leads: DataFrame, codes: DataFrame, base_url: str, prefix: str = "LIFT", seed: str = "codes") -> DataFrame:
     """codes and a new one for every lead without: six letters from a seeded hash, tried again while it is taken."""
     from leadweave.operators.components import _written
 
@@ -97,16 +97,17 @@ def assign_tracking_codes(leads: DataFrame, codes: DataFrame, base_url: str, see
             break
     else:
         raise RuntimeError("the space of codes is full")
-    return taken.withColumns({"url": F.concat(F.lit(base_url), F.lit("/"), "code"), "offer_code": F.concat(F.lit("LIFT-"), "code")})
+    url = F.replace(F.lit(base_url), F.lit("{code}"), F.col("code")) if "{code}" in base_url else F.concat(F.lit(base_url), F.lit("?code="), "code")
+    return taken.withColumns({"url": url, "offer_code": F.concat(F.lit(f"{prefix}-"), "code")})
 
 
 def assign_cohorts(leads: DataFrame, designs: list[list[tuple[str, float]]], seed: str) -> DataFrame:
     """(lead_id, cohort): by strata of tier and dealer, in the order of a seeded digest, split in proportion; designs nest into a path."""
     base = leads.select("lead_id", F.coalesce("tier", F.lit("-")).alias("tier"), F.coalesce("dealer_id", F.lit("-")).alias("dealer_id")).withColumn("cohort", F.lit(""))
-    for level, design in enumerate(designs):
+    for design in designs:
         total = sum(share for _, share in design)
         stratum = Window.partitionBy("tier", "dealer_id", "cohort")
-        order = stratum.orderBy(F.sha2(F.concat(F.lit(f"{seed}/{level}/"), "lead_id"), 256), "lead_id")
+        order = stratum.orderBy(F.sha2(F.concat(F.lit(seed), "lead_id"), 256), "lead_id")
         place, size = F.row_number().over(order), F.count("*").over(stratum)
         base = base.withColumns({"_p": place, "_n": size})
         name, reached = F.lit(design[-1][0]), 0.0
@@ -132,15 +133,17 @@ def mailing_manifest(leads: DataFrame, codes: DataFrame, cohorts: DataFrame, wav
 
 
 def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, threshold: float = 0.90) -> DataFrame:
-    """(sale_id, lead_id, tier, needs_review): a sale in the window by code, else by name and ZIP or address, else by similar name in the ZIP.
+    """(sale_id, lead_id, tier, needs_review): a sale in the window by code, else by name and ZIP or by address, else by similar name in the ZIP.
 
     sales: sale_id, name_norm, zip5, address_norm, sale_date, promo_code; leads: lead_id, offer_code, name_norm, zip5, address_norm.
     """
     live = sales.where(F.col("sale_date").between(F.lit(mail_date).cast("date"), F.date_add(F.lit(mail_date).cast("date"), days)))
     own = leads.select("lead_id", "offer_code", F.col("name_norm").alias("ln"), F.col("zip5").alias("lz"), F.col("address_norm").alias("la"))
-    exact = live.join(own, F.upper("promo_code") == F.upper("offer_code")).select("sale_id", F.lit(0).alias("t"), "lead_id")
-    strong = live.where("name_norm <> ''").join(own, F.expr("name_norm = ln and zip5 = lz")).select("sale_id", F.lit(1).alias("t"), "lead_id")
-    placed = live.join(own, F.expr("address_norm = la and zip5 = lz")).select("sale_id", F.lit(1).alias("t"), "lead_id")
+    # Of leads that share a key the first by id is taken, so a popular name or address makes no pairs.
+    first_of = lambda keys: own.dropna(subset=keys).groupBy(*keys).agg(F.min("lead_id").alias("lead_id"))
+    exact = live.join(own.withColumn("oc", F.upper("offer_code")).dropna(subset=["oc"]).groupBy("oc").agg(F.min("lead_id").alias("lead_id")), F.upper("promo_code") == F.col("oc")).select("sale_id", F.lit(0).alias("t"), "lead_id")
+    strong = live.where("name_norm <> ''").join(first_of(["ln", "lz"]), F.expr("name_norm = ln and zip5 = lz")).select("sale_id", F.lit(1).alias("t"), "lead_id")
+    placed = live.join(first_of(["la"]), F.expr("address_norm = la")).select("sale_id", F.lit(1).alias("t"), "lead_id")
     # Distinct names of a ZIP are compared once.
     a, b = live.where("name_norm <> ''").select("name_norm", "zip5").distinct(), own.where("ln <> ''").groupBy("ln", "lz").agg(F.min("lead_id").alias("lead_id"))
     near = a.join(b, F.expr("zip5 = lz and name_norm <> ln")).where(could_reach(F.col("name_norm"), F.col("ln"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"))).where(F.col("jw") >= threshold)

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the document's rules.
-STATUSES = ("ok", "no_signal")
+STATUSES = ("researched", "no_signal")
 LEVELS = ("high", "medium", "low", "unknown")
-SIGNAL_TYPES = ("contract", "expansion", "hiring", "registry", "permit", "funding", "news", "other")
+SIGNAL_TYPES = ("permit", "hiring", "expansion", "news", "funding", "contract", "registry", "other")
 KEYS = ("status", "summary", "segment", "facilityFit", "employeeEstimate", "signals", "suggestedAngle", "personalLine", "contactRoles", "llmAdjustment", "rationale", "sources", "cautions")
+NESTED_KEYS = {"facilityFit": ("level", "evidence", "url"), "employeeEstimate": ("value", "source", "note")}
+LENGTHS = {"summary": (10, 600), "segment": (0, 80), "suggestedAngle": (0, 240), "personalLine": (0, 180), "rationale": (10, 600)}
+LISTS = {"signals": 10, "contactRoles": 5, "sources": 10, "cautions": 5}
+URL, DATE = r"^https?://[^\s]+$", r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"
 SCHEMA = (
     "status string, summary string, segment string, facilityFit struct<level:string,evidence:string,url:string>, employeeEstimate struct<value:int,source:string,note:string>,"
     " signals array<struct<type:string,text:string,url:string,date:string>>, suggestedAngle string, personalLine string, contactRoles array<string>, llmAdjustment int,"
     " rationale string, sources array<string>, cautions array<string>"
 )
-LIMITS = {"summary": 2000, "suggestedAngle": 500, "personalLine": 200, "rationale": 2000}
-MAX_SIGNALS, MAX_ROLES = 12, 5
 
 
 def problems(document: Column) -> Column:
@@ -28,26 +30,35 @@ def problems(document: Column) -> Column:
     def rule(broken: Column, pointer: str, text: str) -> Column:
         return F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(pointer).alias("pointer"), F.lit(text).alias("problem")))
 
+    bad_url = lambda c: ~c.rlike(URL) | (F.length(c) > 2000)
+    has = lambda k: F.array_contains(keys, k)
     unreadable = keys.isNull()
     rules = [
         rule(unreadable, "", "not a JSON object"),
         rule(F.size(F.array_except(keys, F.array(*map(F.lit, KEYS)))) > 0, "", "unknown key"),
-        rule(~unreadable & doc["status"].isNull(), "/status", "required"),
+        *(rule(F.size(F.array_except(F.json_object_keys(F.get_json_object(document, f"$.{k}")), F.array(*map(F.lit, own)))) > 0, f"/{k}", "unknown key") for k, own in NESTED_KEYS.items()),
+        *(rule(~unreadable & doc[k].isNull(), f"/{k}", "required") for k in ("status", "summary", "rationale")),
         rule(~doc["status"].isin(*STATUSES), "/status", "not one of the values"),
-        rule(~unreadable & doc["summary"].isNull(), "/summary", "required"),
-        rule(F.length(doc["summary"]) == 0, "/summary", "empty"),
-        *(rule(F.length(doc[k]) > n, f"/{k}", "too long") for k, n in LIMITS.items()),
-        rule(~unreadable & doc["facilityFit"]["level"].isNull(), "/facilityFit/level", "required"),
+        *(rule(F.length(doc[k]) < low, f"/{k}", "too short") for k, (low, _) in LENGTHS.items() if low),
+        *(rule(F.length(doc[k]) > high, f"/{k}", "too long") for k, (_, high) in LENGTHS.items()),
+        rule(has("facilityFit") & doc["facilityFit"]["level"].isNull(), "/facilityFit/level", "required"),
         rule(~doc["facilityFit"]["level"].isin(*LEVELS), "/facilityFit/level", "not one of the values"),
-        rule(~doc["facilityFit"]["url"].rlike("^https?://"), "/facilityFit/url", "not a web address"),
-        rule(doc["employeeEstimate"]["value"] < 0, "/employeeEstimate/value", "below 0"),
+        rule(F.length(doc["facilityFit"]["evidence"]) > 300, "/facilityFit/evidence", "too long"),
+        rule(bad_url(doc["facilityFit"]["url"]), "/facilityFit/url", "not a web address"),
+        rule(has("employeeEstimate") & doc["employeeEstimate"]["value"].isNull(), "/employeeEstimate/value", "required"),
+        rule(doc["employeeEstimate"]["value"] < 1, "/employeeEstimate/value", "below 1"),
+        rule(bad_url(doc["employeeEstimate"]["source"]), "/employeeEstimate/source", "not a web address"),
+        rule(F.length(doc["employeeEstimate"]["note"]) > 200, "/employeeEstimate/note", "too long"),
         rule(F.abs(doc["llmAdjustment"]) > 15, "/llmAdjustment", "outside -15 to 15"),
-        rule(F.size(given) > MAX_SIGNALS, "/signals", "too many"),
+        *(rule(F.size(doc[k]) > most, f"/{k}", "too many") for k, most in LISTS.items()),
         rule((doc["status"] == "no_signal") & (F.size(given) > 0), "/signals", "must be empty without a signal"),
         rule(F.exists(given, lambda s: s["type"].isNull() | ~s["type"].isin(*SIGNAL_TYPES)), "/signals/type", "not one of the values"),
-        rule(F.exists(given, lambda s: s["url"].isNull() | ~s["url"].rlike("^https?://")), "/signals/url", "not a web address"),
-        rule(F.exists(given, lambda s: s["date"].isNull() | ~s["date"].rlike(r"^\d{4}-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?$")), "/signals/date", "not YYYY-MM or YYYY-MM-DD"),
-        rule(F.size(doc["contactRoles"]) > MAX_ROLES, "/contactRoles", "too many"),
+        rule(F.exists(given, lambda s: s["text"].isNull() | ~F.length(s["text"]).between(5, 240)), "/signals/text", "not 5 to 240 characters"),
+        rule(F.exists(given, lambda s: s["url"].isNull() | bad_url(s["url"])), "/signals/url", "not a web address"),
+        rule(F.exists(given, lambda s: s["date"].isNull() | ~s["date"].rlike(DATE)), "/signals/date", "not YYYY-MM or YYYY-MM-DD"),
+        rule(F.exists(doc["contactRoles"], lambda r: F.length(r) > 60), "/contactRoles", "too long"),
+        rule(F.exists(doc["cautions"], lambda r: F.length(r) > 200), "/cautions", "too long"),
+        rule(F.exists(doc["sources"], bad_url), "/sources", "not a web address"),
     ]
     return F.array_compact(F.array(*rules))
 

@@ -9,7 +9,7 @@ from leadweave.functions.geo import MILE_M, distance_m
 from leadweave.operators.routing import sized
 
 # Signal types that tell of buying, default weights, tier cuts.
-BUYING = ("contract", "expansion", "hiring", "registry", "permit", "funding")
+BUYING = ("permit", "hiring", "expansion", "news", "funding", "contract")
 FEATURES = ("segment", "size", "facility", "signals", "proximity", "confidence")
 WEIGHTS = (0.25, 0.15, 0.20, 0.25, 0.05, 0.10)
 TIER_A, TIER_B, CAP_WITHOUT_SIGNAL = 80, 65, 79
@@ -78,7 +78,7 @@ def extract_features(leads: DataFrame, branches: DataFrame, research: DataFrame,
 def score_features(df: DataFrame) -> DataFrame:
     """df with the six values v_*, each from 0 to 1."""
     c = F.col
-    segment = F.when(c("match") == "taxonomy", F.when(c("leaf_match"), 1.0).otherwise(0.8)).when(c("match") == "keyword", 0.6).otherwise(0.2) if "leaf_match" in df.columns else F.when(c("match") == "taxonomy", 1.0).when(c("match") == "keyword", 0.6).otherwise(0.2)
+    segment = F.when(c("match") == "taxonomy", 1.0).when(c("match") == "keyword", 0.8).when(c("match") == "website", 0.6).otherwise(0.2)
     size = F.when(c("employees").isNull() | c("min_employees").isNull(), 0.5).when(c("employees") >= c("min_employees"), 1.0).when(c("employees") * 2 >= c("min_employees"), 0.5).otherwise(0.1)
     facility = (
         F.when(c("level") == "high", 1.0).when(c("level") == "medium", 0.75).when(c("level") == "low", 0.5).when(c("level") == "unknown", 0.4)
@@ -86,7 +86,7 @@ def score_features(df: DataFrame) -> DataFrame:
     )
     signals = F.when(c("n_signals") == 0, 0.0).when(c("n_signals") == 1, 0.6).otherwise(1.0)
     near = F.when(c("branch_miles").isNull(), 0.0).when(c("branch_miles") <= 25, 1.0).when(c("branch_miles") <= 50, 0.6).otherwise(0.3)
-    sure = F.lit(0.7) * c("confidence") + F.lit(0.3) * c("reachable").cast("double")
+    sure = F.lit(0.7) * c("confidence") + F.when(c("reachable"), 0.3).otherwise(0.0)
     return df.withColumns(dict(zip([f"v_{f}" for f in FEATURES], (segment, size, facility, signals, near, sure), strict=True)))
 
 

@@ -34,7 +34,7 @@ seg AS (SELECT lead_id, CASE kind WHEN 0 THEN 'taxonomy' ELSE 'keyword' END AS m
   SELECT lead_id, 0 AS kind, pos FROM leads JOIN cats ON c IN (leaf, 'services', lower(region)) UNION ALL SELECT lead_id, 1, pos FROM leads JOIN words ON contains(lower(name), w)
 ) JOIN segs USING (pos) QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY kind, pos) = 1)"""
 _MONTH = r"CASE WHEN regexp_matches(date_text, '^\d{4}-(0[1-9]|1[0-2])(-\d{2})?$') THEN CAST(substr(date_text, 1, 4) AS INTEGER) * 12 + CAST(substr(date_text, 6, 2) AS INTEGER) END"
-_QUAL = f"coalesce(type IN ('contract', 'expansion', 'hiring', 'registry', 'permit', 'funding') AND {AS_OF_MONTH} - ({_MONTH}) BETWEEN 0 AND 11, false)"
+_QUAL = f"coalesce(type IN ('permit', 'hiring', 'expansion', 'news', 'funding', 'contract') AND {AS_OF_MONTH} - ({_MONTH}) BETWEEN 0 AND 11, false)"
 _SIG = f"sig AS (SELECT lead_id, count(*) FILTER ({_QUAL}) AS n_signals FROM signals GROUP BY 1)"
 _FACTS = """facts AS (SELECT lead_id, CASE WHEN ok AND lv IN ('high', 'medium', 'low', 'unknown') THEN lv END AS level, CASE WHEN ok THEN CAST(json_extract_string(j, '$.employeeEstimate.value') AS INTEGER) END AS employees,
   CASE WHEN ok THEN CAST(json_extract_string(j, '$.llmAdjustment') AS INTEGER) END AS adjustment FROM (
@@ -44,12 +44,12 @@ _FEAT = f"""{_SEG}, {_SIG}, {_FACTS}, feat AS (
     {distance_m('l.lat', 'l.lon', 'branch_lat', 'branch_lon')} / 1609.344::DOUBLE AS branch_miles
   FROM leads l LEFT JOIN seg USING (lead_id) LEFT JOIN facts USING (lead_id) LEFT JOIN sig USING (lead_id) LEFT JOIN branches b ON b.branch_id = l.branch_id AND b.dealer_id = l.dealer_id
 ), vals AS (SELECT *,
-  CASE match WHEN 'taxonomy' THEN 1.0::DOUBLE WHEN 'keyword' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END AS v_segment,
+  CASE match WHEN 'taxonomy' THEN 1.0::DOUBLE WHEN 'keyword' THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS v_segment,
   CASE WHEN employees IS NULL THEN 0.5::DOUBLE WHEN employees >= min_employees THEN 1.0::DOUBLE WHEN employees * 2 >= min_employees THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS v_size,
   CASE level WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.75::DOUBLE WHEN 'low' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS v_facility,
   CASE n_signals WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS v_signals,
   CASE WHEN branch_miles IS NULL THEN 0.0::DOUBLE WHEN branch_miles <= 25 THEN 1.0::DOUBLE WHEN branch_miles <= 50 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS v_proximity,
-  0.7::DOUBLE * confidence + 0.3::DOUBLE * 0.0::DOUBLE AS v_confidence FROM feat
+  0.7::DOUBLE * confidence + 0.0::DOUBLE AS v_confidence FROM feat
 ), summed AS (SELECT *, CAST(round((v_segment * 0.25::DOUBLE + v_size * 0.15::DOUBLE + v_facility * 0.2::DOUBLE + v_signals * 0.25::DOUBLE + v_proximity * 0.05::DOUBLE + v_confidence * 0.1::DOUBLE) * 100.0::DOUBLE) AS INTEGER) AS base,
   greatest(-15, least(15, coalesce(adjustment, 0))) AS adjust FROM vals
 ), freed AS (SELECT *, greatest(0, least(100, base + adjust)) AS free FROM summed),
@@ -128,12 +128,12 @@ def c9_top_signal(spark, d):
 
 
 _DOCS = """SELECT 'c1' AS campaign_id, concat('fx_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS lead_id, CASE c_custkey % 6
-  WHEN 0 THEN '{"status":"ok","summary":"Good site","facilityFit":{"level":"high"},"signals":[{"type":"hiring","text":"jobs","url":"https://a.example","date":"2024-01"},{"type":"news","text":"n","url":"https://b.example","date":"2023-12-05"}]}'
-  WHEN 1 THEN '{"status":"no_signal","summary":"Quiet","facilityFit":{"level":"low"},"signals":[]}'
-  WHEN 2 THEN '{"status":"ok","summary":"x","facilityFit":{"level":"odd"},"signals":[]}'
-  WHEN 3 THEN '{"status":"no_signal","summary":"x","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"jobs","url":"https://a.example","date":"2024-01"}]}'
-  WHEN 4 THEN '{"status":"ok","summary":"x","facilityFit":{"level":"low"},"llmAdjustment":20,"mood":"fine"}'
-  ELSE '{"summary":"x","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"jobs","url":"ftp://a","date":"2024-13"}]}' END AS document FROM customer"""
+  WHEN 0 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"high"},"signals":[{"type":"hiring","text":"ten jobs","url":"https://a.example","date":"2024-01"},{"type":"news","text":"some news","url":"https://b.example","date":"2023-12-05"}]}'
+  WHEN 1 THEN '{"status":"no_signal","summary":"Quiet these days","rationale":"Nothing was found","facilityFit":{"level":"low"},"signals":[]}'
+  WHEN 2 THEN '{"status":"researched","summary":"short","rationale":"Fits the profile","facilityFit":{"level":"odd"},"signals":[]}'
+  WHEN 3 THEN '{"status":"no_signal","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"ten jobs","url":"https://a.example","date":"2024-01"}]}'
+  WHEN 4 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low","mood":"fine"},"llmAdjustment":20,"mood":"fine"}'
+  ELSE '{"summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"ten jobs","url":"ftp://a","date":"2024-1"}]}' END AS document FROM customer"""
 
 
 def _docs(spark, d):
@@ -141,7 +141,7 @@ def _docs(spark, d):
     return spark.sql(text, customer=table(spark, d, "customer"))
 
 
-@query(f"""WITH d AS ({_DOCS}), p AS (SELECT * FROM (VALUES (2, '/facilityFit/level', 'not one of the values'), (3, '/signals', 'must be empty without a signal'), (4, '', 'unknown key'), (4, '/llmAdjustment', 'outside -15 to 15'),
+@query(f"""WITH d AS ({_DOCS}), p AS (SELECT * FROM (VALUES (2, '/facilityFit/level', 'not one of the values'), (2, '/summary', 'too short'), (4, '/facilityFit', 'unknown key'), (3, '/signals', 'must be empty without a signal'), (4, '', 'unknown key'), (4, '/llmAdjustment', 'outside -15 to 15'),
   (5, '/status', 'required'), (5, '/signals/url', 'not a web address'), (5, '/signals/date', 'not YYYY-MM or YYYY-MM-DD')) t(r, pointer, problem))
   SELECT lead_id, pointer, problem FROM d JOIN p ON CAST(substr(lead_id, 4) AS INTEGER) % 6 = r""")
 def v1_validate_research(spark, d):

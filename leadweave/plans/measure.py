@@ -77,9 +77,9 @@ def t1_assign_tracking_codes(spark, d):
 
 
 _DESIGN = [[("wave1", 0.5), ("wave2", 0.3), ("holdout", 0.2)], [("A", 0.5), ("B", 0.5)]]
-_COHORT = """c1 AS (SELECT lead_id, coalesce(tier, '-') AS t, coalesce(dealer_id, '-') AS dd, row_number() OVER (PARTITION BY coalesce(tier, '-'), coalesce(dealer_id, '-') ORDER BY sha256('s/0/' || lead_id), lead_id) AS p, count(*) OVER (PARTITION BY coalesce(tier, '-'), coalesce(dealer_id, '-')) AS n FROM leads),
+_COHORT = """c1 AS (SELECT lead_id, coalesce(tier, '-') AS t, coalesce(dealer_id, '-') AS dd, row_number() OVER (PARTITION BY coalesce(tier, '-'), coalesce(dealer_id, '-') ORDER BY sha256('s' || lead_id), lead_id) AS p, count(*) OVER (PARTITION BY coalesce(tier, '-'), coalesce(dealer_id, '-')) AS n FROM leads),
 c2 AS (SELECT *, CASE WHEN p <= round(n * 0.5::DOUBLE) THEN 'wave1' WHEN p <= round(n * 0.8::DOUBLE) THEN 'wave2' ELSE 'holdout' END AS w FROM c1),
-c3 AS (SELECT *, row_number() OVER (PARTITION BY t, dd, w ORDER BY sha256('s/1/' || lead_id), lead_id) AS q, count(*) OVER (PARTITION BY t, dd, w) AS m FROM c2),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY t, dd, w ORDER BY sha256('s' || lead_id), lead_id) AS q, count(*) OVER (PARTITION BY t, dd, w) AS m FROM c2),
 cohorts AS (SELECT lead_id, w || '/' || CASE WHEN q <= round(m * 0.5::DOUBLE) THEN 'A' ELSE 'B' END AS cohort FROM c3)"""
 
 
@@ -107,7 +107,7 @@ _ADDR = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '
 _MATCH = f"""sl AS (SELECT sale_id, {sql_name('customer_name')} AS nn, sale_zip AS z, {_ADDR.format(c='sale_address')} AS ad, promo_code, sale_date FROM sales WHERE sale_date BETWEEN DATE '{MAIL_DATE}' AND DATE '{MAIL_DATE}' + {WINDOW_DAYS}),
 ll AS (SELECT lead_id, 'LIFT-' || lpad(CAST(k AS STRING), 6, '0') AS oc, {sql_name('name')} AS ln, postcode AS lz, {_ADDR.format(c='address')} AS la FROM leads),
 fz AS (SELECT a.nn, a.z, arg_min(b.lead_id, (-jaro_winkler_similarity(a.nn, b.ln), b.lead_id)) AS lead_id FROM (SELECT DISTINCT nn, z FROM sl) a JOIN (SELECT ln, lz, min(lead_id) AS lead_id FROM ll GROUP BY 1, 2) b ON z = lz AND nn <> ln AND jaro_winkler_similarity(a.nn, b.ln) >= 0.90 GROUP BY 1, 2),
-allm AS (SELECT sale_id, 0 AS t, lead_id FROM sl JOIN ll ON promo_code = oc UNION ALL SELECT sale_id, 1, lead_id FROM sl JOIN ll ON nn = ln AND z = lz UNION ALL SELECT sale_id, 1, lead_id FROM sl JOIN ll ON ad = la AND z = lz UNION ALL SELECT sale_id, 2, lead_id FROM sl JOIN fz USING (nn, z)),
+allm AS (SELECT sale_id, 0 AS t, lead_id FROM sl JOIN ll ON promo_code = oc UNION ALL SELECT sale_id, 1, lead_id FROM sl JOIN ll ON nn = ln AND z = lz UNION ALL SELECT sale_id, 1, lead_id FROM sl JOIN ll ON ad = la UNION ALL SELECT sale_id, 2, lead_id FROM sl JOIN fz USING (nn, z)),
 matches AS (SELECT sale_id, lead_id, CASE t WHEN 0 THEN 'exact' WHEN 1 THEN 'strong' ELSE 'fuzzy' END AS tier, t = 2 AS needs_review FROM allm QUALIFY row_number() OVER (PARTITION BY sale_id ORDER BY t, lead_id) = 1)"""
 
 
