@@ -68,7 +68,7 @@ def dedupe(sites: DataFrame) -> DataFrame:
     met = sites.join(parts.withColumnRenamed("id", "site_id"), "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
     rules = edges.join(parts, edges["a"] == parts["id"]).groupBy("component").agg(F.min("rule").alias("r"))
     order = Window.partitionBy("component").orderBy(F.desc("confidence"), "site_id")
-    name = F.coalesce(F.element_at(F.array(*map(F.lit, RULES)), F.col("r") + 1), F.lit("none"))
+    name = F.coalesce(F.get(F.array(*map(F.lit, RULES)), F.col("r")), F.lit("none"))
     return met.join(rules, "component", "left").withColumns({"rule": name, "is_primary": F.row_number().over(order) == 1}).drop("r")
 
 
