@@ -80,9 +80,9 @@ def i8_import_dealers(spark, d):
     return I.import_dealers(I.required_columns(_dealer_rows(spark, d), "dealers"))[1]
 
 
-@query("""SELECT k AS row, CASE WHEN k % 14 > 11 THEN 'unknown dealer' WHEN k % 3 = 1 AND k % 120 > (SELECT max(s_suppkey) FROM supplier) THEN 'unknown branch' WHEN k % 3 = 1 AND (k % 120) % 12 <> k % 14 THEN 'branch of another dealer'
+@query("""SELECT k AS row, CASE WHEN k % 14 NOT IN (SELECT s_suppkey % 12 FROM supplier) THEN 'unknown dealer' WHEN k % 3 = 1 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = k % 120) THEN 'unknown branch' WHEN k % 3 = 1 AND (k % 120) % 12 <> k % 14 THEN 'branch of another dealer'
   WHEN k % 5 = 0 THEN 'level is zip or county' WHEN k % 7 = 0 THEN 'code has five digits' ELSE 'priority is a whole number from 1' END AS error FROM (SELECT c_custkey AS k FROM customer) c
-  WHERE k % 14 > 11 OR (k % 3 = 1 AND (NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = k % 120) OR (k % 120) % 12 <> k % 14)) OR k % 5 = 0 OR k % 7 = 0 OR k % 8 = 0""")
+  WHERE k % 14 NOT IN (SELECT s_suppkey % 12 FROM supplier) OR (k % 3 = 1 AND (NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = k % 120) OR (k % 120) % 12 <> k % 14)) OR k % 5 = 0 OR k % 7 = 0 OR k % 8 = 0""")
 def i9_import_territories(spark, d):
     k = F.col("c_custkey")
     raw = table(spark, d, "customer").select(
@@ -135,8 +135,8 @@ def _stored(spark, d):
 
 
 @query(
-    f"""+{_DEDUPED.replace('FROM sites)', 'FROM sites WHERE confidence >= 0.6)')}, fresh AS (SELECT * FROM deduped WHERE k % 7 <> 0)
-    SELECT 'L' || CAST(row_number() OVER (ORDER BY site_id) + (SELECT max(k + 1) FROM sites WHERE k % 7 = 0) AS STRING) AS lead_id, site_id, CASE WHEN is_primary THEN 'candidate' ELSE 'duplicate' END AS status,
+    f"""+{_DEDUPED.replace('FROM sites)', 'FROM sites WHERE confidence >= 0.6)')}, fresh AS (SELECT *, row_number() OVER (ORDER BY site_id) + (SELECT max(k + 1) FROM sites WHERE k % 7 = 0) AS num FROM deduped WHERE k % 7 <> 0)
+    SELECT 'L' || CASE WHEN num < 1000 THEN lpad(CAST(num AS STRING), 4, '0') ELSE CAST(num AS STRING) END AS lead_id, site_id, CASE WHEN is_primary THEN 'candidate' ELSE 'duplicate' END AS status,
     CASE WHEN k % 10 = 0 THEN 'co' || g ELSE 'co_' || substr(sha256(component), 1, 16) END AS company_id FROM fresh""",
     ("sites",),
 )

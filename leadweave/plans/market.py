@@ -230,7 +230,7 @@ def g11_states_of_counties(spark, d):
     return joined(G.states_of_counties(_scopes(spark, d), states(spark)), "states")
 
 
-@query(f"""+{_ZC} SELECT k AS request_id, CASE k % 7 WHEN 0 THEN 'dealer' WHEN 1 THEN 'state' WHEN 2 THEN 'zips' WHEN 3 THEN 'county' WHEN 4 THEN 'metro' WHEN 5 THEN 'county' ELSE 'error' END AS kind FROM sites""", ("sites",))
+@query(f"""+{_ZC} SELECT k AS request_id, CASE k % 7 WHEN 0 THEN CASE WHEN 'd' || k % 12 IN (SELECT dealer_id FROM dealers) THEN 'dealer' ELSE 'error' END WHEN 1 THEN 'state' WHEN 2 THEN 'zips' WHEN 3 THEN 'county' WHEN 4 THEN 'metro' WHEN 5 THEN 'county' ELSE 'error' END AS kind FROM sites""", ("sites", "dealers"))
 def g10_resolve_queries(spark, d):
     k = F.col("k") % 7
     n = (F.col("k") % 25).cast("string")

@@ -221,7 +221,7 @@ def r9_coverage_gap_report(spark, d):
 
 
 @query("""SELECT lead_id, dealer_id, CAST(row_number() OVER w AS INTEGER) AS place, row_number() OVER w <= 5 + CAST(substr(dealer_id, 2) AS INTEGER) AS mailed FROM leads
-  WHERE dealer_id IS NOT NULL AND status IN ('candidate', 'approved') WINDOW w AS (PARTITION BY dealer_id ORDER BY score DESC NULLS LAST, lead_id)""", ("leads",))
+  WHERE dealer_id IN (SELECT dealer_id FROM dealers) AND status IN ('candidate', 'approved') WINDOW w AS (PARTITION BY dealer_id ORDER BY score DESC NULLS LAST, lead_id)""", ("leads", "dealers"))
 def r10_dealer_capacity(spark, d):
     caps = table(spark, d, "dealers").select("dealer_id", (F.lit(5) + F.substring("dealer_id", 2, 9).cast("int")).alias("cap"))
     return R.dealer_capacity(table(spark, d, "leads"), caps)
