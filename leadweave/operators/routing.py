@@ -77,11 +77,19 @@ def suppression_summary(after: DataFrame) -> DataFrame:
     return total.select(*by.columns).unionByName(by)
 
 
+def leading_rules(rules: DataFrame) -> DataFrame:
+    """The rules of each (level, code) that can win: those of the least priority, and of equal places the first by dealer and branch."""
+    least = rules.groupBy("level", "code").agg(F.min("priority").alias("_least"))
+    # Null-safe, since a null priority comes before all others; a null level or code meets no lead.
+    top = rules.join(least.toDF("_level", "_code", "_least"), F.expr("level = _level and code = _code")).where(F.col("priority").eqNullSafe(F.col("_least")) | F.col("priority").isNull())
+    return top.groupBy("level", "code", "priority", "branch_lat", "branch_lon").agg(F.min_by(F.struct("dealer_id", "branch_id"), F.struct("dealer_id", F.coalesce("branch_id", F.lit("")))).alias("_r")).select("_r.*", "level", "code", "priority", "branch_lat", "branch_lon")
+
+
 def assign_territory(leads: DataFrame, territories: DataFrame, branches: DataFrame) -> DataFrame:
     """(lead_id, dealer_id, branch_id, level, miles): ZIP rules before county rules, then priority, distance, dealer, branch."""
     place = branches.select("branch_id", F.col("dealer_id").alias("owner"), "branch_lat", "branch_lon")
     rules = territories.join(place, ["branch_id"], "left").where("owner is null or owner = dealer_id")
-    rules = sized(rules.select("dealer_id", "branch_id", "level", "code", "priority", "branch_lat", "branch_lon"))
+    rules = sized(leading_rules(rules.select("dealer_id", "branch_id", "level", "code", "priority", "branch_lat", "branch_lon")))
     subject = leads.select("lead_id", "lat", "lon", F.explode(F.array(F.struct(F.lit("zip").alias("level"), F.col("postcode").alias("code")), F.struct(F.lit("county").alias("level"), F.col("county_fips").alias("code")))).alias("at")).select("lead_id", "lat", "lon", "at.*")
     far = F.coalesce(distance_m(F.col("lat"), F.col("lon"), F.col("branch_lat"), F.col("branch_lon")), F.lit(float("inf")))
     met = subject.join(rules, ["level", "code"]).withColumn("m", far)

@@ -54,6 +54,21 @@ def test_zip_beats_county_and_unknown_branch_still_assigns(spark):
     assert rows(routing.assign_territory(leads, rules, branches), "lead_id", "dealer_id", "level") == [("1", "far", "zip"), ("2", "near", "county")]
 
 
+def test_only_rules_that_can_win_meet_the_leads(spark):
+    leads = spark.createDataFrame([("1", 29.61, -95.4, "77001", "48201"), ("2", 30.19, -95.4, "77009", "48201")], "lead_id string, lat double, lon double, postcode string, county_fips string")
+    many = [(f"d{i % 7}", f"b{i:04d}", "county", "48201", 1 + i % 2) for i in range(2000)]
+    rules = spark.createDataFrame(many, "dealer_id string, branch_id string, level string, code string, priority int")
+    branches = spark.createDataFrame([(b, d, 29.0 + int(b[1:]) % 20 / 10, -95.4) for d, b, *_ in many], "branch_id string, dealer_id string, branch_lat double, branch_lon double")
+    places = rules.join(branches, ["branch_id", "dealer_id"])
+    assert routing.leading_rules(places).count() == 10 and routing.leading_rules(places).where("priority = 1 and dealer_id = 'd0'").count() == 10
+
+    def first(lat):  # of all rules, none left out
+        return min((p, round(abs(29.0 + int(b[1:]) % 20 / 10 - lat), 9), d, b) for d, b, _, _, p in many)[2:]
+
+    got = {r["lead_id"]: (r["dealer_id"], r["branch_id"]) for r in routing.assign_territory(leads, rules, branches).collect()}
+    assert got == {"1": first(29.61), "2": first(30.19)}
+
+
 @pytest.mark.parametrize(("values", "adjustment", "signals", "total", "grade"), [((1, 1, 1, 1, 1, 1), 5, 2, 100, "A"), ((1, 1, 1, 0, 1, 1), 15, 0, 79, "B"), ((0.2, 0.5, 0.4, 0, 0, 0.45), -40, 0, 10, "C")])
 def test_score(spark, values, adjustment, signals, total, grade):
     df = spark.createDataFrame([(*map(float, values), adjustment, signals)], "v_segment double, v_size double, v_facility double, v_signals double, v_proximity double, v_confidence double, adjustment int, n_signals int")
