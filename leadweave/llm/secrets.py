@@ -5,15 +5,16 @@ are runs of 20 or more letters, digits and `+/_=-` with a capital, a small lette
 alone say nothing. A scope is a paragraph (blank lines part them). A weak candidate is reported as a
 `secret` only if an access identifier or an endpoint (a URL, or a host of three labels or more)
 lies within `reach` characters of it in the same scope; then the identifiers and endpoints within reach
-of a weak candidate are reported too, as `access_part` and `endpoint`. The interval join puts parts into
-cells of `reach` characters and keeps of each cell and kind only the first start and the last end,
-which decide whether anything is within reach; so a scope with thousands of parts makes no pairs.
+of a weak candidate are reported too, as `access_part` and `endpoint`. Runs and URLs have no greatest length
+(a URL scheme counts up to 13 characters). The interval join sorts the starts and ends of a scope's
+parts once and carries the last end of each kind along; so a scope with thousands of parts makes no pairs,
+and parts of any length meet.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: (kind, expression, group whose length counts, least length)
@@ -22,8 +23,11 @@ KNOWN = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,200}[A-Z])(?=[A-Za-z0-9+/_=-]{0,200}[a-z])(?=[A-Za-z0-9+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]{1,400}|(?<![A-Za-z0-9@.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,6}\.[a-z]{2,12}(?![A-Za-z0-9.-])"
+# Possessive, so a run of any length is one match and none is tried twice; the look-aheads stop at the first character they seek.
+WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+# A host name has at most 127 labels of 63 characters.
+ENDPOINT = r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]++|(?<![A-Za-z0-9@.-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){1,125}\.[a-z]{2,63}(?![A-Za-z0-9.-])"
+BREAK = r"\n[\x20\t]*\n\s*"
 IDENTIFIER = r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA)[A-Z0-9]{12,}"
 _SPAN = "array<struct<start:int,end:int>>"
 
@@ -67,32 +71,26 @@ def _of_kind(kind: str) -> Column:
 
 def linked_parts(df: DataFrame, reach: int = 200, text_col: str = "_text", keys: tuple[str, ...] = ("_id", "_hash")) -> DataFrame:
     """(keys..., kind, start, end) of weak secrets with a complementary part in reach, and of those parts."""
-    kinds = ("secret", WEAK), ("access_part", IDENTIFIER), ("endpoint", ENDPOINT)
+    kinds = ("secret", WEAK), ("access_part", IDENTIFIER), ("endpoint", ENDPOINT), ("break", BREAK)
     # Only texts with a weak candidate can have any: one scan in the row decides.
     some = df.where(F.col(text_col).rlike(WEAK) & (F.col(text_col).rlike(IDENTIFIER) | F.col(text_col).rlike(ENDPOINT)))
     parts = None
     for kind, pattern in kinds:
         one = some.select(*keys, F.lit(kind).alias("kind"), F.inline(spans(F.col(text_col), pattern)))
         parts = one if parts is None else parts.unionByName(one)
-    breaks = some.select(*keys, F.inline(spans(F.col(text_col), r"\n[\x20\t]*\n\s*"))).groupBy(*keys).agg(F.sort_array(F.collect_set("start")).alias("breaks"))  # of one text
-    scoped = (
-        parts.dropDuplicates([*keys, "kind", "start"]).join(breaks, list(keys), "left")
-        .withColumn("scope", F.coalesce(F.size(F.filter("breaks", lambda b: b < F.col("start"))), F.lit(0)))
-        .drop("breaks").withColumn("cell", F.floor(F.col("start") / reach))
-    )
-    weak, other = F.col("kind") == "secret", F.col("kind") != "secret"
-
-    def near(these: DataFrame, those: DataFrame) -> DataFrame:
-        # A part is at most 400 characters long, so its end lies at most 400 / reach + 1 cells on.
-        back = 400 // reach + 2
-        edge = those.groupBy(*keys, "scope", "cell").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-        around = edge.withColumn("cell", F.explode(F.sequence(F.col("cell") - back, F.col("cell") + back)))
-        side = around.groupBy(*keys, "scope", "cell").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))  # <= 2 * back + 1
-        met = these.join(side, [*keys, "scope", "cell"])
-        within = F.exists("at", lambda a: (a["lo"] - F.col("end") <= reach) & (F.col("start") - a["hi"] <= reach))
-        return met.where(within).select(*keys, "kind", "start", "end")
-
-    return near(scoped.where(weak), scoped.where(other)).unionByName(near(scoped.where(other), scoped.where(weak)))
+    so_far = Window.unboundedPreceding, Window.currentRow
+    broken = F.col("kind") == "break"
+    # The scope is where the last break before a part starts.
+    in_text = Window.partitionBy(*keys).orderBy("start", broken).rowsBetween(*so_far)
+    scoped = parts.dropDuplicates([*keys, "kind", "start"]).withColumn("scope", F.coalesce(F.max(F.when(broken, F.col("start"))).over(in_text), F.lit(-1))).where(~broken)
+    # A part is told at its start and asks at its end + reach, where all that begin in time have been told:
+    # one is within reach if the last end among them isn't too far back.
+    told = F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("asks")), F.struct((F.col("end") + reach).alias("at"), F.lit(True).alias("asks")))
+    in_scope = Window.partitionBy(*keys, "scope").orderBy("at", "asks").rowsBetween(*so_far)
+    weak = F.col("kind") == "secret"
+    last = lambda which: F.max(F.when(~F.col("asks") & which, F.col("end"))).over(in_scope)
+    met = scoped.select(*keys, "scope", "kind", "start", "end", F.inline(told)).withColumns({"_weak": last(weak), "_other": last(~weak)})
+    return met.where(F.col("asks") & (F.when(weak, F.col("_other")).otherwise(F.col("_weak")) >= F.col("start") - reach)).select(*keys, "kind", "start", "end")
 
 
 def find_secrets(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
