@@ -4,8 +4,9 @@ Entities are e-mail addresses, IPv4 addresses, phone numbers, card-like numbers
 names behind an honorific. A surrogate is made from SHA-256 of a secret key, the type and the
 normalised entity, so an entity gets the same one in every document. Digits keep their number and
 punctuation, phone numbers their country code; a name keeps its honorific, letter case and script, and
-its first name the gender that the honorific says; first and last names are replaced each on their
-own, so `Mr. A B` and `Mr. B` stay one person. All distinct entities are checked: of entities whose
+its first name the gender that the honorific says; last names are replaced on their own, so `Mr. A B`
+and `Mr. B` stay one person. First names repeat among people and are distinct among those of one last
+name; where the list of names has no free one, syllables are added. All distinct entities are checked: of entities whose
 surrogates are equal, and of those whose surrogate is itself an entity, all but one (or all) get
 another attempt, until none is left. Few entities need a second attempt; only texts that name
 one of those meet a table. DataFrame functions only.
@@ -63,7 +64,7 @@ def _script(text: Column) -> Column:
 
 
 def parts(raw: Column) -> Column:
-    """array<struct<type, norm>> of what a match is made of: a name of its names, anything else of itself."""
+    """array<struct<type, norm>> of what a match is made of: a name of its names (the first one with the last one), anything else of itself."""
     digits = F.regexp_replace(raw, r"\D", "")
     country = F.regexp_extract(raw, r"^\+(\d{1,3})(?=[ (.-])", 1)
     one = lambda kind, norm: F.array(F.struct(F.lit(kind).alias("type"), norm.alias("norm")))
@@ -72,7 +73,7 @@ def parts(raw: Column) -> Column:
     names = F.split(F.regexp_replace(raw, rf"^{HONORIFIC}\.?\x20", ""), " ")
     last, first = F.element_at(names, -1), F.element_at(names, 1)
     as_last = F.struct(F.concat(F.lit("last."), _script(last)).alias("type"), F.lower(last).alias("norm"))
-    as_first = F.struct(F.concat(F.lit("first."), gender, F.lit("."), _script(first)).alias("type"), F.lower(first).alias("norm"))
+    as_first = F.struct(F.concat(F.lit("first."), gender, F.lit("."), _script(first)).alias("type"), F.concat(F.lower(first), F.lit(" "), F.lower(last)).alias("norm"))
     return (
         F.when(raw.contains("@"), one("email", F.lower(raw)))
         .when(raw.rlike(f"^(?:{IP})$"), one("ip", raw))
@@ -82,9 +83,21 @@ def parts(raw: Column) -> Column:
     )
 
 
+def _own(kind: Column, norm: Column) -> Column:
+    """The norm without the last name that a first name's ends in."""
+    return F.when(kind.startswith("first."), F.substring_index(norm, " ", 1)).otherwise(norm)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """Of an entity: digits for numbers, lower-case text for the others."""
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    # A first name's norm ends in the last name, which only tells whom it has to differ from.
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, _own(kind, norm), attempt.cast("string")), 256)
+    # As variables of a lambda they are worked out once, and the expression stays small.
+    given = F.struct(kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), digest.alias("digest"))
+    return F.element_at(F.transform(F.array(given), lambda x: _made(x["kind"], x["norm"], x["attempt"], x["digest"])), 1)
+
+
+def _made(kind: Column, norm: Column, attempt: Column, digest: Column) -> Column:
     number = lambda at: _number(digest, at)
     digits = F.translate(digest, "abcdef", "037159")
     word = lambda script, k, at: F.concat(*(_pick(SYLLABLES[script], number(at + i)) for i in range(k)))
@@ -95,8 +108,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     for script in SYLLABLES:
         out = out.when(kind == f"last.{script}", word(script, 5, 1))
         for gender in "mfn":
-            # First names repeat among people, so theirs need not be distinct.
-            out = out.when(kind == f"first.{gender}.{script}", F.lower(_pick(FIRST[script, gender], number(1))))
+            # Each attempt has more to choose from, so that the names of a last name can't run out.
+            more = F.when(attempt > 1, F.concat(word(script, 2, 20), word(script, 4, 30))).when(attempt > 0, word(script, 2, 20)).otherwise("")
+            out = out.when(kind == f"first.{gender}.{script}", F.concat(F.lower(_pick(FIRST[script, gender], number(1))), more))
     return out
 
 
@@ -113,7 +127,8 @@ def _rewritten(raw: Column, key: str, attempts: Column | None) -> Column:
         attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws("\x1f", part["type"], part["norm"])), F.lit(0))
         return surrogate(part["type"], part["norm"], attempt, key)
 
-    first, last = new(F.element_at(split, 1)), new(F.element_at(split, -1))
+    made = F.transform(split, new)
+    first, last = F.element_at(made, 1), F.element_at(made, -1)
     kind = F.element_at(split, -1)["type"]
     head = F.regexp_extract(raw, r"^(\+\d{1,3}(?=[ (.-]))?", 1)
     gaps = F.split(raw.substr(F.length(head) + 1, F.lit(80)), r"\d", -1)
@@ -126,22 +141,23 @@ def _rewritten(raw: Column, key: str, attempts: Column | None) -> Column:
 
 def attempts_of(entities: DataFrame, key: str) -> DataFrame:
     """(type, norm, attempt) of the distinct entities whose first surrogate won't do."""
-    # First names are left out: a list of them serves many people.
-    now = written(entities.where("not type like 'first.%'").withColumn("attempt", F.lit(0)), "entities")
-    own = now.select("type", F.col("norm").alias("new")).distinct()
+    # Surrogates are distinct within a type; those of first names within the last name, of any gender.
+    within = F.when(F.col("type").startswith("first."), F.concat(F.lit("first "), F.substring_index("norm", " ", -1))).otherwise(F.col("type"))
+    now = written(entities.withColumns({"attempt": F.lit(0), "within": within}), "entities")
+    own = now.select("within", _own(F.col("type"), F.col("norm")).alias("new")).distinct()
     for _ in range(ROUNDS):
         made = now.withColumn("new", surrogate(F.col("type"), F.col("norm"), F.col("attempt"), key))
-        keep = made.groupBy("type", "new").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
+        keep = made.groupBy("within", "new").agg(F.min(F.struct("attempt", "norm", "type")).alias("first"), F.count("*").alias("n"))
         # Of equals the one that has tried least stays; no one may take a real entity's form.
-        twice = keep.where("n > 1").select("type", "new", F.col("first.norm").alias("stays"))
-        real = made.select("type", "new").distinct().join(own, ["type", "new"], "left_semi").withColumn("stays", F.lit(None).cast("string"))
-        bad = written(made.join(twice.unionByName(real).groupBy("type", "new").agg(F.min(F.when(F.col("stays").isNotNull(), F.col("stays"))).alias("stays"), F.max(F.col("stays").isNull()).alias("real")), ["type", "new"]).where("real or norm <> stays").select("type", "norm").distinct(), "again")
+        twice = keep.where("n > 1").select("within", "new", F.struct("first.norm", "first.type").alias("stays"))
+        real = made.select("within", "new").distinct().join(own, ["within", "new"], "left_semi").withColumn("stays", F.lit(None).cast(twice.schema["stays"].dataType))
+        bad = written(made.join(twice.unionByName(real).groupBy("within", "new").agg(F.min(F.when(F.col("stays").isNotNull(), F.col("stays"))).alias("stays"), F.max(F.col("stays").isNull()).alias("real")), ["within", "new"]).where("real or struct(norm, type) <> stays").select("type", "norm").distinct(), "again")
         if bad.isEmpty():
             break
-        now = written(now.join(bad.withColumn("more", F.lit(1)), ["type", "norm"], "left").select("type", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
+        now = written(now.join(bad.withColumn("more", F.lit(1)), ["type", "norm"], "left").select("type", "norm", "within", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
     else:
         raise RuntimeError("surrogates still collide: the space of a type is too small for its entities")
-    return now.where("attempt > 0")
+    return now.where("attempt > 0").drop("within")
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:

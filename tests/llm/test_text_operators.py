@@ -284,6 +284,20 @@ def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch):
     assert again.count() > 0 and final.distinct().count() == 40
 
 
+def test_people_of_one_last_name_stay_distinct(spark):
+    firsts = [a + b for a in ("Jo", "Pe", "Ma", "Lu", "Ka", "Ti", "Ru", "Fi") for b in ("ran", "lo", "mir", "sten", "vik", "dor", "bas", "len")] + ["Felix", "Oscar"]
+    greek = ["Στέλιος", "Θανάσης", "Σπύρος", "Μανώλης", "Λευτέρης"]
+    who = [("Mr.", f, "Smith") for f in firsts] + [("Mrs.", f, "Smith") for f in firsts[:30]] + [("Mr.", f, "Jones") for f in firsts[:20]] + [(t, f, "Παππάς") for t in ("Dr.", "Κύριος") for f in greek]
+    rows = [(i, f"{t} {f} {last} wrote, then {t} {last}.") for i, (t, f, last) in enumerate(who)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows * 2, "doc_id bigint, text string"), "k").collect()}
+    new = []
+    for i, (t, f, last) in enumerate(who):
+        m = re.fullmatch(rf"{re.escape(t)} (\w+) (\w+) wrote, then {re.escape(t)} (\w+)\.", got[i])
+        assert m and m[2] == m[3] and m[1] != f and m[2] != last
+        new.append((m[1], m[2]))
+    assert len(set(new)) == len(who) and len({last for _, last in new}) == 3
+
+
 def labelled(spark, n=900):
     rows, labels = [], []
     for i in range(n):
