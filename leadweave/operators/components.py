@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,11 @@ def _folder(df: DataFrame) -> str:
     return folder
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df)}/edges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges from a written table, and what tells it from another: its rows and the sum of their hashes."""
+    path, seen = f"{_folder(edges)}/edges-{uuid.uuid4().hex}", Observation()
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), seen.get
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,28 +42,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(id, component) for every id that an edge names; component is the smallest id reachable.
 
     Alternates large-star and small-star steps, so a long chain takes a logarithmic number of rounds
-    and a hub is reduced by a partial minimum before the shuffle. Each round is written to the folder
-    in spark.checkpoint.dir. Edges with a null end and loops add nothing; repeated edges do no harm.
+    and a hub is reduced by a partial minimum before the shuffle. Each round is one job that writes to the
+    folder in spark.checkpoint.dir and counts what it writes, until that doesn't change. Edges with a null
+    end and loops add nothing; repeated edges do no harm; no edges give no rows.
     """
-    now = _written(
+    now, seen = _counted(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    seen = None
     for _ in range(max_rounds):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if not seen["n"]:
+            break
+        now, state = _counted(_small_star(_large_star(now)))
         if state == seen:
             break
         seen = state
-        if not state["n"]:
-            break
-        now = _written(_small_star(_large_star(now)))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)
-
-
