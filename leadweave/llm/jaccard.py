@@ -8,13 +8,17 @@ chance. A large set puts out its first elements one by one, and meets what else
 lists. The boundary is the size at which both would cost the same; sets just below it are in the lists
 too, for partners above it.
 
-Before two sets are compared, counts of their elements by hash range (about a byte for three elements)
-give an upper bound of what they have in common; only pairs that pass it need the sets themselves.
+Sets are told by a signature, so all equal documents are one node from the start. A key carries its
+place in the order of its set: two sets whose first common element is at places i and j have no more
+than min(n - i, m - j) elements in common, so most pairs that share only late elements never meet. Then
+counts of elements by hash range (about a byte for three elements) give another upper bound; only pairs
+that pass it need the sets themselves.
 
 A list isn't expanded into pairs. First each member is compared with the centre of its lists, and what
-links is one component; this is repeated for what is left, with the largest component's centre; then members of different components are compared, each with all of the other
-components in its lists. So no link between different components is lost, and a group of n near copies
-costs about n comparisons.
+links is one component. While the members outside the largest component of their lists would meet more
+partners than the lists have rows, they are compared with that component's centres. Then they meet all
+of other components in their lists. So no link between different components is lost, and a group of n near
+copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.llm.flat import _ODD, mix, shingle_sets, slices
@@ -37,6 +41,8 @@ from leadweave.operators.components import connected_components
 CELLS, CHUNK = 1 << 22, 1 << 16
 #: Ids up to which the documents to compare are found by a broadcast.
 BROADCAST_ROWS = 2_000_000
+#: No further round of centres is made for so many pairs a row of the lists, or when so small a share of the last one's pairs linked.
+PAIRS_A_ROW, LEAST_LINKED = 2, 0.1
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -129,51 +135,64 @@ def levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
     return level, length
 
 
-def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndarray) -> DataFrame:
-    """(key, doc, n) of every set: subsets of two if n <= boundary, else first elements one by one."""
+def _node(sign: tuple[int, int], clash: frozenset[int]) -> int:
+    """What a set is called: the first 64 bits of its signature, the others if another set has the same first ones."""
+    return sign[sign[0] in clash]
+
+
+def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndarray, clash: frozenset[int]) -> DataFrame:
+    """(key, node, n, pos) of every set: subsets of two if n <= boundary, else first elements one by one.
+
+    n - pos elements of the set, at most, are in common with a partner whose first common key this is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for lo, hi, texts in slices(batch.column(1)):
-                keys, docs, sizes = [], [], []
-                for doc, items in zip(ids.slice(lo, hi - lo).to_pylist(), shingle_sets(texts, width), strict=True):
+            for _, _, texts in slices(batch.column(0)):
+                keys, nodes, sizes, places = [], [], [], []
+                for items in shingle_sets(texts, width):
                     n = len(items)
-                    if doc is None or n < 2 or (sign := _signature(items)) in seen:
+                    if n < 2 or (sign := _signature(items)) in seen:
                         continue  # one shingle has no partner but its equals; of equal sets one of a task stands for all
                     if len(seen) < 1_000_000:
                         seen.add(sign)
-                    level = cells[_cell(items)]
-                    ordered = items[np.lexsort((items, level))]
+                    ordered = items[np.lexsort((items, cells[_cell(items)]))]
                     p = n - least_overlap(n, percent)
-                    mine = []
+                    mine, at = [], []
                     if n <= boundary:
                         q = ordered[: p + 2]
                         i, j = np.triu_indices(len(q), 1)
                         mine.append(mix(q[i] * _ODD[61] + mix(q[j] * _ODD[62])))
+                        at.append(j - 1)
                     if 100 * n > percent * boundary:
                         mine.append(ordered[: p + 1])
-                    mine = np.concatenate(mine)
-                    keys.append(mine)
-                    docs.append(np.full(len(mine), doc, np.int64))
-                    sizes.append(np.full(len(mine), n, np.int32))
+                        at.append(np.arange(len(mine[-1])))
+                    keys += mine
+                    places += at
+                    k = sum(map(len, mine))
+                    nodes.append(np.full(k, _node(sign, clash), np.int64))
+                    sizes.append(np.full(k, n, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], names=["key", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nodes, sizes)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "node", "n", "pos"]
+                    )
+
+    return df.select("text").mapInArrow(run, "key bigint, node bigint, n int, pos int")
 
-    return df.mapInArrow(run, "key bigint, doc bigint, n int")
 
+def _sets(df: DataFrame, width: int, clash: frozenset[int]) -> DataFrame:
+    """(node, items) of every row of df."""
 
-def _sets(df: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in slices(batch.column(1)):
-                found = [x.view(np.int64) for x in shingle_sets(texts, width)]
+            for _, _, texts in slices(batch.column(0)):
+                found = shingle_sets(texts, width)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                values = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc", "items"])
+                values = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(_signature(x), clash) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "items"])
 
-    return df.mapInArrow(run, "doc bigint, items array<bigint>")
+    return df.select("text").mapInArrow(run, "node bigint, items array<bigint>")
 
 
 def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
@@ -205,22 +224,29 @@ def choose_boundary(sizes: list[tuple[int, int]], list_length: float, percent: i
     return at
 
 
-def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundary: int | None = None, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundary: int | None = None, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of df, ids being long.
 
     Two documents link if 100 * intersection >= percent * union of their sets of word shingles (A-Z
     lowered; fewer words than `width` are one shingle). component_id is the smallest id reachable. A
     text that is null, empty or without words has n_shingles 0 and links with nothing; a null id links
     with nothing and has a null component_id. Repeated rows come back each, with equal results; rows
-    of one id but different texts count as one document that has the links of all. Other columns are
-    ignored. No pair is left out for the size of a list or a group.
+    of one id but different texts count as one document that has the links of all. Texts have no
+    greatest length, other columns are ignored, whatever their names, and an empty table gives no rows.
+    No pair is left out for the size of a list or a group; `rounds` bounds only how often members are
+    compared with centres before the rest meets.
     """
     source = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     survey = written(_survey(source, width), "survey")
     sets = survey.where("chunk is null").select("doc", "n", "one", "two", "sketch")
+    signs = sets.where("n > 0").groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).where("low <> high")
+    clash = frozenset(r["one"] for r in signs.select("one").collect())  # of k sets, k^2 / 2^65 are expected: 3 of 10^10
+    sets = sets.select("doc", "n", F.when(F.col("one").isin(*clash), F.col("two")).otherwise(F.col("one")).alias("node"), "sketch")
     live = sets.where("n > 0 and doc is not null")
-    classes = written(live.groupBy("n", "one", "two").agg(F.min("doc").alias("rep")), "classes")
-    equal = live.join(classes, ["n", "one", "two"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    classes = written(live.groupBy("node", "n").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    # Rows of one id are one document.
+    edges = live.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    edges = live.select("doc", "node").join(edges.select("doc", "a"), "doc").where("node <> a").select("a", F.col("node").alias("b"))
 
     # Added up in two steps, so that no group holds the counts of all tasks; CELLS numbers reach the driver.
     tasks = survey.where("chunk is not null").select("part", "chunk", "counts").withColumn("share", F.pmod("part", F.lit(256)))
@@ -229,72 +255,70 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
     counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.int32) for c in total["counts"]] or [np.zeros(CELLS, np.int32)])
     cells, length = levels(counts)
     if boundary is None:
-        sizes = [(r["n"], r["count"]) for r in live.where("n <= 200").groupBy("n").count().collect()]  # a subset never pays beyond
+        sizes = [(r["n"], r["count"]) for r in classes.where("n <= 200").groupBy("n").count().collect()]  # a subset never pays beyond
         boundary = choose_boundary(sizes, length, percent)
 
-    keys = _keys(source, width, percent, boundary, cells)
     by_key = Window.partitionBy("key")
-    lists = written(
-        keys.withColumns({"low": F.min("doc").over(by_key), "high": F.max("doc").over(by_key)}).where("low <> high").select("key", "doc", "n"), "lists"
-    )
-    near_size = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-
-    size_of = live.select("doc", "n", "sketch").dropDuplicates(["doc"])
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = size_of.toDF("a", "n", "s"), size_of.toDF("b", "m", "t")
-        likely = written(_may_link(pairs.join(a, "a").join(b, "b"), percent), name)
-        members = written(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), name)
-        if members.count() <= BROADCAST_ROWS:
-            members = F.broadcast(members)
-        items = written(_sets(source.join(members, "doc", "left_semi").select("doc", "text"), width), name).dropDuplicates(["doc"])
-        x, y = items.toDF("a", "x"), items.toDF("b", "y")
-        both = F.size(F.array_intersect("x", "y"))
-        return written(likely.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
-
-    # A document is compared with the centre of most of its lists: the member that most lists of its own hold.
+    met = (
+        _keys(source.where("doc is not null"), width, percent, boundary, cells, clash)
+        .withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key)}).where("low <> high").dropDuplicates(["key", "node"])
+    )
     # An original is in nearly all lists that its prefix opens; a copy with changes has shingles of its own.
-    known = lists.groupBy("doc", "n").agg(F.count("*").alias("k")).select("doc", (F.col("k") / F.col("n")).alias("known"))
-    lists = written(lists.join(known, "doc").select("key", "doc", "n", "known"), "lists")
-
-    def towards(rows: DataFrame, centre: DataFrame | None) -> DataFrame:
-        """Each doc of rows with the most frequent `other` that its lists give."""
-        met = (rows if centre is None else rows.join(centre, "key")).where("doc <> other").groupBy("doc", "other").agg(F.count("*").alias("k"))
-        best = met.groupBy("doc").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
-        return best.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
-
-    rank = F.struct("known", -F.col("doc"))
-    centre = lists.groupBy("key").agg(F.max_by("doc", rank).alias("other"))
-    edges = written(equal, "equal").unionByName(linked(towards(lists.select("key", "doc"), centre), "near"))
+    known = F.count("*").over(Window.partitionBy("node")) / F.col("n")
+    lists = written(met.select("key", "node", "n", "pos", known.alias("known")), "lists")
+
+    def may(n: str, m: str, i: str, j: str) -> Column:
+        """Whether sets of n and m can link if their first common key is at i and j."""
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= percent * (F.col(n) + F.col(m)))
+
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, float]:
+        """The pairs (a, b) that link, and their share."""
+        one = classes.select("node", "n", "sketch")
+        likely = written(_may_link(pairs.join(one.toDF("a", "n", "s"), "a").join(one.toDF("b", "m", "t"), "b"), percent), name)
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        reps = written(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc")).distinct(), name)
+        if reps.count() <= BROADCAST_ROWS:
+            reps = F.broadcast(reps)
+        items = written(_sets(source.join(reps, "doc", "left_semi"), width, clash), name).dropDuplicates(["node"])
+        both = F.size(F.array_intersect("x", "y"))
+        links = written(likely.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), name)
+        return links, links.count() / max(1, likely.count())
+
+    def towards(rows: DataFrame) -> DataFrame:
+        """Each node of rows with the most frequent `other` that its lists give."""
+        met = rows.where((F.col("node") != F.col("other")) & may("n", "m", "pos", "j")).groupBy("node", "other").agg(F.count("*").alias("k"))
+        best = met.groupBy("node").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
+        return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+    centre = F.max_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("j")), F.struct("known", "node")).alias("centre")
+    found, share = linked(towards(lists.join(lists.groupBy("key").agg(centre), "key").select("key", "node", "n", "pos", "centre.*")), "near")
+    members = connected_components(edges.unionByName(found))
     for step in range(rounds + 1):
-        now = connected_components(edges).select(F.col("id").alias("doc"), F.col("component").alias("c"))
+        now = members.select(F.col("id").alias("node"), F.col("component").alias("c"))
         apart = written(
-            lists.join(now, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-            .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "doc", "n", "known", "c"), "apart"
-        )
-        main = (
-            apart.groupBy("key", "c").agg(F.count("*").alias("k"), F.max_by("doc", rank).alias("other"))
-            .groupBy("key").agg(F.max_by(F.struct("c", "other"), F.struct("k", "c")).alias("m")).select("key", "m.c", "m.other").toDF("key", "main", "other")
+            lists.join(now, "node", "left").withColumn("c", F.coalesce("c", "node"))
+            .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "node", "n", "pos", "known", "c"), "apart"
         )
+        parts = apart.groupBy("key", "c").agg(F.count("*").alias("k"), centre)
+        main = parts.groupBy("key").agg(F.sum("k").alias("all"), F.max_by(F.struct("c", "k", "centre"), F.struct("k", "c")).alias("m")).select("key", "all", F.col("m.c").alias("main"), F.col("m.k").alias("k"), "m.centre.*")
+        main = written(main, "main")
+        todo, rows = main.agg(F.sum(F.expr("(all - k) * all")), F.sum("all")).first()
         minor = apart.join(main, "key").where("c <> main")
-        if step == rounds:
+        if step == rounds or share < LEAST_LINKED or (todo or 0) <= PAIRS_A_ROW * (rows or 0):
             break
-        if step % 2 == 0:
-            # Against a sibling: who has three of a document's lists in a row has most of them.
-            in_order = Window.partitionBy("doc").orderBy("key")  # the prefix of one document
-            three = apart.select("doc", "c", F.xxhash64("key", F.lead("key", 1).over(in_order), F.lead("key", 2).over(in_order)).alias("key"))
-            ends = three.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("lo"), F.max(F.struct("doc", "c")).alias("hi")).select("key", F.explode(F.array("lo", "hi")).alias("e")).select("key", F.col("e.doc").alias("other"), F.col("e.c").alias("oc"))
-            more = towards(three.join(ends, "key").where("c <> oc").select("key", "doc", "other"), None)
-        else:
-            # Against the centre of the largest component of its lists.
-            more = towards(minor.select("key", "doc", "other"), None)
-        edges = edges.unionByName(linked(more, "near"))
+        found, share = linked(towards(minor.select("key", "node", "n", "pos", "other", "m", "j")), "near")
+        members = connected_components(members.toDF("a", "b").unionByName(found))
     # What still is apart: members outside the largest component of a list against all of other components.
-    outside = minor.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("c").alias("e"))
+    outside = minor.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("c").alias("e"))
     across = (
-        apart.join(outside, "key").where((F.col("c") != F.col("e")) & near_size(F.col("n"), F.col("m")))
-        .select(F.greatest("doc", "d").alias("a"), F.least("doc", "d").alias("b")).distinct()
+        apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("e")) & may("n", "m", "pos", "j"))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    last = connected_components(edges.unionByName(linked(across, "across")))
-    out = sets.join(last, sets["doc"] == last["id"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    members = connected_components(members.toDF("a", "b").unionByName(linked(across, "across")[0]))
+    # The smallest id of each class is known; that of a component is the smallest of its classes.
+    of = classes.select("node", "rep").join(members.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    of = written(of, "classes")
+    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = of.join(least, "c").select("node", "component_id")
+    out = sets.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(named, "node", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))

@@ -161,6 +161,18 @@ def test_shingle_join_over_a_group_of_edits_and_a_shared_passage(spark):
     assert jaccard.shingle_components(df.limit(0)).count() == 0
 
 
+def test_shingle_join_with_repeated_and_null_ids(spark):
+    a, b = prose(60, 900), prose(60, 901)
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "y"), (2, b, "y"), (3, a, "x"), (None, a, "x"), (None, b, "y"), (4, prose(60, 902), "z"), (5, "", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.shingle_components(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (None, None), (None, None), (4, 4), (5, 5), (6, 6)], key=str)
+
+
+def test_sets_of_one_signature_are_told_apart():
+    assert jaccard._node((5, 9), frozenset({5})) == 9 and jaccard._node((5, 9), frozenset()) == 5
+
+
 def test_upper_bound_never_misses():
     r = np.random.default_rng(1)
     for _ in range(200):
