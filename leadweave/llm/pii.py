@@ -3,21 +3,26 @@ r"""Surrogates for personal data: keyed, of the same type and format, distinct,
 Entities are e-mail addresses, IPv4 addresses, phone numbers, card-like numbers of 13 to 19 digits, and
 names behind an honorific. A surrogate is made from SHA-256 of a secret key, the type and the
 normalised entity, so an entity gets the same one in every document. Digits keep their number and
-punctuation, phone numbers their country code; a name keeps its honorific, letter case and script, and
+punctuation, phone numbers their country code, card numbers a right check digit if they had one; a name keeps its honorific, letter case and script, and
 its first name the gender that the honorific says; last names are replaced on their own, so `Mr. A B`
 and `Mr. B` stay one person. First names repeat among people and are distinct among those of one last
 name; where the list of names has no free one, syllables are added. All distinct entities are checked: of entities whose
 surrogates are equal, and of those whose surrogate is itself an entity, all but one (or all) get
 another attempt, until none is left. Few entities need a second attempt; only texts that name
 one of those meet a table. DataFrame functions only.
+
+A match is worked out in steps, each a transform() over structs of what the step before found, and names
+and syllables come from one literal table each; so no expression is repeated and the plan stays small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.tables import written
+from leadweave.llm.tables import fresh, written
 
 # Honorifics by gender and the names that surrogates are made of.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Mister", "Господин", "Г-н", "Κύριος")
@@ -40,47 +45,72 @@ SYLLABLES = {
     "greek": ("βαρ", "γαλ", "δορ", "ζαν", "θεο", "καλ", "λαμ", "μαν", "νικ", "παλ", "ραφ", "σαβ", "ταμ", "φιλ", "χαρ", "ψαρ"),
 }
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# Possessive: what repeats a group would else recurse once a label.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 HONORIFIC = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + ")"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC}\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = f"{EMAIL}|{IP}|{PHONE}|{CARD}|{NAME}"
-ROUNDS = 12
+ROUNDS = 40
 BROADCAST_ROWS = 100_000
 
 
-def _pick(values: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+_GENDERS, _SCRIPTS = "mfn", tuple(SYLLABLES)
+
 
+def _table(rows: list[tuple[str, ...]]) -> Column:
+    return F.array(*(F.array(*map(F.lit, r)) for r in rows))
 
-def _number(digest: Column, at: int) -> Column:
-    return F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint")
+
+
+def _steps(items: Column, *steps: Callable[[Column], dict[str, Column]]) -> Column:
+    """array<struct>: each step makes the next structs from the ones before."""
+    for step in steps:
+        items = F.transform(items, lambda x: F.struct(*(c.alias(n) for n, c in step(x).items())))  # noqa: B023
+    return items
 
 
 def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def parts(raw: Column) -> Column:
-    """array<struct<type, norm>> of what a match is made of: a name of its names (the first one with the last one), anything else of itself."""
-    digits = F.regexp_replace(raw, r"\D", "")
-    country = F.regexp_extract(raw, r"^\+(\d{1,3})(?=[ (.-])", 1)
-    one = lambda kind, norm: F.array(F.struct(F.lit(kind).alias("type"), norm.alias("norm")))
-    title = F.regexp_extract(raw, rf"^({HONORIFIC})\.?\x20", 1)
-    gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("n")
-    names = F.split(F.regexp_replace(raw, rf"^{HONORIFIC}\.?\x20", ""), " ")
-    last, first = F.element_at(names, -1), F.element_at(names, 1)
-    as_last = F.struct(F.concat(F.lit("last."), _script(last)).alias("type"), F.lower(last).alias("norm"))
-    as_first = F.struct(F.concat(F.lit("first."), gender, F.lit("."), _script(first)).alias("type"), F.concat(F.lower(first), F.lit(" "), F.lower(last)).alias("norm"))
-    return (
-        F.when(raw.contains("@"), one("email", F.lower(raw)))
-        .when(raw.rlike(f"^(?:{IP})$"), one("ip", raw))
-        .when(title != "", F.when(F.size(names) > 1, F.array(as_first, as_last)).otherwise(F.array(as_last)))
-        .when((F.length(digits) >= 13) & ~raw.rlike(r"^[+(]"), one("card", digits))
-        .otherwise(one("phone", digits.substr(F.length(country) + 1, F.lit(40))))
-    )
+def matches(found: Column) -> Column:
+    """Of each match: raw, title, head (country code), kind, names, and its parts as array<struct<type, norm>>.
+
+    A name is made of its names (the first one with the last one), anything else of itself.
+    """
+
+    def seen(raw: Column) -> dict[str, Column]:
+        return {
+            "raw": raw,
+            "title": F.regexp_extract(raw, rf"^{HONORIFIC}\.?\x20", 0),
+            "head": F.regexp_extract(raw, r"^\+\d{1,3}(?=[ (.-])", 0),
+            "digits": F.regexp_replace(raw, r"\D", ""),
+        }
+
+    def told(x: Column) -> dict[str, Column]:
+        bare = F.regexp_replace(x["title"], r"\.?\x20$", "")
+        card = (F.length(x["digits"]) >= 13) & ~x["raw"].rlike(r"^[+(]")
+        return {
+            **{c: x[c] for c in ("raw", "title", "head", "digits")},
+            "kind": F.when(x["raw"].contains("@"), "email").when(x["title"] != "", "name").when(x["raw"].rlike(f"^(?:{IP})$"), "ip").when(card, "card").otherwise("phone"),
+            "names": F.split(F.substr(x["raw"], F.length(x["title"]) + 1), " "),
+            "gender": F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n"),
+        }
+
+    def made_of(x: Column) -> dict[str, Column]:
+        first, last = F.element_at(x["names"], 1), F.element_at(x["names"], -1)
+        of = lambda kind, norm: F.struct(kind.alias("type"), norm.alias("norm"))
+        as_last = of(F.concat(F.lit("last."), _script(last)), F.lower(last))
+        as_first = of(F.concat(F.lit("first."), x["gender"], F.lit("."), _script(first)), F.concat(F.lower(first), F.lit(" "), F.lower(last)))
+        number = F.substr(x["digits"], F.greatest(F.lit(1), F.length(x["head"])))  # the head has a sign before its digits
+        itself = of(x["kind"], F.when(x["kind"] == "email", F.lower(x["raw"])).when(x["kind"] == "ip", x["raw"]).when(x["kind"] == "card", x["digits"]).otherwise(number))
+        parts = F.when(x["kind"] != "name", F.array(itself)).when(F.size(x["names"]) > 1, F.array(as_first, as_last)).otherwise(F.array(as_last))
+        return {c: x[c] for c in ("raw", "title", "head", "kind", "names")} | {"parts": parts}
+
+    return _steps(found, seen, told, made_of)
 
 
 def _own(kind: Column, norm: Column) -> Column:
@@ -88,30 +118,54 @@ def _own(kind: Column, norm: Column) -> Column:
     return F.when(kind.startswith("first."), F.substring_index(norm, " ", 1)).otherwise(norm)
 
 
+def _luhn(digits: Column) -> Column:
+    """The sum that a card number's check digit makes divisible by ten."""
+    twice = F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)))
+    each = F.transform(F.split(F.reverse(digits), "(?!^)(?!$)"), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.element_at(twice, d.cast("int") + 1)))
+    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """Of an entity: digits for numbers, lower-case text for the others."""
-    # A first name's norm ends in the last name, which only tells whom it has to differ from.
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, _own(kind, norm), attempt.cast("string")), 256)
-    # As variables of a lambda they are worked out once, and the expression stays small.
-    given = F.struct(kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), digest.alias("digest"))
-    return F.element_at(F.transform(F.array(given), lambda x: _made(x["kind"], x["norm"], x["attempt"], x["digest"])), 1)
-
-
-def _made(kind: Column, norm: Column, attempt: Column, digest: Column) -> Column:
-    number = lambda at: _number(digest, at)
-    digits = F.translate(digest, "abcdef", "037159")
-    word = lambda script, k, at: F.concat(*(_pick(SYLLABLES[script], number(at + i)) for i in range(k)))
-    # A place in the digest for each syllable, 4 bits apart; the last digits keep addresses apart.
-    email = F.concat(word("latin", 4, 1), F.lit("."), F.substring(digits, 20, 8), F.lit("@mail"), number(40) % 10, F.lit(".example.org"))
-    ip = F.concat_ws(".", 1 + number(1) % 223, number(9) % 256, number(17) % 256, number(25) % 256)
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card"), digits.substr(F.lit(1), F.length(norm)))
-    for script in SYLLABLES:
-        out = out.when(kind == f"last.{script}", word(script, 5, 1))
-        for gender in "mfn":
-            # Each attempt has more to choose from, so that the names of a last name can't run out.
-            more = F.when(attempt > 1, F.concat(word(script, 2, 20), word(script, 4, 30))).when(attempt > 0, word(script, 2, 20)).otherwise("")
-            out = out.when(kind == f"first.{gender}.{script}", F.concat(F.lower(_pick(FIRST[script, gender], number(1))), more))
-    return out
+
+    def given(x: Column) -> dict[str, Column]:
+        # A first name's norm ends in the last name, which only tells whom it has to differ from.
+        digest = F.sha2(F.concat_ws("\x1f", F.lit(key), x["type"], _own(x["type"], x["norm"]), x["attempt"].cast("string")), 256)
+        script = F.substring_index(x["type"], ".", -1)
+        return {
+            "type": x["type"], "norm": x["norm"], "digest": digest, "digits": F.translate(digest, "abcdef", "037159"),
+            "script": F.greatest(F.lit(1), F.array_position(F.array(*map(F.lit, _SCRIPTS)), script).cast("int")),
+            "gender": F.greatest(F.lit(1), F.instr(F.lit(_GENDERS), F.split_part(x["type"], F.lit("."), F.lit(2)))),
+            # Places of the syllables in the digest, 4 bits apart. Each attempt at a first name has more, so that they can't run out.
+            "at": F.when(x["type"] == "email", F.sequence(F.lit(1), F.lit(4))).when(x["type"].startswith("last."), F.sequence(F.lit(1), F.lit(5)))
+            .when(x["type"].startswith("first."), F.slice(F.array(*map(F.lit, (20, 21, 30, 31, 32, 33))), F.lit(1), F.when(x["attempt"] > 1, 6).when(x["attempt"] > 0, 2).otherwise(0))),
+        }
+
+    number = lambda x, at: F.conv(F.substr(x["digest"], at, F.lit(7)), 16, 10).cast("bigint")
+
+    def words(x: Column) -> dict[str, Column]:
+        syllables = F.element_at(_table([SYLLABLES[s] for s in _SCRIPTS]), x["script"])
+        firsts = F.element_at(_table([FIRST[s, g] for s in _SCRIPTS for g in _GENDERS]), (x["script"] - 1) * len(_GENDERS) + x["gender"])
+        size = F.length(x["norm"])
+        plain = F.substr(x["digits"], F.lit(1), size)
+        body = F.substr(x["digits"], F.lit(1), size - 1)
+        return {
+            **{c: x[c] for c in ("type", "digest", "digits")},
+            "word": F.array_join(F.transform(x["at"], lambda at: F.element_at(syllables, (number(x, at) % 16 + 1).cast("int"))), ""),
+            "first": F.lower(F.element_at(firsts, (number(x, F.lit(1)) % F.size(firsts) + 1).cast("int"))),
+            "number": F.when((x["type"] == "card") & (_luhn(x["norm"]) % 10 == 0), F.concat(body, F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))).otherwise(plain),
+        }
+
+    def out(x: Column) -> dict[str, Column]:
+        n = lambda at: number(x, F.lit(at))
+        # Digits keep addresses apart.
+        email = F.concat(x["word"], F.lit("."), F.substr(x["digits"], F.lit(20), F.lit(8)), F.lit("@mail"), (n(40) % 10).cast("string"), F.lit(".example.org"))
+        ip = F.concat_ws(".", *(c.cast("string") for c in (1 + n(1) % 223, n(9) % 256, n(17) % 256, n(25) % 256)))
+        first = F.concat(x["first"], x["word"])
+        return {"out": F.when(x["type"] == "email", email).when(x["type"] == "ip", ip).when(x["type"].isin("phone", "card"), x["number"]).when(x["type"].startswith("last."), x["word"]).otherwise(first)}
+
+    made = _steps(F.array(F.struct(kind.alias("type"), norm.alias("norm"), attempt.alias("attempt"))), given, words, out)
+    return F.element_at(made, 1)["out"]
 
 
 def _shaped(raw: Column, new: Column) -> Column:
@@ -119,24 +173,24 @@ def _shaped(raw: Column, new: Column) -> Column:
     return F.when((F.upper(raw) == raw) & (F.length(raw) > 1), F.upper(new)).otherwise(F.initcap(new))
 
 
-def _rewritten(raw: Column, key: str, attempts: Column | None) -> Column:
-    """A match with each part replaced, in its own format."""
-    split = parts(raw)
+def _rewritten(found: Column, key: str, attempts: Column | None) -> Column:
+    """array<string>: each match with its parts replaced, in its own format."""
 
     def new(part: Column) -> Column:
         attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws("\x1f", part["type"], part["norm"])), F.lit(0))
         return surrogate(part["type"], part["norm"], attempt, key)
 
-    made = F.transform(split, new)
-    first, last = F.element_at(made, 1), F.element_at(made, -1)
-    kind = F.element_at(split, -1)["type"]
-    head = F.regexp_extract(raw, r"^(\+\d{1,3}(?=[ (.-]))?", 1)
-    gaps = F.split(raw.substr(F.length(head) + 1, F.lit(80)), r"\d", -1)
-    number = F.concat(head, F.array_join(F.zip_with(gaps, F.concat(F.split(last, "(?!^)"), F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    title = F.regexp_extract(raw, rf"^{HONORIFIC}\.?\x20", 0)
-    names = F.split(raw.substr(F.length(title) + 1, F.lit(400)), " ")
-    person = F.concat(title, F.when(F.size(split) > 1, F.concat(_shaped(F.element_at(names, 1), first), F.lit(" "))).otherwise(""), _shaped(F.element_at(names, -1), last))
-    return F.when(kind.isin("phone", "card"), number).when(title != "", person).otherwise(last)
+    def put(x: Column) -> Column:
+        first, last = F.element_at(x["made"], 1), F.element_at(x["made"], -1)
+        gaps = F.split(F.substr(x["raw"], F.length(x["head"]) + 1), r"\d", -1)
+        digits = F.concat(F.split(last, "(?!^)(?!$)"), F.array(F.lit("")))
+        number = F.concat(x["head"], F.array_join(F.zip_with(gaps, digits, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+        given = F.when(F.size(x["names"]) > 1, F.concat(_shaped(F.element_at(x["names"], 1), first), F.lit(" "))).otherwise("")
+        person = F.concat(x["title"], given, _shaped(F.element_at(x["names"], -1), last))
+        return F.when(x["kind"] == "name", person).when(x["kind"].isin("phone", "card"), number).otherwise(last)
+
+    made = _steps(matches(found), lambda x: {c: x[c] for c in ("raw", "title", "head", "kind", "names")} | {"made": F.transform(x["parts"], new)})
+    return F.transform(made, put)
 
 
 def attempts_of(entities: DataFrame, key: str) -> DataFrame:
@@ -163,31 +217,35 @@ def attempts_of(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """df with the entities in text_col replaced; `count_col` adds how many.
 
-    Null texts stay null and empty ones empty; repeated rows get the same text; a text has no limit.
-    The other columns of df come back as they are, in order.
+    Null texts stay null and empty ones empty; repeated rows get the same text; a text has no limit and an
+    empty table gives no rows. The other columns of df come back as they are, in order, whatever their
+    names. Of entities that would get one surrogate the one that sorts first keeps it. Texts that name an
+    entity with a further attempt are told by their 64-bit hash; if two had the same, each would be
+    given the attempts of both, which changes nothing, since attempts are looked up by entity.
     """
-    text = F.col(text_col)
+    text, row, tried = F.col(f"`{text_col}`"), fresh(df, "row"), fresh(df, "attempts")
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
     found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
     # Distinct per text first, so that one that repeats an entity shuffles it once.
-    named = df.where(has).select(F.xxhash64(text_col).alias("_row"), F.explode(F.array_distinct(F.flatten(F.transform(found, parts)))).alias("e")).select("_row", "e.*")
+    parts = F.array_distinct(F.flatten(F.transform(matches(found), lambda x: x["parts"])))
+    named = df.where(has).select(F.xxhash64(text).alias("row"), F.explode(parts).alias("e")).select("row", "e.*")
     again = written(attempts_of(named.select("type", "norm").distinct(), key), "attempts")
-    names, count = df.columns, again.count()
+    count = again.count()
     base, attempts = df, None
     if count:
         per_row = (
             named.join(F.broadcast(again) if count <= BROADCAST_ROWS else again, ["type", "norm"]).distinct()
-            .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "type", "norm"), "attempt"))).alias("_attempts"))
+            .groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "type", "norm"), "attempt"))).alias(tried))
         )
         per_row = written(per_row, "attempts")
         if per_row.count() <= BROADCAST_ROWS:
             per_row = F.broadcast(per_row)
-        base = df.withColumn("_row", F.xxhash64(text_col)).join(per_row, "_row", "left")
-        attempts = F.coalesce("_attempts", F.expr("cast(map() as map<string,int>)"))
+        base = df.withColumn(row, F.xxhash64(text)).join(per_row, row, "left")
+        attempts = F.coalesce(F.col(tried), F.expr("cast(map() as map<string,int>)"))
     gaps = F.split(text, ENTITY, -1)
-    new = F.concat(F.transform(found, lambda raw: _rewritten(raw, key, attempts)), F.array(F.lit("")))
+    new = F.concat(_rewritten(found, key, attempts), F.array(F.lit("")))
     replaced = F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")
-    out = [F.when(has, replaced).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    out = [F.when(has, replaced).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if count_col:
         out.append(F.when(has, F.size(found)).otherwise(0).cast("bigint").alias(count_col))
     return base.select(out)
