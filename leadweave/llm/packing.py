@@ -14,6 +14,7 @@ of the partitions, so no row passes through the driver or one task.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from array import array
@@ -42,11 +43,12 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, rest)] * bool(rest) + [(at, capacity) for at in range(rest, total, capacity)]
 
 
-def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encoder of words to little-endian ids for a byte-level BPE file of the tokenizers library.
+def byte_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], dict[str, int] | None]:
+    """Encoder of words to little-endian ids for a byte-level BPE file of the tokenizers library, and its added tokens.
 
     Where ids follow the order of merges, the rank encoder of the tiktoken library gives the same ids
-    at a third of the time; any other file is left to the tokenizers library.
+    at a third of the time. None instead of added tokens: the file is of another kind or a token takes
+    what stands beside it, and the encoder, the tokenizers library, is for whole texts only.
     """
     with open(path) as f:
         file = json.load(f)
@@ -54,32 +56,42 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    extra = {t["content"] for t in file["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in extra}
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
     split = file["pre_tokenizer"]
     in_order = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
-    if in_order and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not file["normalizer"]:
+    alone = not any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if in_order and alone and split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not file["normalizer"]:
         import tiktoken
 
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda words: [array("I", encoding.encode_ordinary(w)).tobytes() for w in words]
+        return lambda words: [array("I", encoding.encode_ordinary(w)).tobytes() for w in words], added
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
-    return lambda words: [array("I", e.ids).tobytes() for e in encoder.encode_batch(words, add_special_tokens=False)]
+    return lambda words: [array("I", e.ids).tobytes() for e in encoder.encode_batch(words, add_special_tokens=False)], None
 
 
 class TextEncoder:
-    """Ids of whole texts as bytes, each distinct word encoded once."""
+    """Ids of whole texts as bytes, each distinct word encoded once; added tokens come first, as in the library."""
 
     def __init__(self, path: str):
-        encode = byte_encoder(path)
+        encode, added = byte_encoder(path)
+        self.library = encode if added is None else None
+        self.added = {t: array("I", [i]).tobytes() for t, i in (added or {}).items()}
+        self.either = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.whole = WordCache(encode)
         self.spaced = WordCache(lambda words: encode([" " + w for w in words]))
 
     def __call__(self, text: str) -> bytes:
+        if self.library:
+            return self.library([text])[0]
+        if self.either and self.either.search(text):
+            return b"".join(self.added[t] if i % 2 else self._plain(t) for i, t in enumerate(self.either.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # else white space is single spaces and lines
             return b"".join(self.whole.look_up(_CHUNK.findall(text)))
         first, *rest = text.split(" ")
@@ -189,11 +201,14 @@ def best_fit(
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece of every row of df.
 
     A null or empty text is its end id alone. Repeated rows are packed each; an empty table gives no
-    rows; other columns are ignored; only a text of more than `capacity` tokens is cut. `max_docs` and
-    `max_attention` are the other capacities of a sequence; by default (capacity, capacity squared)
-    they never bind.
+    rows; other columns are ignored, whatever their names; a text has no limit, and only one of more than
+    `capacity` tokens is cut; of bins that suit an item as well the one that was opened first is taken.
+    `max_docs` and `max_attention` are the other capacities of a sequence; by default (capacity, capacity
+    squared) they never bind. With a `max_attention` below capacity squared no piece may be as long as
+    the capacity, so long texts are cut into pieces of its root.
     """
-    pieces = written(token_pieces(df, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    longest = capacity if max_attention is None else min(capacity, math.isqrt(int(max_attention)))
+    pieces = written(token_pieces(df, tokenizer, longest, end_id, id_col, text_col), "pieces")
     # Rows here: partitions x lengths at most, `capacity` of them a partition.
     per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows

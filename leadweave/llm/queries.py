@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from leadweave.llm import fertility, jaccard, linededup, packing, pii, piece_codec, quality, secrets, toxicity, vptree
 from leadweave.llm.tables import read
 
-#: Folder of the public vocabularies, and the key of surrogates (a deployment gives its own).
+#: Folder of the public vocabularies where the package that holds them is missing, and the key of surrogates where the session has none.
 TOKENIZERS = "/opt/tokenizers"
 SURROGATE_KEY = "change-me"
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of surrogates; a deployment sets spark.leadweave.surrogateKey."""
+    return spark.conf.get("spark.leadweave.surrogateKey", SURROGATE_KEY)
+
+
 def _host() -> Column:
     return F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
@@ -22,11 +36,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.measure(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return fertility.measure(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +60,11 @@ def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_decode(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_codec.encode_decode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.best_fit(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,16 +68,14 @@ def test_piece_round_trip(text):
 def test_byte_pairs_equal_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     encoder = tokenizers.Tokenizer.from_file(BYTES)
-    encoder.encode_special_tokens = True
     mine = packing.TextEncoder(BYTES)
-    for text in [odd(i) for i in range(300)] + [prose(50, 9), "a  b", " a", "a ", "\n\n a", "<|endoftext|> don't I'll"]:
+    for text in [odd(i) for i in range(300)] + [prose(50, 9), "a  b", " a", "a ", "\n\n a", "<|endoftext|> don't I'll", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "a<|endoftext|>", "<|endoftext|"]:
         assert np.frombuffer(mine(text), np.uint32).tolist() == encoder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_is_valid_and_full(docs):
     tokenizers = pytest.importorskip("tokenizers")
     encoder = tokenizers.Tokenizer.from_file(BYTES)
-    encoder.encode_special_tokens = True
     got = packing.best_fit(docs, BYTES).collect()
     bins = collections.defaultdict(list)
     for r in got:
@@ -104,6 +102,23 @@ def test_packing_is_valid_and_full(docs):
         assert at == len(ids)
 
 
+def test_packing_with_added_tokens_and_binding_capacities(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    encoder = tokenizers.Tokenizer.from_file(BYTES)
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, prose(700, 5), *(prose(20 + i, i) for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = packing.best_fit(df, BYTES, capacity=200, max_docs=3, max_attention=25_000.0).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append(r["length"])
+    assert all(sum(b) <= 200 and len(b) <= 3 and sum(n * n for n in b) <= 25_000 for b in bins.values())
+    for i, t in enumerate(texts):
+        ids = encoder.encode(t, add_special_tokens=False).ids + [2]
+        mine = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
+        assert sum(n for _, _, n, _ in mine) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()) for _, at, n, crc in mine)
+
+
 def test_packing_holds_every_capacity(spark):
     counts = {700: 5, 300: 9, 100: 30, 3: 100}
     for choose in ("norm", "dot"):
@@ -286,6 +301,27 @@ def test_surrogates(spark):
     assert pii.pseudonymise(df.select("doc_id", "text"), "other").where("doc_id = 5").first()["text"] != by[5]["text"]
 
 
+def luhn(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def test_surrogates_of_long_addresses_clashing_columns_and_check_digits(spark):
+    long = "a@" + "b." * 100_000 + "com"
+    rows = [(1, f"mail {long} now", "r", 1, "x"), (2, "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "r", 2, "y"), (3, None, None, None, None)]
+    rows += [(10 + i, f"Mr. {chr(65 + i % 26)}{'ab' * (1 + i // 26)} Smith", "r", i, "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _row string, _attempts int, row string")
+    assert pii.attempts_of(spark.createDataFrame([("first.m.latin", f"{a}x{b} smith") for a in "abcdefgh" for b in "abcdefgh"], "type string, norm string"), "k").count() > 0
+    out = pii.pseudonymise(df, "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == [*df.columns, "n_entities"] and len(got) == len(rows)
+    assert all((g["_row"], g["_attempts"], g["row"]) == r[2:] for r in rows for g in [got[r[0]]])
+    assert re.fullmatch(r"mail [a-z]+\.\d{8}@mail\d\.example\.org now", got[1]["text"]) and got[3]["text"] is None
+    first, second = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{4}-\d{4}-\d{4}-\d{4})", got[2]["text"]).groups()
+    assert luhn(first.replace(" ", "")) == 0 and first != "4111 1111 1111 1111" and second[:4] != "4111"
+    assert len({got[10 + i]["text"] for i in range(60)}) == 60
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark, monkeypatch):
     # A space of 60 values for 40 entities: most collide at first.
     monkeypatch.setattr(pii, "surrogate", lambda kind, norm, attempt, key: F.concat(F.lit("s"), F.pmod(F.xxhash64(kind, norm, attempt), F.lit(60)).cast("string")))
