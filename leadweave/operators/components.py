@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
-def _folder(df: DataFrame) -> str:
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        conf.set("spark.checkpoint.dir", folder)
-    return folder
+from leadweave.sources.shared import shared_folder
 
 
 def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edges from a written table, and what tells it from another: its rows and the sum of their hashes."""
-    path, seen = f"{_folder(edges)}/edges-{uuid.uuid4().hex}", Observation()
+    path, seen = f"{shared_folder(edges.sparkSession)}/edges-{uuid.uuid4().hex}", Observation()
     edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
     return edges.sparkSession.read.schema(edges.schema).parquet(path), seen.get
 

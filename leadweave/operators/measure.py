@@ -81,7 +81,7 @@ def _code(campaign: Column, lead: Column, attempt: Column, seed: str) -> Column:
 
 def assign_tracking_codes(leads: DataFrame, codes: DataFrame, base_url: str, prefix: str = "LIFT", seed: str = "codes") -> DataFrame:
     """codes and a new one for every lead without: six letters from a seeded hash, tried again while it is taken."""
-    from leadweave.operators.components import _written
+    from leadweave.sources.shared import written
 
     new = leads.select("campaign_id", "lead_id").distinct().join(codes, ["campaign_id", "lead_id"], "left_anti").withColumn("attempt", F.lit(0))
     taken = codes.select("campaign_id", "lead_id", "code")
@@ -89,7 +89,7 @@ def assign_tracking_codes(leads: DataFrame, codes: DataFrame, base_url: str, pre
         made = new.withColumn("code", _code(F.col("campaign_id"), F.col("lead_id"), F.col("attempt"), seed))
         order = Window.partitionBy("code").orderBy("campaign_id", "lead_id")
         ranked = made.withColumn("_rn", F.row_number().over(order)).join(taken.select("code", F.lit(True).alias("_taken")).distinct(), "code", "left")
-        ranked = _written(ranked)
+        ranked = written(ranked, "codes")
         good = (F.col("_rn") == 1) & F.col("_taken").isNull()
         taken = taken.unionByName(ranked.where(good).select("campaign_id", "lead_id", "code"))
         new = ranked.where(~good).select("campaign_id", "lead_id", (F.col("attempt") + 1).alias("attempt"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from leadweave.functions.normalize import address_norm, name_norm
 from leadweave.operators import measure as M
-from leadweave.operators.components import _folder
 from leadweave.operators.scoring import score_breakdown
 from leadweave.plans import leads as LP
 from leadweave.plans.registry import name_norm as sql_name
 from leadweave.plans.registry import query
 from leadweave.sources.adapter import MAIL_DATE, WINDOW_DAYS, table
+from leadweave.sources.shared import shared_folder
 from leadweave.streaming import responses as X
 
 KEYWORDS = ["the", "thing", "einer", "les", "ention"]
@@ -37,7 +37,7 @@ def e2_prefetch_summary(spark, d):
 def w1_export_review(spark, d):
     """Written as CSV and read back: the summary sheet."""
     sheets = M.review_tables(LP.leads(spark, d), score_breakdown(LP.scored(spark, d)), table(spark, d, "signals"))
-    folder = f"{_folder(sheets['summary'])}/review-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/review-{uuid.uuid4().hex}"
     M.export_review(sheets, folder)
     return spark.read.schema("status string, tier string, leads bigint").csv(f"{folder}/summary", header=True)
 
@@ -177,7 +177,7 @@ def _stream(spark, d, only: str | None = None):
 
 
 def _to_table(df, name):
-    return X.run_to_table(df, name, f"{_folder(df)}/stream-{uuid.uuid4().hex}")
+    return X.run_to_table(df, name, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT event_id, lead_id, dealer_id FROM responses JOIN leads USING (lead_id)", ("responses", "leads"))
