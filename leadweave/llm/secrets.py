@@ -28,30 +28,43 @@ WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])(?
 # A host name has at most 127 labels of 63 characters.
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]++|(?<![A-Za-z0-9@.-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){1,125}\.[a-z]{2,63}(?![A-Za-z0-9.-])"
 BREAK = r"\n[\x20\t]*\n\s*"
-IDENTIFIER = r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA)[A-Z0-9]{12,}"
+#: Access keys, roles and users of one cloud, account numbers of telephony, client numbers and service accounts of another.
+IDENTIFIER = r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}+|(?<![A-Za-z0-9])(?:AC|SK)[0-9a-f]{32}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])\d{6,21}-[a-z0-9]{32}(?=\.apps\.)|(?<![A-Za-z0-9.-])[a-z0-9-]{3,63}+@[a-z0-9-]{3,63}+(?=\.iam\.)"
 _SPAN = "array<struct<start:int,end:int>>"
 
 
+def _ends(lengths: Column) -> Column:
+    """Sums of an array of numbers from its start to each element.
+
+    By blocks of about the root of its size: an element adds what its block has before it to what the
+    blocks before hold, so the work grows with the size to the power 1.5 and no array is built up step by step.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths))).cast("int"))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    upto = lambda given, n: total(F.slice(given, F.lit(1), n))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(lengths) - 1), size)
+    blocks = F.transform(starts, lambda at: F.slice(lengths, at + 1, size))
+    sums = F.transform(blocks, total)
+    given = F.array(F.struct(blocks.alias("blocks"), sums.alias("sums")))
+    each = F.transform(given, lambda g: F.flatten(F.transform(g["blocks"], lambda block, i: F.transform(F.array(upto(g["sums"], i)), lambda before: F.transform(block, lambda _, j: before + upto(block, j + 1)))[0])))
+    return F.when(F.size(lengths) > 0, F.element_at(each, 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Leftmost matches that don't overlap, as (start, end) in code points; those with a short group are dropped.
 
-    Lengths of what lies between matches and of the matches, added up from the left.
+    Ends are sums of the lengths of what lies between matches and of the matches, from the left.
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    inner = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
+    inner = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)), F.length) if group else F.transform(found, F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    # One fold over gap, length, length of the group: the array is as long as the matches of one text.
-    steps = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(F.get(gaps, i - 1).alias("gap"), F.length(F.get(found, i - 1)).alias("size"), F.length(F.get(inner, i - 1)).alias("key")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["key"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    folded = F.aggregate(steps, start, add)["out"]
-    return F.when(F.size(found) > 0, folded).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    given = F.array(F.struct(F.transform(found, F.length).alias("sizes"), inner.alias("keys"), gaps.alias("gaps")))
+    steps = F.transform(given, lambda g: F.struct(g["sizes"].alias("sizes"), g["keys"].alias("keys"), _ends(F.zip_with(F.slice(g["gaps"], F.lit(1), F.size(g["sizes"])), g["sizes"], lambda a, b: a + b)).alias("ends")))
+    every = F.transform(
+        steps, lambda g: F.filter(F.transform(g["sizes"], lambda size, i: F.struct((F.get(g["ends"], i) - size).alias("start"), F.get(g["ends"], i).alias("end"), F.get(g["keys"], i).alias("key"))), lambda s: s["key"] >= least)
+    )
+    kept = F.transform(F.element_at(every, 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(F.size(found) > 0, kept).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def _joined(kinds: list[tuple[str, Column]]) -> Column:
@@ -98,8 +111,9 @@ def find_secrets(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_c
 
     Spans are kind:start:end in code points, end exclusive, sorted by start, then kind as listed:
     assign, access, hex, then the linked secret, access_part, endpoint. A null text counts as empty:
-    no spans and the hash of the empty string. Repeated rows come back each with the same result;
-    other columns are ignored.
+    no spans and the hash of the empty string. Repeated rows come back each with the same result,
+    a null id too; an empty table gives no rows; a text has no limit; other columns are ignored, whatever
+    their names. Of spans with one start the kind listed first comes first.
     """
     base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     found = {k: F.when(F.col("_text").rlike(p), spans(F.col("_text"), p, g, n)).otherwise(F.expr(f"cast(array() as {_SPAN})")) for k, p, g, n in KNOWN}
