@@ -53,9 +53,9 @@ def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the lines of their markup that their host repeats dropped; block tags end a line."""
+    """Pages with the lines of their markup that their host repeats dropped; block tags end a line; null markup is empty."""
     pages = read(spark, sf_dir, "pages")
-    split = F.regexp_replace("html", r"(?i)(</(?:p|div|li|ul|nav|footer|article|h[1-6]|title|head|style|script|table|tr)>|<br\s*/?>|-->)", "$1\n")
+    split = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)(</(?:p|div|li|ul|nav|footer|article|h[1-6]|title|head|style|script|table|tr)>|<br\s*/?>|-->)", "$1\n")
     return linededup.drop_site_lines(pages.withColumn("html", split), _host(), "html", removed_col="n_removed").select("page_id", "n_removed", F.sha2("html", 256).alias("html_sha256"))
 
 
@@ -123,7 +123,7 @@ WITH base AS (
 ), flat AS (SELECT page_id, host, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM base),
 often AS (
   SELECT host, trim(l) AS l FROM flat JOIN (SELECT host, count(*) AS pages FROM base GROUP BY 1) USING (host) WHERE length(trim(l)) >= 1
-  GROUP BY host, trim(l), pages HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) > 0.2 * pages
+  GROUP BY host, trim(l), pages HAVING count(DISTINCT page_id) >= 2 AND count(DISTINCT page_id) > 0.2 * pages
 )
 SELECT page_id, count(o.l) AS n_removed, sha256(coalesce(string_agg(flat.l, chr(10) ORDER BY i) FILTER (o.l IS NULL), '')) AS html_sha256
 FROM flat LEFT JOIN often o ON o.host = flat.host AND o.l = trim(flat.l) GROUP BY page_id

@@ -198,16 +198,35 @@ def test_upper_bound_never_misses():
             assert jaccard.most_common(jaccard.sketch(a), jaccard.sketch(b), len(a), len(b)) >= len(np.intersect1d(a, b))
 
 
-def test_site_lines(spark):
-    rows = [(i, "big" if i < 20 else "small", f"own line {i}\nCookie notice\n\nlast {i}", 7) for i in range(23)] + [(50, None, None, 7), (51, "big", "", 7), (51, "big", "", 7)]
-    df = spark.createDataFrame(rows, "doc_id bigint, host string, text string, _n int")
+def brute_site_lines(rows, ratio):
+    """(text, lines dropped) of rows (host, text), in order."""
+    pages, on = collections.Counter(h or "" for h, _ in rows), collections.defaultdict(set)
+    for i, (h, t) in enumerate(rows):
+        for line in (t or "").split("\n"):
+            on[h or "", line.strip(" ")].add(i)
+    out = []
+    for h, t in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if not x.strip(" ") or len(on[h or "", x.strip(" ")]) < 2 or len(on[h or "", x.strip(" ")]) <= ratio * pages[h or ""]]
+        out.append((None if t is None else "\n".join(keep), len(lines) - len(keep)))
+    return out
+
+
+def test_site_lines_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [("big" if i < 60 else f"host {i % 7}", "\n".join(f"{' ' * (k % 2)}line {k}" for k in np.minimum(r.integers(0, 30, 6), r.integers(0, 30, 6)))) for i in range(90)]
+    rows += [("one", "line 1\nline 1\nline 2"), ("two", "a\n\nb"), ("two", "a\nc"), (None, "x\ny"), (None, "x"), (None, None), ("big", ""), ("big", ""), ("big", "é" * 200_000 + "\nline 0")]
+    rows += [("tie", f"at\n{i}" if i < 2 else str(i)) for i in range(10)]
+    df = spark.createDataFrame([(i, h, t, "a", "b", 1) for i, (h, t) in enumerate(rows)], "doc_id bigint, host string, text string, _lines string, _host string, _drop int")
+    want = {i: x for i, x in enumerate(brute_site_lines(rows, 0.2))}
+    assert want[len(rows) - 1][1] == 0 and sum(n for _, n in want.values()) > 50
     for limit in (linededup.BROADCAST_ROWS, -1):
         old, linededup.BROADCAST_ROWS = linededup.BROADCAST_ROWS, limit
-        got = linededup.drop_site_lines(df, F.col("host"), removed_col="removed")
-        out = {(r["doc_id"], r["text"], r["removed"]) for r in got.collect()}
+        out = linededup.drop_site_lines(df, F.col("host"), removed_col="removed")
+        got = out.collect()
         linededup.BROADCAST_ROWS = old
-        assert got.columns == [*df.columns, "removed"] and got.count() == len(rows)
-        assert (3, "own line 3\n\nlast 3", 1) in out and (21, "own line 21\nCookie notice\n\nlast 21", 0) in out and (50, None, 0) in out and (51, "", 0) in out
+        assert out.columns == [*df.columns, "removed"] and {r["doc_id"]: (r["text"], r["removed"]) for r in got} == want
+        assert all((r["_lines"], r["_host"], r["_drop"]) == ("a", "b", 1) for r in got)
     assert linededup.drop_site_lines(df.limit(0), F.col("host")).count() == 0
 
 
