@@ -1,45 +1,70 @@
-"""Corpus pipeline: each stage works on all that the one before kept; all but the last keep the columns of documents."""
+"""Corpus pipeline: each stage works on all that the one before kept; all but the last keep the columns of documents.
+
+In every stage a null text stays null and an empty one empty, texts have no greatest length, columns that
+documents doesn't have pass through whatever their names, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.llm import jaccard, linededup, packing, pii, toxicity
-from leadweave.llm.queries import SURROGATE_KEY, TOKENIZERS
-from leadweave.llm.tables import read, written
+from leadweave.llm.queries import surrogate_key, vocabulary
+from leadweave.llm.tables import fresh, read, written
+
+#: Ids that stand for missing ones begin here; they come after all others.
+_NO_ID = 1 << 62
+
+
+def _counted(docs: DataFrame, kind: str) -> DataFrame:
+    """docs with n_chars, of this type, of the texts as they are now."""
+    n: Column = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    return docs.withColumn("n_chars", n.cast(kind))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the severity model rejects."""
+    """Documents without those that the severity model rejects; repeated rows go or stay together."""
     model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a large share of their source repeats; the source stands for the host."""
-    kept = linededup.drop_site_lines(docs, F.col("source"))
-    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    """Documents without the lines that a large share of their source repeats; the source stands for the host.
+
+    A line at the share itself stays; repeated rows are pages of their own; a null source is one source.
+    """
+    return _counted(linededup.drop_site_lines(docs, F.col("source")), docs.schema["n_chars"].dataType.simpleString())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; repeated rows of it are one."""
-    found = jaccard.shingle_components(docs)
-    extra = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the document with the smallest id.
+
+    Rows of one id and equal text are one. A row without an id is in the group of its text and stays only
+    if no row with an id is in it; one of equal such rows stays. Texts without words are in no group.
+    """
+    own = fresh(docs, "own")
+    text_id = F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(_NO_ID))
+    known = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("bigint"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), text_id)))
+    found = written(jaccard.shingle_components(known, id_col=own), "components")
+    extra = found.where(F.col("component_id") != F.col(own)).select(own).distinct()
+    often = found.where(F.col(own).isNotNull()).groupBy(own).count().where("count > 1").select(own)
+    kept = known.join(extra, own, "left_anti")
+    # Only rows of ids that repeat are compared.
+    one = kept.join(often, own, "left_semi").dropDuplicates([own, "text"])
+    return kept.join(often, own, "left_anti").unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
-    kept = pii.pseudonymise(docs, SURROGATE_KEY, count_col=None)
-    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    """Documents with surrogates for personal data; repeated rows get the same text."""
+    return _counted(pii.pseudonymise(docs, surrogate_key(spark), count_col=None), docs.schema["n_chars"].dataType.simpleString())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.best_fit(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    """The pieces of all documents with their places in sequences of 1024 tokens; repeated rows are packed each."""
+    return packing.best_fit(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
