@@ -10,6 +10,7 @@ P(grade >= k).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,38 +61,53 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, max_features: int = 4096, rounds: int = 400, decay: float = 2e-4) -> OrdinalModel:
-    """From each document's feature occurrences (buckets) and its label."""
+def pairs(document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a document, ascending, and how often each occurs."""
+    bucket, times = np.unique(document, return_counts=True)
+    return bucket.astype(np.int32), times.astype(np.int32)
+
+
+def _documents_with(docs: list[tuple[np.ndarray, np.ndarray]], step: int = 500) -> np.ndarray:
+    """Of each bucket; a few documents at a time."""
+    out = np.zeros(BUCKETS, np.int32)
+    for at in range(0, len(docs), step):
+        found, n = np.unique(np.concatenate([b for b, _ in docs[at : at + step]]), return_counts=True)
+        out[found] += n.astype(np.int32)
+    return out
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, max_features: int = 4096, rounds: int = 400, decay: float = 2e-4) -> OrdinalModel:
+    """From each document's buckets and times, and its label.
+
+    Only the features that are chosen are ever held for all documents at a time.
+    """
     place = np.full(BUCKETS, -1, np.int32)
     if not len(docs) or toxic.all() or not toxic.any():
         return OrdinalModel(place, np.zeros(1), np.full(GRADES, 60.0))  # nothing to tell apart: all clean
-    pairs = [np.unique(d, return_counts=True) for d in docs]
-    row = np.repeat(np.arange(len(docs)), [len(b) for b, _ in pairs])
-    bucket, times = np.concatenate([b for b, _ in pairs]), np.concatenate([t for _, t in pairs])
-    is_toxic = toxic[row]
-    in_toxic, in_clean = np.bincount(bucket[is_toxic], minlength=BUCKETS), np.bincount(bucket[~is_toxic], minlength=BUCKETS)
+    in_toxic, in_clean = (_documents_with([d for d, y in zip(docs, toxic, strict=True) if y == which]) for which in (True, False))
     nt, nc = toxic.sum(), (~toxic).sum()
+    often = np.flatnonzero(in_toxic + in_clean >= 3)
+    in_toxic, in_clean = in_toxic[often], in_clean[often]
     a, b = (in_toxic + 0.5) / (nt + 1), (in_clean + 0.5) / (nc + 1)
     odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
     spread = np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
     # What both classes say about as often would only fit noise.
-    strength = np.where((in_toxic + in_clean >= 3) & (np.abs(odds) >= 2.5), np.abs(odds) / spread, 0)
+    strength = np.where(np.abs(odds) >= 2.5, np.abs(odds) / spread, 0)
     best = np.argsort(-strength, kind="stable")[:max_features]
     best = best[strength[best] >= 3.2]
+    odds, best = odds[best], often[best]
     place[best] = np.arange(len(best))
-    marker = np.zeros(BUCKETS, bool)
-    marker[best[odds[best] > 3]] = True
-    marked = np.bincount(row, marker[bucket] * (1 + np.log(times)), len(docs))
+    kept = [(place[b][has], 1 + np.log(t[has])) for b, t in docs for has in [place[b] >= 0]]
+    row, col, value = np.repeat(np.arange(len(docs)), [len(c) for c, _ in kept]), np.concatenate([c for c, _ in kept]), np.concatenate([v for _, v in kept])
+    marked = np.bincount(row, np.append(odds > 3, False)[col] * value, len(docs))
     cuts = np.quantile(marked[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cuts, marked, "left"), 0)
 
-    has = place[bucket] >= 0
-    row, col, value = row[has], place[bucket[has]], 1 + np.log(times[has])
     n, size = len(docs), max(1, len(best))
     above = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(float)
     weight = np.where(toxic, n / (2 * nt), n / (2 * nc))[:, None] / (n * GRADES)
     # Starting from the log-odds, so that a rare but sure word counts.
-    w, t = (0.5 * odds[best] if len(best) else np.zeros(1)), np.array([1.0, 2.0, 3.0])
+    w, t = (0.5 * odds if len(best) else np.zeros(1)), np.array([1.0, 2.0, 3.0])
     steps = [np.zeros(size), np.zeros(size), np.zeros(GRADES), np.zeros(GRADES)]
     for i in range(1, rounds + 1):  # Adam on the sum over thresholds of the logistic loss
         margin = np.bincount(row, value * w[col], n)
@@ -107,7 +123,11 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, max_features: int = 4096, rou
 
 
 def train(df: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
-    """Fit on at most `sample_rows` labelled toxic and three times as many clean documents, those with the least hash of their id."""
+    """Fit on at most `sample_rows` labelled toxic and three times as many clean documents, those with the least hash of their id.
+
+    Of an id with more labels one counts; null ids and labels take no part; without labels of both
+    kinds, or with empty tables, the model calls every text clean.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
     some = None
     for y in (0, 1):
@@ -119,14 +139,15 @@ def train(df: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: str
         for batch in batches:
             for lo, hi, texts in slices(batch.column("text")):
                 row, bucket = features(texts)
-                parts = np.split(bucket, np.searchsorted(row, np.arange(1, hi - lo)))
+                parts = [pairs(p) for p in np.split(bucket, np.searchsorted(row, np.arange(1, hi - lo)))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    names=["id", "y", "buckets"],
+                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array([b.tobytes() for b, _ in parts], pa.binary()), pa.array([zlib.compress(t.tobytes(), 1) for _, t in parts], pa.binary())],
+                    names=["id", "y", "buckets", "times"],
                 )
 
-    rows = chosen.mapInArrow(run, "id bigint, y int, buckets binary").toPandas().sort_values("id", kind="stable")
-    return fit([np.frombuffer(b, np.int32) for b in rows["buckets"]], rows["y"].to_numpy(bool))
+    rows = chosen.mapInArrow(run, "id bigint, y int, buckets binary, times binary").toArrow().sort_by("id")
+    found = [(np.frombuffer(b.as_py(), np.int32), np.frombuffer(zlib.decompress(t.as_py()), np.int32)) for b, t in zip(rows["buckets"], rows["times"], strict=True)]
+    return fit(found, np.asarray(rows["y"]).astype(bool))
 
 
 def grade(df: DataFrame, model: OrdinalModel, reject_at: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +155,9 @@ def grade(df: DataFrame, model: OrdinalModel, reject_at: float = 0.4, id_col: st
 
     expected_severity is from 0 to 3; severity the grade whose P(grade >= k) is at least 1/2 last;
     rejected if P(grade >= 1) >= reject_at. A null or empty text has no feature, so is graded by the
-    thresholds alone, as clean; repeated rows come back each; other columns are ignored. One pass, no
-    shuffle; the model is a fixed number of weights.
+    thresholds alone, as clean; a text has no limit; repeated rows come back each with the same grade; an
+    empty table gives no rows; other columns are ignored, whatever their names. One pass, no shuffle; the
+    model is a fixed number of weights.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
