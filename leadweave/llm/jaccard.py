@@ -128,10 +128,11 @@ def levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
     tells how often a shingle there repeats.
     """
     mean = float(np.median(counts))
-    excess = counts - (mean + 4 * np.sqrt(mean) + 8)
-    level = np.where(excess > 0, 1 + np.floor(np.log2(np.maximum(counts - mean, 1))), 0).astype(np.uint8)
-    light = counts[level == 0].astype(float)
-    length = 1.0 if not light.mean() else max(1.0, float(light.var() / light.mean()))
+    level = np.zeros(len(counts), np.uint8)
+    often = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 8)
+    level[often] = 1 + np.floor(np.log2(np.maximum(counts[often] - mean, 1)))
+    light = counts[level == 0]
+    length = 1.0 if not light.any() else max(1.0, float(light.var(dtype=float) / light.mean(dtype=float)))
     return level, length
 
 
