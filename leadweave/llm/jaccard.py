@@ -264,17 +264,25 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
         _keys(source.where("doc is not null"), width, percent, boundary, cells, clash)
         .withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key)}).where("low <> high").dropDuplicates(["key", "node"])
     )
+    # Sets of n and m that have n - i and m - j elements from their first common key on can link only if
+    # (100 + percent) * least(n - i, m - j) >= percent * (n + m), that is if each one's `far` is no less than the other's `near`.
+    near, far = percent * F.col("n"), 100 * F.col("n") - (100 + percent) * F.col("pos")
+    # A row stays if others of its list are near enough and reach far enough; in a list of two that is the test of the pair.
+    by_near, by_far = (Window.partitionBy("key").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for x in ("near", F.desc("far")))
+    other = lambda x, w, at: F.when(F.col(at) == 1, F.nth_value(x, 2).over(w)).otherwise(F.first(x).over(w))
+    placed = met.withColumns({"near": near, "far": far}).withColumns({"nth": F.row_number().over(Window.partitionBy("key").orderBy("near")), "mth": F.row_number().over(Window.partitionBy("key").orderBy(F.desc("far")))})
+    met = placed.withColumns({"nearest": other("near", by_near, "nth"), "farthest": other("far", by_far, "mth")}).where("nearest <= far and farthest >= near")
     # An original is in nearly all lists that its prefix opens; a copy with changes has shingles of its own.
     known = F.count("*").over(Window.partitionBy("node")) / F.col("n")
-    lists = written(met.select("key", "node", "n", "pos", known.alias("known")), "lists")
-
-    def may(n: str, m: str, i: str, j: str) -> Column:
-        """Whether sets of n and m can link if their first common key is at i and j."""
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= percent * (F.col(n) + F.col(m)))
+    lists = written(met.select("key", "node", "near", "far", known.alias("known")), "lists")
+    may = (F.col("near") <= F.col("f")) & (F.col("e") <= F.col("far"))
 
     def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, float]:
         """The pairs (a, b) that link, and their share."""
-        one = classes.select("node", "n", "sketch")
+        pairs = written(pairs, name)
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+        few = nodes.count() <= BROADCAST_ROWS
+        one = classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "n", "sketch")
         likely = written(_may_link(pairs.join(one.toDF("a", "n", "s"), "a").join(one.toDF("b", "m", "t"), "b"), percent), name)
         nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         reps = written(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc")).distinct(), name)
@@ -287,18 +295,18 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
 
     def towards(rows: DataFrame) -> DataFrame:
         """Each node of rows with the most frequent `other` that its lists give."""
-        met = rows.where((F.col("node") != F.col("other")) & may("n", "m", "pos", "j")).groupBy("node", "other").agg(F.count("*").alias("k"))
+        met = rows.where((F.col("node") != F.col("other")) & may).groupBy("node", "other").agg(F.count("*").alias("k"))
         best = met.groupBy("node").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
         return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
-    centre = F.max_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("j")), F.struct("known", "node")).alias("centre")
-    found, share = linked(towards(lists.join(lists.groupBy("key").agg(centre), "key").select("key", "node", "n", "pos", "centre.*")), "near")
+    centre = F.max_by(F.struct(F.col("node").alias("other"), F.col("near").alias("e"), F.col("far").alias("f")), F.struct("known", "node")).alias("centre")
+    found, share = linked(towards(lists.join(lists.groupBy("key").agg(centre), "key").select("node", "near", "far", "centre.*")), "near")
     members = connected_components(edges.unionByName(found))
     for step in range(rounds + 1):
         now = members.select(F.col("id").alias("node"), F.col("component").alias("c"))
-        apart = written(
-            lists.join(now, "node", "left").withColumn("c", F.coalesce("c", "node"))
-            .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "node", "n", "pos", "known", "c"), "apart"
+        apart = lists = written(
+            lists.select("key", "node", "near", "far", "known").join(now, "node", "left").withColumn("c", F.coalesce("c", "node"))
+            .withColumns({"lc": F.min("c").over(by_key), "hc": F.max("c").over(by_key)}).where("lc <> hc").select("key", "node", "near", "far", "known", "c"), "apart"
         )
         parts = apart.groupBy("key", "c").agg(F.count("*").alias("k"), centre)
         main = parts.groupBy("key").agg(F.sum("k").alias("all"), F.max_by(F.struct("c", "k", "centre"), F.struct("k", "c")).alias("m")).select("key", "all", F.col("m.c").alias("main"), F.col("m.k").alias("k"), "m.centre.*")
@@ -307,12 +315,12 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
         minor = apart.join(main, "key").where("c <> main")
         if step == rounds or share < LEAST_LINKED or (todo or 0) <= PAIRS_A_ROW * (rows or 0):
             break
-        found, share = linked(towards(minor.select("key", "node", "n", "pos", "other", "m", "j")), "near")
+        found, share = linked(towards(minor.select("node", "near", "far", "other", "e", "f")), "near")
         members = connected_components(members.toDF("a", "b").unionByName(found))
     # What still is apart: members outside the largest component of a list against all of other components.
-    outside = minor.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("c").alias("e"))
+    outside = minor.select("key", F.col("node").alias("b"), F.col("near").alias("e"), F.col("far").alias("f"), F.col("c").alias("d"))
     across = (
-        apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("e")) & may("n", "m", "pos", "j"))
+        apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("d")) & may)
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     members = connected_components(members.toDF("a", "b").unionByName(linked(across, "across")[0]))
