@@ -16,11 +16,12 @@ GENERIC_HOSTS = (
 
 def name_norm(name: Column) -> Column:
     """Lower case, `&` as and, letters and digits only, leading `the` and trailing legal forms dropped; '' if nothing is left."""
+    # Groups repeat possessively: else the matcher recurses once a repetition, and a long name ends the JVM.
     plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "&", " and ")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{Nd}\s]", "")
     plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    plain = F.regexp_replace(plain, "^(?:the(?: |$))+", "")
-    return F.trim(F.regexp_replace(plain, f"(?:(?:^| )(?:{'|'.join(LEGAL_SUFFIXES)}))+$", ""))
+    plain = F.regexp_replace(plain, "^(?:the(?: |$))++", "")
+    return F.trim(F.regexp_replace(plain, f"(?:(?:^| )(?:{'|'.join(LEGAL_SUFFIXES)})(?= |$))++$", ""))
 
 
 def domain_key(url: Column) -> Column:
@@ -39,7 +40,7 @@ def domain_key(url: Column) -> Column:
     good = (
         (scheme.isNull() | scheme.isin("http", "https"))
         & ~(scheme.isNull() & raw.contains(":") & ~raw.contains("/"))
-        & host.contains(".") & host.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$") & (n >= 2)
+        & host.contains(".") & host.rlike(r"^[a-z0-9-]++(?:\.[a-z0-9-]++)++$") & (n >= 2)
         & ~key.isin(*GENERIC_HOSTS) & ~bare.isin(*GENERIC_HOSTS)
     )
     return F.when(good, key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadweave.functions.geo import distance_m
 from leadweave.functions.similarity import could_reach, similarity
 from leadweave.operators.components import connected_components
+from leadweave.sources.shared import written
 
 GRID, SPAN_CAP = 0.005, 64
 EDGE = ("a", "b", "rule")
@@ -32,11 +33,13 @@ def name_place_edges(sites: DataFrame) -> DataFrame:
 def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200.0) -> DataFrame:
     """Pairs of similar names near each other, blocked on a degree grid whose neighbour cells are met by an equi-join.
 
-    Same names at the same place are left to the star of name_place_edges; equal (name, cell) groups
-    are reduced to one member before the join, so that a popular name in one cell stays linear.
+    Sites of one name at one point form a star to their smallest id, which alone meets the others, so
+    that however many stand at one point of a geocoder stay linear. Sites without a point have no edge.
     """
     row, col = F.floor(F.col("lat") / GRID), F.floor(F.col("lon") / GRID)
-    plain = sites.where("name_norm <> ''").select("site_id", "name_norm", "lat", "lon", row.alias("row"), col.alias("col"))
+    named = sites.where("name_norm <> '' and lat is not null and lon is not null").select("site_id", "name_norm", "lat", "lon")
+    star = _star(named, ["name_norm", "lat", "lon"], 2)
+    plain = named.groupBy("name_norm", "lat", "lon").agg(F.min("site_id").alias("site_id")).select("site_id", "name_norm", "lat", "lon", row.alias("row"), col.alias("col"))
     lat_span = math.ceil(within_m / (GRID * 111_320))
     lon_span = F.least(F.ceil(within_m / (GRID * 111_320 * F.cos(F.radians(F.abs("lat") + GRID)))), F.lit(SPAN_CAP))
     around = (
@@ -51,7 +54,7 @@ def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200
     same = F.col("name_norm") == F.col("name_b")
     equal = pairs.where(same)
     near = pairs.where(~same).withColumn("jw", similarity(F.col("name_norm"), F.col("name_b"))).where(F.col("jw") >= threshold).drop("jw")
-    return equal.unionByName(near).select(F.col("site_id").alias("a"), "b", F.lit(2).alias("rule"))
+    return star.unionByName(equal.unionByName(near).select(F.col("site_id").alias("a"), "b", F.lit(2).alias("rule")))
 
 
 RULES = ("domain", "name-place", "fuzzy")
@@ -63,7 +66,7 @@ def all_edges(sites: DataFrame) -> DataFrame:
 
 def dedupe(sites: DataFrame) -> DataFrame:
     """sites with component, rule and is_primary: most confident, then smallest id; rule of the earliest edge, `none` alone."""
-    edges = all_edges(sites)
+    edges = written(all_edges(sites), "edges")
     parts = connected_components(edges)
     met = sites.join(parts.withColumnRenamed("id", "site_id"), "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
     rules = edges.join(parts, edges["a"] == parts["id"]).groupBy("component").agg(F.min("rule").alias("r"))

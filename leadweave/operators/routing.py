@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from leadweave.functions.geo import distance_m
 from leadweave.functions.similarity import could_reach, similarity
 
-#: Rows of a rule or dealer list up to which it is broadcast; lists are counted, and larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON) of a rule or dealer list up to which it is broadcast; larger lists are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows; it is cut off at the limit, so counting costs no more."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it is small; it is measured up to the limit of rows, so that costs no more."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def match_suppression(subjects: DataFrame, rules: DataFrame, threshold: float = 0.92) -> DataFrame:

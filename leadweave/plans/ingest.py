@@ -173,11 +173,11 @@ _FIPS = [f"48{2 * i + 1:03d}" for i in range(18)]
 
 
 def _found(spark, d):
-    return P.find_places(places(spark, d), MK.counties(spark, d), _FIPS, _CATS, _WORDS, ["furniture"], ["marine"], 0.6, 60)
+    return P.find_places(places(spark, d), MK.counties(spark, d), _FIPS, _CATS, _WORDS, ["furniture"], ["marine"])
 
 
 _FOUND = f"""{_PL}, found AS (SELECT site_id AS id, geoid AS county_fips, 'S' || g % 3 AS state, pl.* FROM pl JOIN counties ON {MK._IN} AND geoid IN ({', '.join(f"'{x}'" for x in _FIPS)}) WHERE confidence >= 0.6 AND (list_has_any(h, ['building', 'machinery']) OR pleaf IN ('building', 'machinery') OR regexp_matches(lower(pname), 'steel|roofing'))
-  AND NOT (list_has_any(h, ['furniture']) OR pleaf IN ('furniture')) AND NOT regexp_matches(lower(pname), 'marine') QUALIFY row_number() OVER (PARTITION BY g % 3 ORDER BY site_id) <= 60)"""
+  AND NOT (list_has_any(h, ['furniture']) OR pleaf IN ('furniture')) AND NOT regexp_matches(lower(pname), 'marine') QUALIFY row_number() OVER (PARTITION BY g % 3 ORDER BY site_id) <= {P.PER_STATE})"""
 
 
 @query(f"+{_FOUND} SELECT id, county_fips, state FROM found", ("sites", "counties"))

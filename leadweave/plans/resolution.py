@@ -71,7 +71,8 @@ _FUZZY = f"""fuzzy AS (
   WHERE {distance_m('p.lat', 'p.lon', 'q.lat', 'q.lon')} <= 200 AND jaro_winkler_similarity(p.name_norm, q.name_norm) >= 0.92)"""
 
 
-@query(f"+{NSITES}, {_FUZZY} SELECT a, b FROM fuzzy", ("sites",))
+@query(f"""+{NSITES}, firsts AS (SELECT name_norm, lat, lon, min(site_id) AS b FROM nsites WHERE name_norm <> '' GROUP BY ALL), {_FUZZY}
+  SELECT a, b FROM fuzzy WHERE a IN (SELECT b FROM firsts) AND b IN (SELECT b FROM firsts) UNION ALL SELECT site_id, b FROM nsites JOIN firsts USING (name_norm, lat, lon) WHERE site_id <> b""", ("sites",))
 def d3_fuzzy_edges(spark, d):
     return D.fuzzy_edges(sites(spark, d)).select("a", "b")
 

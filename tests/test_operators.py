@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from leadweave.functions import normalize
 from leadweave.operators import dedupe, lists, market, measure, places, research, routing, scoring
 from leadweave.operators.components import connected_components
 from leadweave.sources import imports
@@ -176,3 +177,18 @@ def test_updates_refuse_and_apply(spark):
     out, errors = lists.apply_updates(leads, updates, branches, spark.createDataFrame([("d1", "D")], "dealer_id string, dealer_name string"))
     assert rows(out, "lead_id", "status", "dealer_id", "branch_id", "assignment")[0] == ("1", "candidate", "d1", "b1", "override")
     assert rows(errors, "lead_id", "error") == [("2", "lead is suppressed"), ("9", "unknown lead")]
+
+
+def test_sites_at_one_point_stay_linear(spark):
+    point = F.lit(29.7), F.lit(-95.3)
+    base = spark.range(2000).select(F.format_string("s%05d", "id").alias("site_id"), F.when(F.col("id") < 1990, "acme steel").otherwise("acme steels").alias("name_norm"), point[0].alias("lat"), point[1].alias("lon"))
+    edges = dedupe.fuzzy_edges(base)
+    assert edges.count() <= 1999
+    parts = dedupe.connected_components(edges).collect()
+    assert len(parts) == 2000 and {r["component"] for r in parts} == {"s00000"}
+
+
+def test_long_names_and_hosts_do_not_end_the_jvm(spark):
+    df = spark.createDataFrame([("acme" + " inc" * 20_000, "a." * 20_000 + "example.com"), ("the " * 20_000 + "co corp", "x.com")], "name string, url string")
+    got = df.select(normalize.name_norm(F.col("name")).alias("n"), normalize.domain_key(F.col("url")).alias("d")).collect()
+    assert [tuple(r) for r in got] == [("acme", "example.com"), ("", "x.com")]
