@@ -43,6 +43,8 @@ CELLS, CHUNK = 1 << 22, 1 << 16
 BROADCAST_ROWS = 2_000_000
 #: No further round of centres is made for so many pairs a row of the lists, or when so small a share of the last one's pairs linked.
 PAIRS_A_ROW, LEAST_LINKED = 2, 0.1
+#: Times as many pairs, at most, as the bound of those that are counted.
+COUNTED = 50
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -280,7 +282,7 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
     def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, float]:
         """The pairs (a, b) that link, and their share."""
         pairs = written(pairs, name)
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+        nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), name)
         few = nodes.count() <= BROADCAST_ROWS
         one = classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "n", "sketch")
         likely = written(_may_link(pairs.join(one.toDF("a", "n", "s"), "a").join(one.toDF("b", "m", "t"), "b"), percent), name)
@@ -313,16 +315,16 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
         main = written(main, "main")
         todo, rows = main.agg(F.sum(F.expr("(all - k) * all")), F.sum("all")).first()
         minor = apart.join(main, "key").where("c <> main")
-        if step == rounds or share < LEAST_LINKED or (todo or 0) <= PAIRS_A_ROW * (rows or 0):
+        # Members outside the largest component of a list against all of other components.
+        outside = minor.select("key", F.col("node").alias("b"), F.col("near").alias("e"), F.col("far").alias("f"), F.col("c").alias("d"))
+        across = apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("d")) & may)
+        most = PAIRS_A_ROW * (rows or 0)
+        # The number of pairs that meet is counted only where its bound isn't out of proportion.
+        if step == rounds or share < LEAST_LINKED or (todo or 0) <= most or (todo <= COUNTED * most and across.count() <= most):
             break
         found, share = linked(towards(minor.select("node", "near", "far", "other", "e", "f")), "near")
         members = connected_components(members.toDF("a", "b").unionByName(found))
-    # What still is apart: members outside the largest component of a list against all of other components.
-    outside = minor.select("key", F.col("node").alias("b"), F.col("near").alias("e"), F.col("far").alias("f"), F.col("c").alias("d"))
-    across = (
-        apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("d")) & may)
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     members = connected_components(members.toDF("a", "b").unionByName(linked(across, "across")[0]))
     # The smallest id of each class is known; that of a component is the smallest of its classes.
     of = classes.select("node", "rep").join(members.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
