@@ -317,14 +317,16 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
         minor = apart.join(main, "key").where("c <> main")
         # Members outside the largest component of a list against all of other components.
         outside = minor.select("key", F.col("node").alias("b"), F.col("near").alias("e"), F.col("far").alias("f"), F.col("c").alias("d"))
-        across = apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("d")) & may)
+        across = apart.withColumnRenamed("node", "a").join(outside, "key").where((F.col("c") != F.col("d")) & may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         most = PAIRS_A_ROW * (rows or 0)
-        # The number of pairs that meet is counted only where its bound isn't out of proportion.
-        if step == rounds or share < LEAST_LINKED or (todo or 0) <= most or (todo <= COUNTED * most and across.count() <= most):
-            break
+        last = step == rounds or share < LEAST_LINKED or (todo or 0) <= most
+        # Written and counted only where the bound of their number isn't out of proportion.
+        if last or todo <= COUNTED * most:
+            across = written(across, "across")
+            if last or across.count() <= most:
+                break
         found, share = linked(towards(minor.select("node", "near", "far", "other", "e", "f")), "near")
         members = connected_components(members.toDF("a", "b").unionByName(found))
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     members = connected_components(members.toDF("a", "b").unionByName(linked(across, "across")[0]))
     # The smallest id of each class is known; that of a component is the smallest of its classes.
     of = classes.select("node", "rep").join(members.select(F.col("id").alias("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
