@@ -25,6 +25,13 @@ def _counted(docs: DataFrame, kind: str) -> DataFrame:
     return docs.withColumn("n_chars", n.cast(kind))
 
 
+def _listed(ids: DataFrame) -> tuple[DataFrame, int]:
+    """The ids and their number; up to BROADCAST_ROWS of them go to the texts, beyond it the texts are shuffled to the ids."""
+    ids = written(ids, "ids")
+    n = ids.count()
+    return F.broadcast(ids) if n <= jaccard.BROADCAST_ROWS else ids, n
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that the severity model rejects; repeated rows go or stay together."""
     model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -49,12 +56,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text_id = F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(_NO_ID))
     known = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("bigint"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), text_id)))
     found = written(jaccard.shingle_components(known, id_col=own), "components")
-    extra = found.where(F.col("component_id") != F.col(own)).select(own).distinct()
-    often = found.where(F.col(own).isNotNull()).groupBy(own).count().where("count > 1").select(own)
+    extra, _ = _listed(found.where(F.col("component_id") != F.col(own)).select(own).distinct())
+    often, repeats = _listed(found.where(F.col(own).isNotNull()).groupBy(own).count().where("count > 1").select(own))
     kept = known.join(extra, own, "left_anti")
-    # Only rows of ids that repeat are compared.
-    one = kept.join(often, own, "left_semi").dropDuplicates([own, "text"])
-    return kept.join(often, own, "left_anti").unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
+    if repeats:
+        # Only rows of ids that repeat are compared.
+        one = kept.join(often, own, "left_semi").dropDuplicates([own, "text"])
+        kept = kept.join(often, own, "left_anti").unionByName(one)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
