@@ -54,7 +54,8 @@ STATUS_WORDS = {
 def import_review(leads: DataFrame, edits: DataFrame, dealers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leads, log): edits (lead_id, status_text, dealer_text) by lead; blank leaves as it is; a dealer by id or name.
 
-    The log has a row per change, and one per edit that can't be read or whose lead is unknown.
+    The log has a row per change, and one per edit that can't be read or whose lead is unknown. Of two
+    edits of a lead that differ the first by alphabet holds, and the log names both.
     """
     words = F.create_map(*(F.lit(x) for pair in STATUS_WORDS.items() for x in pair))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -68,7 +69,9 @@ def import_review(leads: DataFrame, edits: DataFrame, dealers: DataFrame) -> tup
         say(~known, "unknown lead", none, none), say(known & c("_s").isNotNull() & c("_status").isNull(), "unknown status", none, c("_s")), say(known & c("_d").isNotNull() & c("_dealer").isNull(), "unknown dealer", none, c("_d")),
         say(known & c("_status").isNotNull() & (c("_status") != c("status")), "status", c("status"), c("_status")), say(known & c("_dealer").isNotNull() & ~c("_dealer").eqNullSafe(c("dealer_id")), "dealer", c("dealer_id"), c("_dealer")),
     ))))
-    change = read.select("lead_id", "_status", "_dealer").dropDuplicates(["lead_id"])
+    change = read.groupBy("lead_id").agg(*(f(x).alias(f"{y}{x}") for x in ("_status", "_dealer") for f, y in ((F.min, ""), (F.max, "_max"))))
+    two = change.select("lead_id", F.inline(F.array_compact(F.array(*(say(c(x) < c(f"_max{x}"), f"two edits of a {y}", c(x), c(f"_max{x}")) for x, y in (("_status", "status"), ("_dealer", "dealer")))))))
+    log = log.unionByName(two)
     out = leads.join(change, "lead_id", "left")
     new = {"status": F.coalesce("_status", "status"), "dealer_id": F.coalesce("_dealer", "dealer_id"), "assignment": F.when(c("_dealer").isNotNull() & ~c("_dealer").eqNullSafe(c("dealer_id")), "override").otherwise(c("assignment"))}
     return out.select(*(new[x].alias(x) if x in new else F.col(x) for x in leads.columns)), log
@@ -155,7 +158,7 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
 
 
 def credit(matches: DataFrame, sales: DataFrame, responses: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(sale_id, lead_id, credit): direct by code or a won outcome, assisted by the last response before the sale, else influenced."""
+    """(sale_id, lead_id, credit): direct by code or a won outcome of any date, assisted by a response up to the day of the sale, else influenced."""
     dated = matches.join(sales.select("sale_id", "sale_date"), "sale_id")
     won = outcomes.where("outcome = 'won'").select("lead_id").distinct().withColumn("won", F.lit(True))
     before = dated.join(responses.groupBy("lead_id").agg(F.min("ts").alias("first_ts")), "lead_id", "left").join(won, "lead_id", "left")

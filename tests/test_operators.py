@@ -192,3 +192,12 @@ def test_long_names_and_hosts_do_not_end_the_jvm(spark):
     df = spark.createDataFrame([("acme" + " inc" * 20_000, "a." * 20_000 + "example.com"), ("the " * 20_000 + "co corp", "x.com")], "name string, url string")
     got = df.select(normalize.name_norm(F.col("name")).alias("n"), normalize.domain_key(F.col("url")).alias("d")).collect()
     assert [tuple(r) for r in got] == [("acme", "example.com"), ("", "x.com")]
+
+
+def test_two_edits_of_one_lead_that_differ(spark):
+    leads = spark.createDataFrame([("a", "candidate", "d1", "auto"), ("b", "candidate", None, "gap")], "lead_id string, status string, dealer_id string, assignment string")
+    edits = spark.createDataFrame([("a", "yes", ""), ("a", "hold", "d2"), ("b", "no", ""), ("b", "No", None)], "lead_id string, status_text string, dealer_text string")
+    dealers = spark.createDataFrame([("d1", "One"), ("d2", "Two")], "dealer_id string, dealer_name string")
+    out, log = measure.import_review(leads, edits, dealers)
+    assert rows(out, "lead_id", "status", "dealer_id", "assignment") == [("a", "approved", "d2", "override"), ("b", "rejected", None, "gap")]
+    assert [tuple(r) for r in log.where("change like 'two%'").collect()] == [("a", "two edits of a status", "approved", "hold")]
