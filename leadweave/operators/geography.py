@@ -120,7 +120,14 @@ def scope_by_dealer(requests: DataFrame, dealers: DataFrame, territories: DataFr
 
 
 def union_scopes(scopes: DataFrame) -> DataFrame:
-    """One scope per request of several named values: their union, nothing dropped."""
+    """One scope per request of several named values: their union, nothing dropped.
+
+    If scopes have alternatives (array), a request of one value keeps its own; one of several has none.
+    """
+    if "alternatives" in scopes.columns:
+        none = F.expr("cast(array() as array<string>)")
+        every = F.array_distinct(F.flatten(F.collect_list(F.coalesce("counties", none))))
+        return scopes.groupBy("request_id").agg(F.sort_array(every).alias("counties"), F.when(F.count("*") == 1, F.coalesce(F.first("alternatives"), none)).otherwise(none).alias("alternatives"))
     return scopes.select("request_id", F.explode_outer("counties").alias("c")).groupBy("request_id").agg(F.sort_array(F.collect_set("c")).alias("counties"))
 
 
@@ -138,18 +145,23 @@ def states_of_counties(scopes: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def resolve_queries(requests: DataFrame, states: DataFrame, counties: DataFrame, cbsa: DataFrame, zcta: DataFrame, dealers: DataFrame, territories: DataFrame) -> DataFrame:
-    """(request_id, kind, counties) of free text: `dealer:` prefix, state, ZIP list, county word, metro, county; else kind `error`."""
+    """(request_id, kind, counties, alternatives) of free text: `dealer:` prefix, state, ZIP list, county word, metro, county; else kind `error`.
+
+    alternatives are the other counties, or metros, that fit a county or metro as well.
+    """
     q = F.trim("query")
     is_dealer, is_zips, says_county = q.rlike(r"(?i)^dealer:"), q.rlike(r"^\d{5}(\s*,\s*\d{5})*$"), F.lower(q).rlike(rf"\b(?:{'|'.join(COUNTY_WORDS)})\b")
     open_text = requests.where(~is_dealer & ~is_zips)
     by_dealer = scope_by_dealer(requests.where(is_dealer).select("request_id", F.trim(F.substring_index("query", ":", -1)).alias("dealer_id")), dealers, territories, zcta).where("error is null").select("request_id", F.lit(0).alias("rank"), "counties")
     by_state = scope_by_state(open_text, states, counties).select("request_id", F.lit(1).alias("rank"), "counties")
     by_zip = counties_for_zips(requests.where(is_zips).select("request_id", F.split("query", r"\s*,\s*").alias("zips")), zcta).where("found").select("request_id", F.lit(2).alias("rank"), "counties")
-    one = match_counties(open_text, counties, states).select("request_id", F.array("geoid").alias("counties"))
-    worded = one.join(open_text.where(says_county).select("request_id"), "request_id", "left_semi").select("request_id", F.lit(3).alias("rank"), "counties")
-    metro = match_cbsas(open_text, cbsa).groupBy("request_id").agg(F.min_by("counties", "cbsa_code").alias("counties")).select("request_id", F.lit(4).alias("rank"), "counties")
-    county = one.select("request_id", F.lit(5).alias("rank"), "counties")
-    every = by_dealer.unionByName(by_state).unionByName(by_zip).unionByName(worded).unionByName(metro).unionByName(county)
-    best = every.groupBy("request_id").agg(F.min_by(F.struct("rank", "counties"), "rank").alias("b"))
+    one = match_counties(open_text, counties, states).select("request_id", F.array("geoid").alias("counties"), "alternatives")
+    worded = one.join(open_text.where(says_county).select("request_id"), "request_id", "left_semi").select("request_id", F.lit(3).alias("rank"), "counties", "alternatives")
+    metros = match_cbsas(open_text, cbsa).groupBy("request_id").agg(F.min_by("counties", "cbsa_code").alias("counties"), F.sort_array(F.collect_set("cbsa_code")).alias("_all"))
+    metro = metros.select("request_id", F.lit(4).alias("rank"), "counties", F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))).alias("alternatives"))
+    county = one.select("request_id", F.lit(5).alias("rank"), "counties", "alternatives")
+    none = F.expr("cast(array() as array<string>)")
+    every = by_dealer.unionByName(by_state).unionByName(by_zip).withColumn("alternatives", none).unionByName(worded).unionByName(metro).unionByName(county)
+    best = every.groupBy("request_id").agg(F.min_by(F.struct("rank", "counties", "alternatives"), "rank").alias("b"))
     kinds = F.array(*map(F.lit, ("dealer", "state", "zips", "county", "metro", "county")))
-    return requests.select("request_id").join(best, "request_id", "left").select("request_id", F.coalesce(F.get(kinds, F.col("b.rank")), F.lit("error")).alias("kind"), F.col("b.counties").alias("counties"))
+    return requests.select("request_id").join(best, "request_id", "left").select("request_id", F.coalesce(F.get(kinds, F.col("b.rank")), F.lit("error")).alias("kind"), F.col("b.counties").alias("counties"), F.coalesce(F.col("b.alternatives"), none).alias("alternatives"))

@@ -183,15 +183,22 @@ def lift(report: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     return s.select(p.alias("rate_mailed"), q.alias("rate_held"), (p - q).alias("lift"), (p - q - z * error).alias("low"), (p - q + z * error).alias("high"))
 
 
-def campaign_funnel(leads: DataFrame, responses: DataFrame, outcomes: DataFrame, revenue: DataFrame) -> DataFrame:
-    """Leads mailed, responded, contacted, quoted, won and revenue by campaign, dealer and tier, with all sums over these."""
+def campaign_funnel(leads: DataFrame, responses: DataFrame, outcomes: DataFrame, revenue: DataFrame, costs: DataFrame) -> DataFrame:
+    """Leads mailed, responded, contacted, quoted, won, units, revenue and cost by campaign, dealer, segment and tier, with all sums over these.
+
+    revenue and costs are (lead_id, amount) rows; units are rows of revenue. A ratio is null where there is nothing to divide by.
+    """
     r = responses.select("lead_id").distinct().withColumn("responded", F.lit(1))
     o = outcomes.groupBy("lead_id").agg(*(F.max(F.when(F.col("outcome") == s, 1).otherwise(0)).alias(s) for s in ("contacted", "quoted", "won")))
-    m = revenue.groupBy("lead_id").agg(F.sum("amount").alias("revenue"))
-    wide = leads.join(r, "lead_id", "left").join(o, "lead_id", "left").join(m, "lead_id", "left")
-    return wide.rollup("campaign_id", "dealer_id", "tier").agg(
-        F.count("*").alias("mailed"), *(F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("responded", "contacted", "quoted", "won")), F.round(F.coalesce(F.sum("revenue"), F.lit(0.0)), 2).alias("revenue"), F.grouping_id().cast("int").alias("level")
-    )
+    m = revenue.groupBy("lead_id").agg(F.sum("amount").alias("revenue"), F.count("*").alias("units"))
+    c = costs.groupBy("lead_id").agg(F.sum("amount").alias("cost"))
+    wide = leads.join(r, "lead_id", "left").join(o, "lead_id", "left").join(m, "lead_id", "left").join(c, "lead_id", "left")
+    out = wide.rollup("campaign_id", "dealer_id", "segment", "tier").agg(
+        F.count("*").alias("mailed"), *(F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("responded", "contacted", "quoted", "won", "units")),
+        *(F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2).alias(c) for c in ("revenue", "cost")), F.grouping_id().cast("int").alias("level"),
+    )
+    ratio = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 4)
+    return out.withColumns({"cost_per_response": ratio("cost", "responded"), "cost_per_win": ratio("cost", "won"), "revenue_per_cost": ratio("revenue", "cost")})
 
 
 def time_to_first_contact(leads: DataFrame, responses: DataFrame, outcomes: DataFrame) -> DataFrame:

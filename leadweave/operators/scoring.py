@@ -103,8 +103,9 @@ def score(df: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 
 def score_breakdown(df: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """A row per lead and feature: value, weight, contribution to 4 decimals."""
-    each = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.round(F.col(f"v_{f}"), 4).alias("value"), F.lit(x).alias("weight"), F.round(F.col(f"v_{f}") * x * 100.0, 4).alias("contribution")) for i, (f, x) in enumerate(zip(FEATURES, weights, strict=True))))
+    """A row per lead and feature: value, weight, contribution to 4 decimals; columns w_* go before `weights`."""
+    w = [F.col(f"w_{f}") if f"w_{f}" in df.columns else F.lit(x) for f, x in zip(FEATURES, weights, strict=True)]
+    each = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.round(F.col(f"v_{f}"), 4).alias("value"), x.alias("weight"), F.round(F.col(f"v_{f}") * x * 100.0, 4).alias("contribution")) for i, (f, x) in enumerate(zip(FEATURES, w, strict=True))))
     return df.select("lead_id", F.inline(each))
 
 
@@ -132,11 +133,17 @@ def score_campaign(scored: DataFrame) -> DataFrame:
     return scored.where("status not in ('duplicate', 'suppressed')").where(~(F.col("score").eqNullSafe(F.col("total")) & F.col("tier").eqNullSafe(F.col("grade"))))
 
 
-def score_summary(scored: DataFrame) -> DataFrame:
+def score_leads(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """Leads scored with the weights of their campaign, as resolve_weights gives them; leads of a campaign with an error aren't scored."""
+    fine = weights.where("error is null").select("campaign_id", *(f"w_{f}" for f in FEATURES))
+    return score(score_features(features.join(sized(fine), "campaign_id")))
+
+
+def score_summary(scored: DataFrame, *keys: str) -> DataFrame:
     live = F.col("status").isin("duplicate", "suppressed") == F.lit(False)
     grade = F.col("grade")
     differs = ~(F.col("score").eqNullSafe(F.col("total")) & F.col("tier").eqNullSafe(grade))
-    return scored.agg(
+    return scored.groupBy(*keys).agg(
         F.count_if(live).alias("scored"), F.count_if(F.col("status") == "suppressed").alias("skipped"), F.count_if(live & differs).alias("changed"),
         *(F.count_if(live & (grade == g)).alias(f"tier_{g.lower()}") for g in "ABC"),
     )

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from leadweave.functions import geo
+
 from leadweave.operators import dedupe as D
+from leadweave.operators import geography as G
 from leadweave.operators import lists as L
 from leadweave.operators import places as P
 from leadweave.operators import routing as R
 from leadweave.operators import scoring as C
 from leadweave.plans import market as MK
-from leadweave.plans.registry import NSITES, name_norm, query
-from leadweave.plans.resolution import _DEDUPED, _HITS, _rules, _subjects, sites
+from leadweave.plans.registry import NSITES, domain_key, name_norm, query
+from leadweave.plans.resolution import _DEDUPED, _HITS, _ROUTED, _rules, sites
 from leadweave.sources import imports as I
 from leadweave.sources.adapter import table
+from leadweave.sources.shared import shared_folder, written
 
 BOX = (-95.7, 29.6, -95.0, 30.4)
 
@@ -120,6 +126,24 @@ def p5_import_list(spark, d):
     return _merge(spark, d, True)[1]
 
 
+@query(f"""+r AS (SELECT k, g, concat_ws('|', {name_norm('name')}, coalesce({domain_key('website')}, ''), postcode) AS key, k % 9 <> 0 AND k % 10 <> 0 AND k % 6 <> 5 AS fine FROM sites),
+  cur AS (SELECT DISTINCT key FROM r WHERE fine AND k % 4 = 0), inc AS (SELECT key, count(*) AS n FROM r WHERE fine AND g % 3 = 0 GROUP BY 1)
+  SELECT CAST(count(*) FILTER (key NOT IN (SELECT key FROM cur)) AS BIGINT) AS imported, CAST(sum(CASE WHEN key IN (SELECT key FROM cur) THEN n ELSE n - 1 END) AS BIGINT) AS updated,
+  (SELECT count(*) FROM cur WHERE key NOT IN (SELECT key FROM inc)) AS removed, (SELECT count(*) FROM r WHERE NOT fine AND g % 3 = 0) AS rejected FROM inc""", ("sites",))
+def p5_import_suppression_list(spark, d):
+    """Raw rows -> headers and blank rows -> checked rules -> the list that they replace, with counts."""
+    k = F.col("k")
+    raw = table(spark, d, "sites").select(
+        k.alias("row"), "g", F.when(k % 9 == 0, "  ").when(k % 10 == 0, "The Co.").otherwise(F.col("name")).alias(" Company_Name"), F.col("website").alias("domain"),
+        F.lit(None).cast("string").alias("address"), F.col("postcode").alias("zip"), F.when(k % 6 == 5, "bad").otherwise("").alias("reason"),
+    )
+    good, bad = I.import_suppression(I.required_columns(raw, "suppression"))
+    current = good.where("row % 4 = 0").groupBy("rule_id").agg(F.min("reason").alias("reason"))
+    counts = I.merge_list(current, good.where("g % 3 = 0").select("row", "rule_id", "reason"), "rule_id", True)[1]
+    rejected = bad.where("floor(row / 3) % 3 = 0").agg(F.count("*").alias("rejected"))
+    return counts.crossJoin(rejected)  # one row each
+
+
 @query("SELECT count(*) AS rows FROM customer WHERE c_custkey % 5 <> 0")
 def i12_required_columns(spark, d):
     k = F.col("c_custkey")
@@ -185,6 +209,14 @@ def f3_find_places(spark, d):
     return _found(spark, d).select("id", "county_fips", "state")
 
 
+@query("SELECT site_id AS id, CASE WHEN k % 41 = 0 THEN NULL ELSE name END AS name, 'S' || g % 3 AS state FROM sites WHERE g % 3 <> 1", ("sites",))
+def i1_read_places(spark, d):
+    """An extract is written by release and state; two states of it are read."""
+    folder = f"{shared_folder(spark)}/places-{uuid.uuid4().hex}"
+    P.write_extract(places(spark, d).select("id", "name", "state"), folder, "r1")
+    return P.read_places(spark, folder, ["S0", "S2"]).select("id", "name", "state")
+
+
 @query("SELECT site_id FROM sites WHERE CAST(postcode AS INTEGER) % 2 = 0 AND CAST(postcode AS INTEGER) < 77400", ("sites",))
 def f5_scope_filter(spark, d):
     zips = [str(z) for z in range(77000, 77400, 2)]
@@ -225,28 +257,58 @@ def l8_candidate_summary(spark, d):
     return L.candidate_summary(D.dedupe(sites(spark, d)))
 
 
-def p1_find_candidates_plan(spark, d):
-    """Places of the counties that match the profile -> sites -> groups -> suppressed -> routed."""
-    from leadweave.operators.dedupe import dedupe
+# The campaign of p1 in words; the geography of a profile is one of its requests.
+_CAMPAIGN = """{"segments":[{"name":"A","categories":["building","machinery"],"keywords":["Steel","roofing "]}],"excludeCategories":["furniture"],"excludeKeywords":["marine"]}"""
+
 
-    found = _found(spark, d).select(F.col("id").alias("site_id"), "county_fips")
-    deduped = dedupe(sites(spark, d).join(found, "site_id"))
+def p1_find_candidates_plan(spark, d):
+    """Requests -> counties; profile -> targets; places -> sites -> groups -> leads of the campaign -> suppressed -> routed."""
+    asked = spark.createDataFrame([(0, f"Nation_{i} County") for i in range(len(_FIPS))], "campaign int, query string").withColumn("request_id", F.monotonically_increasing_id())
+    scopes = G.resolve_queries(asked, MK.states(spark), MK.counties(spark, d), MK.cbsa(spark, d), MK.zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories"))
+    scope = G.union_scopes(scopes.join(asked.select("request_id", "campaign"), "request_id").select(F.col("campaign").alias("request_id"), "counties"))
+    targets = P.profile_targets(spark.createDataFrame([("c1", _CAMPAIGN)], "campaign_id string, profile_json string"))
+    # Counties of one scope and values of one profile: some thousands at most.
+    fips = scope.first()["counties"]
+    wanted = {r["kind"]: r["values"] for r in targets.groupBy("kind").agg(F.collect_list("value").alias("values")).collect()}
+    found = P.find_places(places(spark, d), MK.counties(spark, d), fips, wanted["category"], wanted["keyword"], wanted["not_category"], wanted["not_keyword"], float(wanted["min_confidence"][0]))
+    found = written(D.distinct_by_id(found.select("id", "county_fips"), "id", [F.col("county_fips")]), "found")
+    flat = P.places_to_sites(raw_places(spark, d).drop("k").join(found, "id", "left_semi"), "r1").drop("payload_json")
+    deduped = written(D.dedupe(flat.withColumn("gh7", geo.geohash(F.col("lat"), F.col("lon")))), "deduped")
+    number = F.concat(F.lit("L"), F.lpad((F.col("k") + 1).cast("string"), 8, "0"))
+    known = table(spark, d, "leads")
+    old = I.clear_candidates(known, table(spark, d, "research").withColumn("campaign_id", F.lit("c1")), "c1").select("campaign_id", number.alias("lead_id"), "site_id")
+    stored = I.store_candidates(deduped, known.select("site_id", F.lit(None).cast("string").alias("company_id")), old, "c1")
     none = F.lit(None).cast("string")
-    leads = deduped.select(F.col("site_id").alias("lead_id"), F.when(F.col("is_primary"), "candidate").otherwise("duplicate").alias("status"), none.alias("pre_status"), none.alias("suppress_reason"), none.alias("assignment"), none.alias("dealer_id"), none.alias("branch_id"), "lat", "lon", "postcode", "county_fips", "leaf")
-    hits = R.match_suppression(_subjects(spark, d).join(leads.select("lead_id"), "lead_id", "left_semi"), _rules(spark, d))
+    leads = stored.join(deduped.select("site_id", "name_norm", "domain_key", "zip5", "lat", "lon", "leaf"), "site_id").join(found.select(F.col("id").alias("site_id"), "county_fips"), "site_id")
+    leads = written(leads.withColumn("postcode", F.col("zip5")).withColumns({c: none for c in ("pre_status", "suppress_reason", "assignment", "dealer_id", "branch_id")}), "leads")
+    hits = R.match_suppression(leads.select("lead_id", "name_norm", "domain_key", "zip5"), _rules(spark, d))
     after = R.apply_suppression(leads, hits).select(leads.columns)
     return R.assign_dealers(after, table(spark, d, "territories"), table(spark, d, "branches"))
 
 
-_P1 = f"""{_FOUND}, {_DEDUPED.replace('FROM sites)', 'FROM sites WHERE site_id IN (SELECT id FROM found))')}, {_HITS[len(NSITES) + 2:]}
-  SELECT site_id AS lead_id, CASE WHEN NOT is_primary THEN 'duplicate' WHEN h.rule_id IS NOT NULL THEN 'suppressed' ELSE 'candidate' END AS status FROM deduped LEFT JOIN hits h ON h.lead_id = site_id"""
+_P1 = f"""{_FOUND}, {_DEDUPED.replace('FROM sites)', 'FROM (SELECT * REPLACE (CASE WHEN k % 37 <> 0 THEN postcode END AS postcode) FROM sites WHERE site_id IN (SELECT id FROM found)) x)')}, {_HITS[len(NSITES) + 2:]},
+  kept AS (SELECT site_id, k FROM leads WHERE status NOT IN ('candidate', 'duplicate', 'suppressed') OR lead_id IN (SELECT lead_id FROM research)),
+  stored AS (SELECT *, row_number() OVER (ORDER BY site_id) + (SELECT coalesce(max(k + 1), 0) FROM kept) AS num FROM deduped WHERE site_id NOT IN (SELECT site_id FROM kept)),
+  newleads AS (SELECT 'L' || CASE WHEN num < 1000 THEN lpad(CAST(num AS STRING), 4, '0') ELSE CAST(num AS STRING) END AS lead_id, s.site_id, s.lat, s.lon, s.postcode, s.leaf, f.county_fips, CASE WHEN NOT is_primary THEN 'duplicate' WHEN h.rule_id IS NOT NULL THEN 'suppressed' ELSE 'candidate' END AS status,
+    CAST(NULL AS STRING) AS assignment, CAST(NULL AS STRING) AS dealer_id, CAST(NULL AS STRING) AS branch_id FROM stored s JOIN found f ON f.id = s.site_id LEFT JOIN hits h ON h.lead_id = s.site_id), {_ROUTED.replace('FROM leads', 'FROM newleads').replace('ruled', 'eligible')}"""
+_P1_TABLES = ("sites", "counties", "suppression", "leads", "research", "territories", "branches")
 
 
-@query(f"+{_P1}", ("sites", "counties", "suppression"))
+@query(f"+{_P1} SELECT lead_id, site_id, status, dealer_id, branch_id, assignment FROM given", _P1_TABLES)
 def p1_find_candidates(spark, d):
-    return p1_find_candidates_plan(spark, d).select("lead_id", "status")
+    return p1_find_candidates_plan(spark, d).select("lead_id", "site_id", "status", "dealer_id", "branch_id", "assignment")
+
+
+@query(f"+{_P1}, top AS (SELECT site_id FROM newleads JOIN sites USING (site_id) WHERE status = 'candidate' ORDER BY confidence DESC, site_id LIMIT 10) SELECT 'category' AS part, leaf AS name, count(*) AS leads FROM given WHERE status <> 'duplicate' GROUP BY 2 UNION ALL SELECT 'sample', site_id, 1 FROM top", _P1_TABLES)
+def p1_candidate_report(spark, d):
+    """What p1 stored by category, and a sample of ten candidates."""
+    leads = p1_find_candidates_plan(spark, d).join(table(spark, d, "sites").select("site_id", "confidence"), "site_id")
+    summary = L.candidate_summary(leads.withColumn("is_primary", F.col("status") != "duplicate")).select(F.lit("category").alias("part"), F.col("category").alias("name"), "leads")
+    return summary.unionByName(L.sample_candidates(leads).select(F.lit("sample").alias("part"), F.col("site_id").alias("name"), F.lit(1).cast("bigint").alias("leads")))
 
 
-@query(f"SELECT 'counties' AS part, count(*) AS rows FROM counties UNION ALL SELECT 'cbsa', count(*) FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'places', count(*) FROM sites WHERE {_EXT}", ("sites", "counties"))
+@query(f"""SELECT 'counties' AS part, count(*) AS rows FROM counties UNION ALL SELECT 'cbsa', count(*) FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'zcta', count(*) FROM (SELECT DISTINCT postcode, g % 25 FROM sites WHERE k % 5 <> 0 AND k % 6 <> 0) z
+  UNION ALL SELECT 'places', count(*) FROM sites WHERE {_EXT} UNION ALL SELECT 'states to build', count(DISTINCT g) FROM sites WHERE g % 3 <> 0""", ("sites", "counties"))
 def p6_prepare_data(spark, d):
-    return L.list_counts({"counties": i4_load_counties(spark, d), "cbsa": i5_load_cbsa(spark, d), "places": i2_extract_state(spark, d)}).withColumnRenamed("list", "part")
+    parts = {"counties": i4_load_counties(spark, d), "cbsa": i5_load_cbsa(spark, d), "zcta": i6_load_zcta_county(spark, d), "places": i2_extract_state(spark, d), "states to build": i3_incremental_extract(spark, d).where("step = 'build'")}
+    return L.list_counts(parts).withColumnRenamed("list", "part")

@@ -106,8 +106,11 @@ _CAMPAIGN_JSON = """SELECT concat('c', CAST(c_custkey AS STRING)) AS campaign_id
   CASE WHEN j IS NULL THEN 0.25::DOUBLE WHEN j LIKE '%0.5%' THEN 0.5::DOUBLE WHEN j LIKE '%0.3%' THEN 0.1::DOUBLE END AS w_segment,
   CASE WHEN j IS NULL THEN 0.1::DOUBLE WHEN j LIKE '%0.5%' THEN 0.0::DOUBLE WHEN j LIKE '%0.3%' THEN 0.1::DOUBLE END AS w_confidence FROM p""")
 def c7_resolve_weights(spark, d):
-    made = spark.sql(_CAMPAIGN_JSON.replace("FROM customer", "FROM {customer}").replace('{"', '{{"').replace('}\'', '}}\'').replace("{{customer}}", "{customer}"), customer=table(spark, d, "customer"))
-    return C.resolve_weights(made).select("campaign_id", "error", "w_segment", "w_confidence")
+    return C.resolve_weights(_campaigns(spark, d)).select("campaign_id", "error", "w_segment", "w_confidence")
+
+
+def _campaigns(spark, d):
+    return spark.sql(_CAMPAIGN_JSON.replace("FROM customer", "FROM {customer}").replace('{"', '{{"').replace('}\'', '}}\'').replace("{{customer}}", "{customer}"), customer=table(spark, d, "customer"))
 
 
 @query(f"+{_FEAT} SELECT lead_id, total, grade FROM scored WHERE status NOT IN ('duplicate', 'suppressed') AND (score IS DISTINCT FROM total OR tier IS DISTINCT FROM grade)", _T)
@@ -121,6 +124,23 @@ def p3_score_leads(spark, d):
     return C.score_summary(scored(spark, d))
 
 
+@query(f"""+{_FEAT}, weighed AS (SELECT v.*, k % 10 + 1 AS n, CASE WHEN k % 10 = 3 THEN [0.1, 0.2, 0.3, 0.2, 0.1, 0.1]::DOUBLE[] WHEN k % 10 IN (4, 9) THEN [0.5, 0, 0, 0.5, 0, 0]::DOUBLE[] WHEN k % 10 = 8 THEN [0.25, 0.15, 0.2, 0.25, 0.05, 0.1]::DOUBLE[] END AS w FROM vals v),
+  based AS (SELECT *, CAST(round((v_segment * w[1] + v_size * w[2] + v_facility * w[3] + v_signals * w[4] + v_proximity * w[5] + v_confidence * w[6]) * 100.0::DOUBLE) AS INTEGER) + greatest(-15, least(15, coalesce(adjustment, 0))) AS b FROM weighed),
+  own AS (SELECT *, least(greatest(0, least(100, b)), CASE n_signals WHEN 0 THEN 79 ELSE 100 END) AS t FROM based), ranked AS (SELECT *, CASE WHEN t >= 80 THEN 'A' WHEN t >= 65 THEN 'B' ELSE 'C' END AS g2, w IS NOT NULL AND status NOT IN ('duplicate', 'suppressed') AS live FROM own),
+  told AS (SELECT *, live AND (score IS DISTINCT FROM t OR tier IS DISTINCT FROM g2) AS differs FROM ranked)
+  SELECT 'c' || n AS campaign_id, CASE n % 5 WHEN 1 THEN 'sum is not 1' WHEN 2 THEN 'unknown key' WHEN 3 THEN 'value outside 0 to 1' END AS error, count(*) FILTER (live) AS scored, count(*) FILTER (w IS NOT NULL AND status = 'suppressed') AS skipped, count(*) FILTER (differs) AS changed,
+  count(*) FILTER (live AND g2 = 'A') AS tier_a, count(*) FILTER (live AND g2 = 'B') AS tier_b, count(*) FILTER (live AND g2 = 'C') AS tier_c, 6 * count(*) FILTER (differs) AS breakdown_rows FROM told GROUP BY n""", _T)
+def p3_score_campaigns(spark, d):
+    """Weights of each campaign -> features -> values -> scores -> rows that change with their breakdown -> a summary per campaign."""
+    own = leads(spark, d).withColumn("campaign_id", F.concat(F.lit("c"), (F.col("k") % 10 + 1).cast("string")))
+    weights = C.resolve_weights(_campaigns(spark, d).join(own.select("campaign_id").distinct(), "campaign_id", "left_semi"))
+    features = C.extract_features(own, table(spark, d, "branches"), table(spark, d, "research"), table(spark, d, "signals"), segments(spark), AS_OF_MONTH, PROFILE_MIN)
+    out = C.score_leads(features, weights)
+    changed = C.score_campaign(out)
+    parts = C.score_breakdown(changed).join(changed.select("lead_id", "campaign_id"), "lead_id").groupBy("campaign_id").agg(F.count("*").alias("breakdown_rows"))
+    return weights.select("campaign_id", "error").join(C.score_summary(out, "campaign_id"), "campaign_id", "left").join(parts, "campaign_id", "left").na.fill(0)
+
+
 @query(f"""SELECT lead_id, upper(substr(type, 1, 1)) || substr(type, 2) || ': ' || text || ' (' || date_text || ')' AS top_signal FROM signals
   QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY {_QUAL} DESC, {_MONTH} DESC NULLS LAST, type, event_id) = 1""", ("signals",))
 def c9_top_signal(spark, d):
@@ -167,6 +187,19 @@ def p4_save_research_refused(spark, d):
     return V.save_research(valid, table(spark, d, "leads"), table(spark, d, "research").select(F.lit("c1").alias("campaign_id"), "lead_id", "document"), none)[2].select("lead_id", "error")
 
 
+@query(f"""+docs AS ({_DOCS}), saved AS (SELECT docs.* FROM docs JOIN leads USING (lead_id) WHERE CAST(substr(lead_id, 4) AS INTEGER) % 6 < 2 AND status <> 'duplicate'),
+  research2 AS (SELECT lead_id, document FROM research WHERE lead_id NOT IN (SELECT lead_id FROM saved) UNION ALL SELECT lead_id, document FROM saved),
+  signals2 AS (SELECT lead_id, type, date_text FROM signals WHERE lead_id NOT IN (SELECT lead_id FROM saved) UNION ALL SELECT lead_id, unnest(['hiring', 'news']), unnest(['2024-01', '2023-12-05']) FROM saved WHERE CAST(substr(lead_id, 4) AS INTEGER) % 6 = 0),
+  {_FEAT.replace("FROM research", "FROM research2").replace("FROM signals", "FROM signals2")} SELECT lead_id, total, grade FROM scored WHERE status NOT IN ('duplicate', 'suppressed') AND (score IS DISTINCT FROM total OR tier IS DISTINCT FROM grade)""", _T)
+def p4_save_and_score(spark, d):
+    """Documents -> valid ones saved with their signals -> leads scored with what is now known: the rows that change."""
+    valid, _ = V.validate_research(_docs(spark, d))
+    old = table(spark, d, "signals").select(F.lit("c1").alias("campaign_id"), "lead_id", F.col("event_id").cast("int").alias("pos"), "type", "text", "date_text")
+    research, now, _ = V.save_research(valid, table(spark, d, "leads"), table(spark, d, "research").select(F.lit("c1").alias("campaign_id"), "lead_id", "document"), old)
+    features = C.extract_features(leads(spark, d), table(spark, d, "branches"), research, now, segments(spark), AS_OF_MONTH, PROFILE_MIN)
+    return C.score_campaign(C.score(C.score_features(features))).select("lead_id", "total", "grade")
+
+
 @query("SELECT lead_id, score FROM leads WHERE status IN ('candidate', 'approved') AND tier IN ('A', 'B') AND score >= 70 AND research_status IN ('saved', 'no_signal')", ("leads",))
 def f4_filter_leads(spark, d):
     return L.filter_leads(leads(spark, d), ["candidate", "approved"], ["A", "B"], None, 70, ["saved", "no_signal"]).select("lead_id", "score")

@@ -214,9 +214,13 @@ def _scopes(spark, d):
     return own.unionByName(own.select("request_id", F.array(F.lit("48001"), F.lit("99003")).alias("counties")))
 
 
-@query("SELECT lead_id AS request_id, array_to_string(list_sort(list_distinct([county_fips, '48001', '99003'])), ',') AS counties FROM leads", ("leads",))
+@query("""SELECT lead_id AS request_id, CASE k % 2 WHEN 1 THEN array_to_string(list_sort(list_distinct([county_fips, '48001', '99003'])), ',') ELSE county_fips END AS counties,
+  CASE k % 2 WHEN 1 THEN '' ELSE '48049,48051' END AS alternatives FROM leads""", ("leads",))
 def g7_union_scopes(spark, d):
-    return joined(G.union_scopes(_scopes(spark, d)), "counties")
+    """Half of the requests name two values, the others one that is ambiguous."""
+    own = table(spark, d, "leads").select(F.col("lead_id").alias("request_id"), "k", F.array("county_fips").alias("counties"), F.array(F.lit("48049"), F.lit("48051")).alias("alternatives"))
+    two = own.where("k % 2 = 1").withColumn("counties", F.array(F.lit("48001"), F.lit("99003")))
+    return joined(G.union_scopes(own.unionByName(two).drop("k")), "counties", "alternatives")
 
 
 @query("SELECT lead_id AS request_id, round(least(c.xmin, o.xmin), 6) AS xmin, round(least(c.ymin, o.ymin), 6) AS ymin, round(greatest(c.xmax, o.xmax), 6) AS xmax, round(greatest(c.ymax, o.ymax), 6) AS ymax FROM leads JOIN counties c ON c.geoid = county_fips JOIN counties o ON o.geoid = '48001'", ("leads", "counties"))
@@ -230,14 +234,24 @@ def g11_states_of_counties(spark, d):
     return joined(G.states_of_counties(_scopes(spark, d), states(spark)), "states")
 
 
-@query(f"""+{_ZC} SELECT k AS request_id, CASE k % 7 WHEN 0 THEN CASE WHEN 'd' || k % 12 IN (SELECT dealer_id FROM dealers) THEN 'dealer' ELSE 'error' END WHEN 1 THEN 'state' WHEN 2 THEN 'zips' WHEN 3 THEN 'county' WHEN 4 THEN 'metro' WHEN 5 THEN 'county' ELSE 'error' END AS kind FROM sites""", ("sites", "dealers"))
+_DEALT = """dealt AS (SELECT dealer_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(list(code) FILTER (level = 'county'), []), coalesce(list(county_geoid) FILTER (county_geoid IS NOT NULL), [])))), ',') AS dealt
+  FROM territories LEFT JOIN zc ON level = 'zip' AND zcta5 = code GROUP BY 1)"""
+
+
+@query(f"""+{_ZC}, {_DEALT}, zips AS (SELECT postcode, (SELECT array_to_string(list_sort(list(DISTINCT county_geoid)), ',') FROM zc WHERE zcta5 IN (p.postcode, '77001')) AS of_zips FROM (SELECT DISTINCT postcode FROM sites) p)
+  SELECT k AS request_id, CASE k % 7 WHEN 0 THEN CASE WHEN dealt IS NOT NULL THEN 'dealer' ELSE 'error' END WHEN 1 THEN 'state' WHEN 2 THEN 'zips' WHEN 3 THEN 'county' WHEN 4 THEN 'metro' WHEN 5 THEN 'county' ELSE CASE WHEN k % 14 = 6 THEN 'county' ELSE 'error' END END AS kind,
+  CASE WHEN k % 7 = 0 THEN dealt WHEN k % 7 = 1 THEN {_ALL} WHEN k % 7 = 2 THEN of_zips WHEN k % 7 IN (3, 5) THEN concat('48', lpad(CAST(2 * (k % 25) + 1 AS STRING), 3, '0'))
+    WHEN k % 7 = 4 THEN (SELECT array_to_string(list_sort(list({_GEOID})), ',') FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA') WHEN k % 14 = 6 THEN (SELECT min(geoid) FROM counties) END AS counties,
+  CASE WHEN k % 14 = 6 THEN (SELECT array_to_string(list_slice(list_sort(list(geoid)), 2, 100), ',') FROM counties) ELSE '' END AS alternatives
+  FROM sites LEFT JOIN dealt ON dealer_id = 'd' || k % 12 LEFT JOIN zips USING (postcode)""", ("sites", "territories", "counties"))
 def g10_resolve_queries(spark, d):
     k = F.col("k") % 7
     n = (F.col("k") % 25).cast("string")
     text = (
         F.when(k == 0, F.concat(F.lit("dealer: d"), (F.col("k") % 12).cast("string"))).when(k == 1, "Texas").when(k == 2, F.concat("postcode", F.lit(", 77001")))
-        .when(k == 3, F.concat(F.lit("Nation_"), n, F.lit(" County"))).when(k == 4, "africaville metro").when(k == 5, F.concat(F.lit("nation_"), n)).otherwise("Atlantis")
+        .when(k == 3, F.concat(F.lit("Nation_"), n, F.lit(" County"))).when(k == 4, "africaville metro").when(k == 5, F.concat(F.lit("nation_"), n))
+        .when(F.col("k") % 14 == 6, "Nati").otherwise("Atlantis")
     )
     req = table(spark, d, "sites").select(F.col("k").alias("request_id"), text.alias("query"))
     out = G.resolve_queries(req, states(spark), counties(spark, d), cbsa(spark, d), zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories"))
-    return out.select("request_id", "kind")
+    return joined(out, "counties", "alternatives")

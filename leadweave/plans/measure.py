@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadweave.functions.normalize import address_norm, name_norm
 from leadweave.operators import measure as M
-from leadweave.operators.scoring import score_breakdown
+from leadweave.operators.scoring import match_segment, score_breakdown
 from leadweave.plans import leads as LP
 from leadweave.plans.registry import name_norm as sql_name
 from leadweave.plans.registry import query
@@ -135,12 +135,18 @@ def b4_lift(spark, d):
     return M.lift(M.cohort_report(_matches(spark, d), _cohorts(spark, d))).select(*(F.round(c, 6).alias(c) for c in ("lift", "low", "high")))
 
 
-@query("""+wide AS (SELECT l.campaign_id, l.dealer_id, l.tier, r.lead_id IS NOT NULL AS responded, coalesce(c, 0) AS contacted, coalesce(q, 0) AS quoted, coalesce(w, 0) AS won, rev FROM leads l LEFT JOIN (SELECT DISTINCT lead_id FROM responses) r USING (lead_id)
-  LEFT JOIN (SELECT lead_id, max(CASE outcome WHEN 'contacted' THEN 1 ELSE 0 END) AS c, max(CASE outcome WHEN 'quoted' THEN 1 ELSE 0 END) AS q, max(CASE outcome WHEN 'won' THEN 1 ELSE 0 END) AS w, sum(value) AS rev FROM outcomes GROUP BY 1) o USING (lead_id))
-  SELECT campaign_id, dealer_id, tier, count(*) AS mailed, count(*) FILTER (responded) AS responded, CAST(sum(contacted) AS BIGINT) AS contacted, CAST(sum(quoted) AS BIGINT) AS quoted, CAST(sum(won) AS BIGINT) AS won, round(coalesce(sum(rev), 0), 2) AS revenue, CAST(grouping(campaign_id, dealer_id, tier) AS INTEGER) AS level FROM wide GROUP BY ROLLUP (campaign_id, dealer_id, tier)""", ("leads", "responses", "outcomes"))
+@query(f"""+{LP._SEG}, wide AS (SELECT l.campaign_id, l.dealer_id, segment, l.tier, r.lead_id IS NOT NULL AS responded, coalesce(c, 0) AS contacted, coalesce(q, 0) AS quoted, coalesce(w, 0) AS won, coalesce(u, 0) AS units, rev, 55.0::DOUBLE + 5 * (k % 3) AS cost
+  FROM leads l LEFT JOIN seg USING (lead_id) LEFT JOIN (SELECT DISTINCT lead_id FROM responses) r USING (lead_id)
+  LEFT JOIN (SELECT lead_id, max(CASE outcome WHEN 'contacted' THEN 1 ELSE 0 END) AS c, max(CASE outcome WHEN 'quoted' THEN 1 ELSE 0 END) AS q, max(CASE outcome WHEN 'won' THEN 1 ELSE 0 END) AS w, count(*) AS u, sum(value) AS rev FROM outcomes GROUP BY 1) o USING (lead_id)),
+  sums AS (SELECT campaign_id, dealer_id, segment, tier, count(*) AS mailed, count(*) FILTER (responded) AS responded, CAST(sum(contacted) AS BIGINT) AS contacted, CAST(sum(quoted) AS BIGINT) AS quoted, CAST(sum(won) AS BIGINT) AS won, CAST(sum(units) AS BIGINT) AS units,
+    round(coalesce(sum(rev), 0), 2) AS revenue, round(sum(cost), 2) AS cost, CAST(grouping(campaign_id, dealer_id, segment, tier) AS INTEGER) AS level FROM wide GROUP BY ROLLUP (campaign_id, dealer_id, segment, tier))
+  SELECT *, round(CASE WHEN responded > 0 THEN cost / responded END, 4) AS cost_per_response, round(CASE WHEN won > 0 THEN cost / won END, 4) AS cost_per_win, round(CASE WHEN cost > 0 THEN revenue / cost END, 4) AS revenue_per_cost FROM sums""", ("leads", "responses", "outcomes"))
 def b5_campaign_funnel(spark, d):
     o = table(spark, d, "outcomes")
-    return M.campaign_funnel(table(spark, d, "leads"), table(spark, d, "responses"), o, o.select("lead_id", F.col("value").alias("amount")))
+    ls = LP.leads(spark, d)
+    ls = ls.join(match_segment(ls, LP.segments(spark)).select("lead_id", "segment"), "lead_id", "left")
+    costs = ls.select("lead_id", (F.lit(55.0) + 5 * (F.col("k") % 3)).alias("amount"))
+    return M.campaign_funnel(ls, table(spark, d, "responses"), o, o.select("lead_id", F.col("value").alias("amount")), costs)
 
 
 @query("""+a AS (SELECT lead_id, min(ts) AS ts FROM responses GROUP BY 1), f AS (SELECT a.lead_id, min(outcome_ts) AS contact FROM a JOIN outcomes o ON o.lead_id = a.lead_id AND outcome_ts >= ts GROUP BY 1)
