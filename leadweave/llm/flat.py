@@ -79,15 +79,15 @@ class Pieces:
         return np.searchsorted(self.row, np.arange(rows + 1))
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of data[starts[i]:ends[i]]; ascending, not overlapping, none empty."""
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE, base: np.uint64 = _BASE) -> np.ndarray:
+    """Of data[starts[i]:ends[i]]; ascending, not overlapping, none empty. Another table and base give other 64 bits."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     length = ends - starts
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     at = np.arange(int(length.sum())) - np.repeat(first, length)
-    power = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-    value = _BYTE[data[at + np.repeat(starts, length)]] * power[at]
+    power = np.cumprod(np.full(int(length.max()), base, np.uint64))
+    value = table[data[at + np.repeat(starts, length)]] * power[at]
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * _ODD[0])
 
 
