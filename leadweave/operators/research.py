@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,58 +11,139 @@ from pyspark.sql import functions as F
 STATUSES = ("researched", "no_signal")
 LEVELS = ("high", "medium", "low", "unknown")
 SIGNAL_TYPES = ("permit", "hiring", "expansion", "news", "funding", "contract", "registry", "other")
-KEYS = ("status", "summary", "segment", "facilityFit", "employeeEstimate", "signals", "suggestedAngle", "personalLine", "contactRoles", "llmAdjustment", "rationale", "sources", "cautions")
-NESTED_KEYS = {"facilityFit": ("level", "evidence", "url"), "employeeEstimate": ("value", "source", "note")}
-LENGTHS = {"summary": (10, 600), "segment": (0, 80), "suggestedAngle": (0, 240), "personalLine": (0, 180), "rationale": (10, 600)}
-LISTS = {"signals": 10, "contactRoles": 5, "sources": 10, "cautions": 5}
-URL, DATE = r"^https?://[^\s]+$", r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"
+URL, DATE, URL_LENGTH = r"^https?://[^\s]+$", r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", 2000
 SCHEMA = (
     "status string, summary string, segment string, facilityFit struct<level:string,evidence:string,url:string>, employeeEstimate struct<value:int,source:string,note:string>,"
     " signals array<struct<type:string,text:string,url:string,date:string>>, suggestedAngle string, personalLine string, contactRoles array<string>, llmAdjustment int,"
     " rationale string, sources array<string>, cautions array<string>"
 )
 
+#: A rule: (a variant that is there, its JSON pointer) -> array<struct<pointer, problem>>.
+Rule = Callable[[Column, Column], Column]
+
+
+def _one(at: Column, problem: str) -> Column:
+    return F.array(F.struct(at.alias("pointer"), F.lit(problem).alias("problem")))
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<struct<pointer:string,problem:string>>)")
+
+
+def _where(broken: Column, at: Column, problem: str) -> Column:
+    return F.when(F.coalesce(broken, F.lit(False)), _one(at, problem)).otherwise(_none())
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def one_of(*values: str) -> Rule:
+    def rule(v: Column, at: Column) -> Column:
+        known = (_kind(v) == "STRING") & F.try_variant_get(v, "$", "string").isin(*values)
+        return _where(~known, at, "not one of the values")
+
+    return rule
+
+
+def text(least: int = 0, most: int = 1 << 30, pattern: str | None = None, shape: str = "") -> Rule:
+    def rule(v: Column, at: Column) -> Column:
+        def body(s: Column) -> Column:
+            found = [_where(F.length(s) < least, at, "too short"), _where(F.length(s) > most, at, "too long")]
+            return F.concat(*found, *([_where(~s.rlike(pattern), at, shape)] if pattern else []))
+
+        return F.when(_kind(v) != "STRING", _one(at, "not a text")).otherwise(_let(F.try_variant_get(v, "$", "string"), body))
+
+    return rule
+
+
+def whole_number(least: int, most: int | None, problem: str) -> Rule:
+    """A number without a fraction; 3.0 is one."""
+
+    def rule(v: Column, at: Column) -> Column:
+        number = F.when(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double"))
+        outside = lambda n: (n < least) | (n > most) if most is not None else n < least
+        return _let(number, lambda n: F.when(n.isNull() | (n != F.floor(n)), _one(at, "not a whole number")).otherwise(_where(outside(n), at, problem)))
+
+    return rule
+
+
+def list_of(item: Rule, most: int) -> Rule:
+    def rule(v: Column, at: Column) -> Column:
+        def body(items: Column) -> Column:
+            each = F.transform(items, lambda x, i: item(x, F.concat(at, F.lit("/"), i.cast("string"))))
+            return F.concat(_where(F.size(items) > most, at, "too many"), F.flatten(each))
+
+        return F.when(~_kind(v).startswith("ARRAY"), _one(at, "not a list")).otherwise(_let(F.try_variant_get(v, "$", "array<variant>"), body))
+
+    return rule
+
+
+def _optional(rule: Rule, at: Column, required: bool) -> Callable[[Column], Column]:
+    return lambda v: F.when(v.isNull(), _one(at, "required") if required else _none()).otherwise(rule(v, at))
+
+
+def members(required: tuple[str, ...], rules: dict[str, Rule]) -> Rule:
+    """An object with these members and no others, each by its rule if it is there."""
+
+    def rule(v: Column, at: Column) -> Column:
+        def body(m: Column) -> Column:
+            other = F.filter(F.map_keys(m), lambda k: ~k.isin(*rules))
+            escaped = lambda k: F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+            found = [F.transform(other, lambda k: F.struct(F.concat(at, F.lit("/"), escaped(k)).alias("pointer"), F.lit("unknown key").alias("problem")))]
+            for name, own in rules.items():
+                inner = F.concat(at, F.lit(f"/{name}"))
+                found.append(_let(F.try_element_at(m, F.lit(name)), _optional(own, inner, name in required)))
+            return F.concat(*found)
+
+        return F.when(~_kind(v).startswith("OBJECT"), _one(at, "not an object")).otherwise(_let(F.try_variant_get(v, "$", "map<string,variant>"), body))
+
+    return rule
+
+
+_url = text(most=URL_LENGTH, pattern=URL, shape="not a web address")
+_signal = members(("type", "text", "url", "date"), {"type": one_of(*SIGNAL_TYPES), "text": text(5, 240), "url": _url, "date": text(pattern=DATE, shape="not YYYY-MM or YYYY-MM-DD")})
+DOCUMENT = members(
+    ("status", "summary", "rationale"),
+    {
+        "status": one_of(*STATUSES),
+        "summary": text(10, 600),
+        "segment": text(most=80),
+        "facilityFit": members(("level",), {"level": one_of(*LEVELS), "evidence": text(most=300), "url": _url}),
+        "employeeEstimate": members(("value",), {"value": whole_number(1, None, "below 1"), "source": _url, "note": text(most=200)}),
+        "signals": list_of(_signal, 10),
+        "suggestedAngle": text(most=240),
+        "personalLine": text(most=180),
+        "contactRoles": list_of(text(most=60), 5),
+        "llmAdjustment": whole_number(-15, 15, "outside -15 to 15"),
+        "rationale": text(10, 600),
+        "sources": list_of(_url, 10),
+        "cautions": list_of(text(most=200), 5),
+    },
+)
+
 
 def problems(document: Column) -> Column:
-    """array<struct<pointer, problem>> of every rule that a document breaks; empty if it is valid."""
-    doc = F.from_json(document, SCHEMA)
-    keys = F.json_object_keys(document)
-    given = F.coalesce(doc["signals"], F.expr("cast(array() as array<struct<type:string,text:string,url:string,date:string>>)"))
-
-    def rule(broken: Column, pointer: str, text: str) -> Column:
-        return F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(pointer).alias("pointer"), F.lit(text).alias("problem")))
-
-    bad_url = lambda c: ~c.rlike(URL) | (F.length(c) > 2000)
-    has = lambda k: F.array_contains(keys, k)
-    unreadable = keys.isNull()
-    rules = [
-        rule(unreadable, "", "not a JSON object"),
-        rule(F.size(F.array_except(keys, F.array(*map(F.lit, KEYS)))) > 0, "", "unknown key"),
-        *(rule(F.size(F.array_except(F.json_object_keys(F.get_json_object(document, f"$.{k}")), F.array(*map(F.lit, own)))) > 0, f"/{k}", "unknown key") for k, own in NESTED_KEYS.items()),
-        *(rule(~unreadable & doc[k].isNull(), f"/{k}", "required") for k in ("status", "summary", "rationale")),
-        rule(~doc["status"].isin(*STATUSES), "/status", "not one of the values"),
-        *(rule(F.length(doc[k]) < low, f"/{k}", "too short") for k, (low, _) in LENGTHS.items() if low),
-        *(rule(F.length(doc[k]) > high, f"/{k}", "too long") for k, (_, high) in LENGTHS.items()),
-        rule(has("facilityFit") & doc["facilityFit"]["level"].isNull(), "/facilityFit/level", "required"),
-        rule(~doc["facilityFit"]["level"].isin(*LEVELS), "/facilityFit/level", "not one of the values"),
-        rule(F.length(doc["facilityFit"]["evidence"]) > 300, "/facilityFit/evidence", "too long"),
-        rule(bad_url(doc["facilityFit"]["url"]), "/facilityFit/url", "not a web address"),
-        rule(has("employeeEstimate") & doc["employeeEstimate"]["value"].isNull(), "/employeeEstimate/value", "required"),
-        rule(doc["employeeEstimate"]["value"] < 1, "/employeeEstimate/value", "below 1"),
-        rule(bad_url(doc["employeeEstimate"]["source"]), "/employeeEstimate/source", "not a web address"),
-        rule(F.length(doc["employeeEstimate"]["note"]) > 200, "/employeeEstimate/note", "too long"),
-        rule(F.abs(doc["llmAdjustment"]) > 15, "/llmAdjustment", "outside -15 to 15"),
-        *(rule(F.size(doc[k]) > most, f"/{k}", "too many") for k, most in LISTS.items()),
-        rule((doc["status"] == "no_signal") & (F.size(given) > 0), "/signals", "must be empty without a signal"),
-        rule(F.exists(given, lambda s: s["type"].isNull() | ~s["type"].isin(*SIGNAL_TYPES)), "/signals/type", "not one of the values"),
-        rule(F.exists(given, lambda s: s["text"].isNull() | ~F.length(s["text"]).between(5, 240)), "/signals/text", "not 5 to 240 characters"),
-        rule(F.exists(given, lambda s: s["url"].isNull() | bad_url(s["url"])), "/signals/url", "not a web address"),
-        rule(F.exists(given, lambda s: s["date"].isNull() | ~s["date"].rlike(DATE)), "/signals/date", "not YYYY-MM or YYYY-MM-DD"),
-        rule(F.exists(doc["contactRoles"], lambda r: F.length(r) > 60), "/contactRoles", "too long"),
-        rule(F.exists(doc["cautions"], lambda r: F.length(r) > 200), "/cautions", "too long"),
-        rule(F.exists(doc["sources"], bad_url), "/sources", "not a web address"),
-    ]
-    return F.array_compact(F.array(*rules))
+    """array<struct<pointer, problem>> of every rule that a document breaks, by JSON pointer; empty if it is valid.
+
+    The document is walked as a VARIANT, so each value is judged by the type that it has: nothing is read
+    as null because it is of another. A document that isn't JSON, has a key twice or is no object has one
+    problem, as has a null one. Without the status `researched` the list of signals has to be empty.
+    """
+
+    def body(v: Column) -> Column:
+        status = F.try_variant_get(v, "$.status", "variant")
+        quiet = status.isNull() | ((_kind(status) == "STRING") & (F.try_variant_get(status, "$", "string") == "no_signal"))
+        some = F.size(F.try_variant_get(v, "$.signals", "array<variant>")) > 0
+        found = F.concat(DOCUMENT(v, F.lit("")), _where(quiet & some, F.lit("/signals"), "must be empty without a signal"))
+        return F.when(v.isNull() | ~_kind(v).startswith("OBJECT"), _one(F.lit(""), "not a JSON object")).otherwise(found)
+
+    return _let(F.try_parse_json(document), body)
 
 
 def validate_research(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -147,12 +147,20 @@ def c9_top_signal(spark, d):
     return C.top_signal(table(spark, d, "signals"), AS_OF_MONTH)
 
 
-_DOCS = """SELECT 'c1' AS campaign_id, concat('fx_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS lead_id, CASE c_custkey % 6
+_DOCS = """SELECT 'c1' AS campaign_id, concat('fx_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS lead_id, CASE CASE WHEN c_custkey % 6 < 2 THEN c_custkey % 6 ELSE c_custkey % 18 END
   WHEN 0 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"high"},"signals":[{"type":"hiring","text":"ten jobs","url":"https://a.example","date":"2024-01"},{"type":"news","text":"some news","url":"https://b.example","date":"2023-12-05"}]}'
   WHEN 1 THEN '{"status":"no_signal","summary":"Quiet these days","rationale":"Nothing was found","facilityFit":{"level":"low"},"signals":[]}'
   WHEN 2 THEN '{"status":"researched","summary":"short","rationale":"Fits the profile","facilityFit":{"level":"odd"},"signals":[]}'
   WHEN 3 THEN '{"status":"no_signal","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"ten jobs","url":"https://a.example","date":"2024-01"}]}'
   WHEN 4 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low","mood":"fine"},"llmAdjustment":20,"mood":"fine"}'
+  WHEN 8 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","llmAdjustment":"lots"}'
+  WHEN 9 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","llmAdjustment":3.7}'
+  WHEN 10 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","signals":"none"}'
+  WHEN 11 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","contactRoles":[1,{"a":2},"owner"]}'
+  WHEN 14 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","signals":[{"type":"hiring","text":"ten jobs","url":"https://a.example","date":"2024-01"},{"type":"news","text":"some news","url":"https://b.example","date":"May","mood":1}]}'
+  WHEN 15 THEN '[1]'
+  WHEN 16 THEN '{"status":"researched","summary":"A good site","rationale":true,"facilityFit":null,"employeeEstimate":{"value":0}}'
+  WHEN 17 THEN '{"status":"researched","summary":"A good site","rationale":"Fits the profile","summary":"A better site"}'
   ELSE '{"summary":"A good site","rationale":"Fits the profile","facilityFit":{"level":"low"},"signals":[{"type":"hiring","text":"ten jobs","url":"ftp://a","date":"2024-1"}]}' END AS document FROM customer"""
 
 
@@ -161,9 +169,11 @@ def _docs(spark, d):
     return spark.sql(text, customer=table(spark, d, "customer"))
 
 
-@query(f"""WITH d AS ({_DOCS}), p AS (SELECT * FROM (VALUES (2, '/facilityFit/level', 'not one of the values'), (2, '/summary', 'too short'), (4, '/facilityFit', 'unknown key'), (3, '/signals', 'must be empty without a signal'), (4, '', 'unknown key'), (4, '/llmAdjustment', 'outside -15 to 15'),
-  (5, '/status', 'required'), (5, '/signals/url', 'not a web address'), (5, '/signals/date', 'not YYYY-MM or YYYY-MM-DD')) t(r, pointer, problem))
-  SELECT lead_id, pointer, problem FROM d JOIN p ON CAST(substr(lead_id, 4) AS INTEGER) % 6 = r""")
+@query(f"""WITH d AS ({_DOCS}), p AS (SELECT * FROM (VALUES (2, '/facilityFit/level', 'not one of the values'), (2, '/summary', 'too short'), (3, '/signals', 'must be empty without a signal'), (4, '/facilityFit/mood', 'unknown key'), (4, '/mood', 'unknown key'), (4, '/llmAdjustment', 'outside -15 to 15'),
+  (5, '/status', 'required'), (5, '/signals', 'must be empty without a signal'), (5, '/signals/0/url', 'not a web address'), (5, '/signals/0/date', 'not YYYY-MM or YYYY-MM-DD'), (8, '/llmAdjustment', 'not a whole number'), (9, '/llmAdjustment', 'not a whole number'),
+  (10, '/signals', 'not a list'), (11, '/contactRoles/0', 'not a text'), (11, '/contactRoles/1', 'not a text'), (14, '/signals/1/date', 'not YYYY-MM or YYYY-MM-DD'), (14, '/signals/1/mood', 'unknown key'), (15, '', 'not a JSON object'),
+  (16, '/rationale', 'not a text'), (16, '/facilityFit', 'not an object'), (16, '/employeeEstimate/value', 'below 1'), (17, '', 'not a JSON object')) t(r, pointer, problem))
+  SELECT lead_id, pointer, problem FROM d JOIN p ON CAST(substr(lead_id, 4) AS INTEGER) % 6 >= 2 AND CAST(substr(lead_id, 4) AS INTEGER) % 18 = r""")
 def v1_validate_research(spark, d):
     return V.validate_research(_docs(spark, d))[1].select("lead_id", "pointer", "problem")
 

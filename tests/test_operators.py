@@ -1,5 +1,7 @@
 """Operators on small tables: resolution, suppression, routing, scores, market, research, imports, measurement."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,30 @@ def test_two_edits_of_one_lead_that_differ(spark):
     out, log = measure.import_review(leads, edits, dealers)
     assert rows(out, "lead_id", "status", "dealer_id", "assignment") == [("a", "approved", "d2", "override"), ("b", "rejected", None, "gap")]
     assert [tuple(r) for r in log.where("change like 'two%'").collect()] == [("a", "two edits of a status", "approved", "hold")]
+
+
+def test_research_is_typed(spark):
+    ok = {"status": "researched", "summary": "long enough", "rationale": "long enough"}
+    signal = {"type": "news", "text": "some news", "url": "http://a.b", "date": "2024-01"}
+    quiet = {**ok, "status": "no_signal"}
+    web = "https://a.example/" + "x" * 1982
+    cases = [
+        (ok, []), ({**ok, "signals": [signal, signal]}, []), (quiet, []), ({**quiet, "signals": []}, []), ({**ok, "sources": [web], "cautions": [], "segment": ""}, []),
+        *(({**ok, "llmAdjustment": n}, []) for n in (-15, 0, 15, 3.0)), *(({**ok, "llmAdjustment": n}, ["/llmAdjustment"]) for n in (-16, 16, 3.7, "3", None, True, [3], 1e300)),
+        *(({k: v for k, v in ok.items() if k != gone}, [f"/{gone}"]) for gone in ok), *(({**ok, k: 5}, [f"/{k}"]) for k in ok),
+        *(({**ok, "signals": [signal, {k: v for k, v in signal.items() if k != gone}]}, [f"/signals/1/{gone}"]) for gone in signal),
+        *(({**ok, "signals": [{**signal, k: v}]}, [f"/signals/0/{k}"]) for k, v in (("date", "May 2024"), ("url", "ftp://a"), ("url", None), ("type", "rumour"), ("type", 3), ("text", "four"), ("text", "x" * 241), ("mood", 1))),
+        ({**quiet, "signals": [signal]}, ["/signals"]), ({**ok, "signals": "none"}, ["/signals"]), ({**ok, "signals": {"0": signal}}, ["/signals"]), ({**ok, "signals": [signal] * 11}, ["/signals"]), ({**ok, "signals": [[signal]]}, ["/signals/0"]),
+        ({**ok, "contactRoles": [1, {"a": 2}, "x", "y" * 61]}, ["/contactRoles/0", "/contactRoles/1", "/contactRoles/3"]), ({**ok, "cautions": ["x" * 201] * 6}, ["/cautions", *(f"/cautions/{i}" for i in range(6))]),
+        ({**ok, "sources": ["http://a", "a", web + "x"]}, ["/sources/1", "/sources/2"]), ({**ok, "facilityFit": {}}, ["/facilityFit/level"]), ({**ok, "facilityFit": {"level": "high", "mood": 1}}, ["/facilityFit/mood"]),
+        ({**ok, "employeeEstimate": {"value": 0, "note": 5}}, ["/employeeEstimate/note", "/employeeEstimate/value"]), ({**ok, "employeeEstimate": {"value": 5_000_000_000}}, []), ({**ok, "a/b~c": 1}, ["/a~1b~0c"]), ("researched", [""]), ([], [""]), (None, [""]),
+    ]
+    rows_ = [("c", str(i), json.dumps(document)) for i, (document, _) in enumerate(cases)]
+    odd = [("c", "twice", '{"status":"researched","summary":"long enough","rationale":"long enough","summary":"once more"}'), ("c", "cut", '{"status":'), ("c", "empty", "")]
+    docs = spark.createDataFrame(rows_ + odd, "campaign_id string, lead_id string, document string")
+    valid, wrong = research.validate_research(docs)
+    found = {}
+    for r in wrong.collect():
+        found.setdefault(r["lead_id"], set()).add(r["pointer"])
+    assert found == {str(i): set(p) for i, (_, p) in enumerate(cases) if p} | {k: {""} for k in ("twice", "cut", "empty")}
+    assert {r["lead_id"] for r in valid.collect()} == {str(i) for i, (_, p) in enumerate(cases) if not p}
