@@ -159,9 +159,8 @@ def compress(
     """(id, label, code, error, label_error, codebooks_sha256): the product code of every usable vector.
 
     code holds the index of each part's entry in hexadecimal, two digits each (more where `entries` is
-    over 256); error is the sum of squared distances of the vector's integers to its entries, null where
-    it is beyond a long; label_error adds it up over equal labels, nulls together (without label_col, over
-    all). Vectors that are null, empty, or hold a null or non-finite component, and vectors of another length
+    over 256); error is the sum of squared distances of the vector's integers to its entries; label_error
+    adds it up over equal labels, nulls together (without label_col, over all); both are null beyond a long. Vectors that are null, empty, or hold a null or non-finite component, and vectors of another length
     than most, are left out; zero vectors are not. A length that `parts` doesn't divide is filled up with
     zeros. Components are taken as no greater than LARGEST. Repeated rows come back each; of equal
     distances the lower index counts; an empty table gives no rows; other columns are ignored, whatever
@@ -188,7 +187,7 @@ def compress(
     kept = df.where(usable(df, vector_col) & (F.size(v) == length)).select(F.col(f"`{id_col}`").alias("id"), label.alias("label"), v.alias("v"))
     coded = written(kept.mapInArrow(run, schema), "codes")
     same = fresh(coded, "same")
-    totals = written(coded.groupBy(F.col("label").alias(same)).agg(F.sum("error").alias("label_error")), "labels")
+    totals = written(coded.groupBy(F.col("label").alias(same)).agg(F.when(F.count("error") == F.count("*"), F.sum(F.col("error").cast("decimal(38,0)")).try_cast("bigint")).alias("label_error")), "labels")
     few = F.broadcast(totals) if totals.count() <= BROADCAST_ROWS else totals
     out = coded.join(few, F.col("label").eqNullSafe(F.col(same))).drop(same)
     return out.withColumn("codebooks_sha256", F.lit(digest(books)))
