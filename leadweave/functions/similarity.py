@@ -47,7 +47,35 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairs, "double")(a, b)
 
 
-def could_reach(a: Column, b: Column, threshold: float) -> Column:
-    """False only where lengths alone keep the similarity below the threshold: cheap, before the function."""
-    least = {0.92: 0.6, 0.90: 0.5}.get(threshold, max(0.0, 3 * (threshold - 0.4) / 0.6 - 2))
-    return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * least - 1e-9
+#: Letters that are counted one by one, up to three of each; all other characters are counted together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_A_LONG = 21
+
+
+def letters(name: Column) -> Column:
+    """struct<low, high, extra, n>: a name's letters as up to three bits each, how many are beyond that, and its length.
+
+    The bits that two names share, and the smaller number beyond, are no fewer than the letters they have in common.
+    """
+    each = F.transform(F.array(*map(F.lit, LETTERS)), lambda x: F.length(name) - F.length(F.replace(name, x, F.lit(""))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + x)
+    counts = F.concat(each, F.array(F.length(name) - total(each)))
+    unary = F.array(*(F.lit(x).cast("bigint") for x in (0, 1, 3, 7)))
+    bits = F.transform(counts, lambda c, i: F.call_function("shiftleft", F.element_at(unary, F.least(c, F.lit(3)) + 1), 3 * (i % _A_LONG)))
+    packed = lambda lo, k: F.aggregate(F.slice(bits, lo, k), F.lit(0).cast("bigint"), lambda t, x: t.bitwiseOR(x))
+    extra = total(F.transform(counts, lambda c: F.greatest(c - 3, F.lit(0))))
+    return F.struct(packed(1, _A_LONG).alias("low"), packed(_A_LONG + 1, len(LETTERS) + 1 - _A_LONG).alias("high"), extra.alias("extra"), F.length(name).alias("n"))
+
+
+def may_reach(a: Column, b: Column, x: Column, y: Column, threshold: float) -> Column:
+    """False only where names a and b, with letters x and y, can't have this similarity (above 0.7).
+
+    With c letters in common Jaro is at most (c/|a| + c/|b| + 1) / 3, and of the prefix only what is
+    equal counts. All of it is arithmetic on numbers, before the function.
+    """
+    shared = F.bit_count(x["low"].bitwiseAND(y["low"])) + F.bit_count(x["high"].bitwiseAND(y["high"])) + F.least(x["extra"], y["extra"])
+    common = F.least(shared, x["n"], y["n"])
+    starts = lambda k: F.substring(a, 1, k) == F.substring(b, 1, k)
+    prefix = F.when(starts(4), 0.4).when(starts(3), 0.3).when(starts(2), 0.2).when(starts(1), 0.1).otherwise(0.0)
+    jaro = (common / F.greatest(x["n"], F.lit(1)) + common / F.greatest(y["n"], F.lit(1)) + 1) / 3
+    return (common > 0) & (jaro + prefix * (1 - jaro) >= threshold - 1e-9)

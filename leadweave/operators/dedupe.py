@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions.geo import distance_m
-from leadweave.functions.similarity import could_reach, similarity
+from leadweave.functions.similarity import letters, may_reach, similarity
+from leadweave.operators.blocks import split_blocks
 from leadweave.operators.components import connected_components
 from leadweave.sources.shared import written
 
@@ -34,33 +35,38 @@ def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200
     """Pairs of similar names near each other, blocked on a degree grid whose neighbour cells are met by an equi-join.
 
     Sites of one name at one point form a star to their smallest id, which alone meets the others, so
-    that however many stand at one point of a geocoder stay linear. Sites without a point have no edge.
+    that however many stand at one point of a geocoder stay linear. Different names of a cell meet, in parts of
+    PART_ROWS rows, and only pairs whose letters allow the similarity go to the function. Sites without a
+    point have no edge.
     """
     row, col = F.floor(F.col("lat") / GRID), F.floor(F.col("lon") / GRID)
     named = sites.where("name_norm <> '' and lat is not null and lon is not null").select("site_id", "name_norm", "lat", "lon")
     star = _star(named, ["name_norm", "lat", "lon"], 2)
     plain = named.groupBy("name_norm", "lat", "lon").agg(F.min("site_id").alias("site_id")).select("site_id", "name_norm", "lat", "lon", row.alias("row"), col.alias("col"))
+    plain = written(plain.withColumn("letters", letters(F.col("name_norm"))), "names")
     lat_span = math.ceil(within_m / (GRID * 111_320))
     lon_span = F.least(F.ceil(within_m / (GRID * 111_320 * F.cos(F.radians(F.abs("lat") + GRID)))), F.lit(SPAN_CAP))
     around = (
         plain.withColumn("row", F.explode(F.sequence(F.col("row") - lat_span, F.col("row") + lat_span)))
         .withColumn("col", F.explode(F.sequence(F.col("col") - lon_span, F.col("col") + lon_span)))
-        .select("row", "col", F.col("site_id").alias("b"), F.col("name_norm").alias("name_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+        .select("row", "col", F.col("site_id").alias("b"), F.col("name_norm").alias("name_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("letters").alias("letters_b"))
     )
+    left, right, keys = split_blocks(plain, around, ["row", "col"])
     pairs = (
-        plain.join(around, ["row", "col"]).where("site_id > b").where(could_reach(F.col("name_norm"), F.col("name_b"), threshold))
+        left.join(right, keys).where("site_id > b").where(may_reach(F.col("name_norm"), F.col("name_b"), F.col("letters"), F.col("letters_b"), threshold))
         .where(distance_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= within_m)
     )
-    same = F.col("name_norm") == F.col("name_b")
-    equal = pairs.where(same)
-    near = pairs.where(~same).withColumn("jw", similarity(F.col("name_norm"), F.col("name_b"))).where(F.col("jw") >= threshold).drop("jw")
-    return star.unionByName(equal.unionByName(near).select(F.col("site_id").alias("a"), "b", F.lit(2).alias("rule")))
+    # Equal names are as near as can be; the function sees the others.
+    near = pairs.withColumn("jw", similarity(F.col("name_norm"), F.col("name_b"))).where(F.col("jw") >= threshold)
+    return star.unionByName(near.select(F.col("site_id").alias("a"), "b", F.lit(2).alias("rule")))
 
 
 RULES = ("domain", "name-place", "fuzzy")
 
 
 def all_edges(sites: DataFrame) -> DataFrame:
+    """The edges of all rules; the keys that they need are worked out once and written."""
+    sites = written(sites.select("site_id", "name_norm", "domain_key", "gh7", "lat", "lon"), "keys")
     return domain_edges(sites).unionByName(name_place_edges(sites)).unionByName(fuzzy_edges(sites))
 
 
@@ -70,9 +76,12 @@ def dedupe(sites: DataFrame) -> DataFrame:
     parts = connected_components(edges)
     met = sites.join(parts.withColumnRenamed("id", "site_id"), "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
     rules = edges.join(parts, edges["a"] == parts["id"]).groupBy("component").agg(F.min("rule").alias("r"))
-    order = Window.partitionBy("component").orderBy(F.desc("confidence"), "site_id")
+    c = F.col("confidence")
+    # A minimum has partial results in every task, so a component of any size needs no sort.
+    first = met.groupBy("component").agg(F.min(F.struct(c.isNull(), ~F.isnan(c), -c, F.col("site_id").alias("primary"))).alias("f")).select("component", "f.primary")
     name = F.coalesce(F.get(F.array(*map(F.lit, RULES)), F.col("r")), F.lit("none"))
-    return met.join(rules, "component", "left").withColumns({"rule": name, "is_primary": F.row_number().over(order) == 1}).drop("r")
+    known = first.join(rules, "component", "left")
+    return met.join(known, "component").withColumns({"rule": name, "is_primary": F.col("site_id") == F.col("primary")}).drop("r", "primary")
 
 
 def distinct_by_id(places: DataFrame, id_col: str, order: list[Column]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadweave.functions.similarity import could_reach, similarity
+from leadweave.functions.similarity import letters, may_reach, similarity
+from leadweave.operators.blocks import split_blocks
 from leadweave.operators.routing import sized
 
 CODE_LETTERS = "23456789ABCDEFGHJKLMNPQRSTUVWXYZ"
@@ -148,8 +149,10 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
     strong = live.where("name_norm <> ''").join(first_of(["ln", "lz"]), F.expr("name_norm = ln and zip5 = lz")).select("sale_id", F.lit(1).alias("t"), "lead_id")
     placed = live.join(first_of(["la"]), F.expr("address_norm = la")).select("sale_id", F.lit(1).alias("t"), "lead_id")
     # Distinct names of a ZIP are compared once.
-    a, b = live.where("name_norm <> ''").select("name_norm", "zip5").distinct(), own.where("ln <> ''").groupBy("ln", "lz").agg(F.min("lead_id").alias("lead_id"))
-    near = a.join(b, F.expr("zip5 = lz and name_norm <> ln")).where(could_reach(F.col("name_norm"), F.col("ln"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"))).where(F.col("jw") >= threshold)
+    a = live.where("name_norm <> '' and zip5 is not null").select("name_norm", "zip5").distinct().withColumn("sl", letters(F.col("name_norm")))
+    b = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id")).withColumn("ll", letters(F.col("ln")))
+    left, right, block = split_blocks(a, b, ["zip5"])
+    near = left.join(right, block).where("name_norm <> ln").where(may_reach(F.col("name_norm"), F.col("ln"), F.col("sl"), F.col("ll"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"))).where(F.col("jw") >= threshold)
     best = near.groupBy("name_norm", "zip5").agg(F.min_by("lead_id", F.struct(-F.col("jw"), F.col("lead_id"))).alias("lead_id"))
     fuzzy = live.join(best, ["name_norm", "zip5"]).select("sale_id", F.lit(2).alias("t"), "lead_id")
     every = exact.unionByName(strong).unionByName(placed).unionByName(fuzzy)

@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions.geo import distance_m
-from leadweave.functions.similarity import could_reach, similarity
+from leadweave.functions.similarity import letters, may_reach, similarity
+from leadweave.operators.blocks import split_blocks
 
-#: Rows and bytes (as JSON) of a rule or dealer list up to which it is broadcast; larger lists are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Bytes, by the statistics of its plan, of a rule or dealer list up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small; it is measured up to the limit of rows, so that costs no more."""
-    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    """df with a broadcast hint if its plan says that it is small; no job runs for that.
+
+    What the plan can't tell is joined by shuffle, and adaptive execution broadcasts it if it turns out small.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
 def match_suppression(subjects: DataFrame, rules: DataFrame, threshold: float = 0.92) -> DataFrame:
@@ -23,18 +27,25 @@ def match_suppression(subjects: DataFrame, rules: DataFrame, threshold: float =
 
     subjects: lead_id, name_norm, domain_key, zip5. rules: rule_id, name_norm, domain_key, zip5, reason.
     A fuzzy hit needs equal ZIPs, an exact name only where the rule has one. An empty name stops after
-    the domain. Distinct (name, ZIP) pairs are compared once, however many subjects share them.
+    the domain. Distinct (name, ZIP) pairs are compared once, however many subjects and rules share them, in
+    parts of large ZIPs, and only those whose letters allow the similarity go to the function.
     """
     s = subjects.select("lead_id", F.col("name_norm").alias("sn"), F.col("domain_key").alias("sd"), F.col("zip5").alias("sz"))
     r = rules.select("rule_id", F.col("name_norm").alias("rn"), F.col("domain_key").alias("rd"), F.col("zip5").alias("rz"), "reason")
     by_domain = s.join(r.groupBy("rd").agg(F.min_by(F.struct("rule_id", "reason"), "rule_id").alias("r")), F.expr("sd = rd")).select("lead_id", F.lit(0).alias("kind"), "r.*", F.lit(1.0).alias("similarity"))
     named = s.where("sn <> ''")
-    exact = named.join(r.where("rn <> ''"), F.expr("sn = rn and (rz is null or rz = sz)")).select("lead_id", F.lit(1).alias("kind"), "rule_id", "reason", F.lit(1.0).alias("similarity"))
-    keys = named.where("sz is not null").select("sn", "sz").distinct()
+    # Of the rules with one name, or one name and ZIP, the first by id is met, however many there are.
+    lead_rule = F.min_by(F.struct("rule_id", "reason"), "rule_id").alias("r")
+    hit = lambda df: df.select("lead_id", F.lit(1).alias("kind"), "r.*", F.lit(1.0).alias("similarity"))
+    anywhere = r.where("rn <> '' and rz is null").groupBy("rn").agg(lead_rule)
+    there = r.where("rn <> '' and rz is not null").groupBy("rn", "rz").agg(lead_rule)
+    exact = hit(named.join(anywhere, F.expr("sn = rn"))).unionByName(hit(named.join(there, F.expr("sn = rn and sz = rz"))))
+    keys = named.where("sz is not null").select("sn", F.col("sz").alias("z")).distinct().withColumn("sl", letters(F.col("sn")))
+    left, right, block = split_blocks(keys, there.select("rn", F.col("rz").alias("z"), "r", letters(F.col("rn")).alias("rl")), ["z"])
     close = (
-        keys.join(r.where("rn <> '' and rz is not null"), F.expr("sz = rz and sn <> rn")).where(could_reach(F.col("sn"), F.col("rn"), threshold))
+        left.join(right, block).where("sn <> rn").where(may_reach(F.col("sn"), F.col("rn"), F.col("sl"), F.col("rl"), threshold))
         .withColumn("similarity", similarity(F.col("sn"), F.col("rn"))).where(F.col("similarity") >= threshold)
-        .groupBy("sn", "sz").agg(F.min_by(F.struct("rule_id", "reason", "similarity"), "rule_id").alias("r"))
+        .groupBy("sn", F.col("z").alias("sz")).agg(F.min_by(F.struct("r.rule_id", "r.reason", "similarity"), "r.rule_id").alias("r"))
     )
     fuzzy = named.join(close, ["sn", "sz"]).select("lead_id", F.lit(2).alias("kind"), "r.rule_id", "r.reason", "r.similarity")
     hits = by_domain.unionByName(exact).unionByName(fuzzy)
