@@ -4,7 +4,7 @@ Documents with equal sets are one class. Two sets of at least 80 % Jaccard share
 elements of both, in any one order of all elements, have elements in common; the rarer come first, so
 that elements of passages that many documents share come last. A small set puts out every pair (subset
 of size two) of its first elements, and two small sets meet where a pair is equal, which few do by
-chance. A large set puts out its first elements one by one, and meets what else is in their inverted
+chance. A large set, and one so small that a single element can be enough, puts out its first elements one by one, and meets what else is in their inverted
 lists. The boundary is the size at which both would cost the same; sets just below it are in the lists
 too, for partners above it.
 
@@ -144,7 +144,7 @@ def _node(sign: tuple[int, int], clash: frozenset[int]) -> int:
 
 
 def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndarray, clash: frozenset[int]) -> DataFrame:
-    """(key, node, n, pos) of every set: subsets of two if n <= boundary, else first elements one by one.
+    """(key, node, n, pos) of every set: subsets of two if n <= boundary, else first elements one by one, as do sets that can link by one.
 
     n - pos elements of the set, at most, are in common with a partner whose first common key this is.
     """
@@ -156,8 +156,9 @@ def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndar
                 keys, nodes, sizes, places = [], [], [], []
                 for items in shingle_sets(texts, width):
                     n = len(items)
-                    if n < 2 or (sign := _signature(items)) in seen:
-                        continue  # one shingle has no partner but its equals; of equal sets one of a task stands for all
+                    alone = percent * max(n, 2) <= 100  # one element in common can be enough
+                    if (n < 2 and not alone) or not n or (sign := _signature(items)) in seen:
+                        continue  # above 50 % one shingle has no partner but its equals; of equal sets one of a task stands for all
                     if len(seen) < 1_000_000:
                         seen.add(sign)
                     ordered = items[np.lexsort((items, cells[_cell(items)]))]
@@ -168,7 +169,7 @@ def _keys(df: DataFrame, width: int, percent: int, boundary: int, cells: np.ndar
                         i, j = np.triu_indices(len(q), 1)
                         mine.append(mix(q[i] * _ODD[61] + mix(q[j] * _ODD[62])))
                         at.append(j - 1)
-                    if 100 * n > percent * boundary:
+                    if alone or 100 * n > percent * boundary:
                         mine.append(ordered[: p + 1])
                         at.append(np.arange(len(mine[-1])))
                     keys += mine
@@ -228,7 +229,7 @@ def choose_boundary(sizes: list[tuple[int, int]], list_length: float, percent: i
 
 
 def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundary: int | None = None, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of df, ids being long.
+    """(id, n_shingles, component_id) of every row of df, ids being long; percent is from 1 to 100.
 
     Two documents link if 100 * intersection >= percent * union of their sets of word shingles (A-Z
     lowered; fewer words than `width` are one shingle). component_id is the smallest id reachable. A
@@ -239,6 +240,8 @@ def shingle_components(df: DataFrame, width: int = 5, percent: int = 80, boundar
     No pair is left out for the size of a list or a group; `rounds` bounds only how often members are
     compared with centres before the rest meets.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent has to be from 1 to 100")
     source = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     survey = written(_survey(source, width), "survey")
     sets = survey.where("chunk is null").select("doc", "n", "one", "two", "sketch")

@@ -133,7 +133,7 @@ def test_packing_holds_every_capacity(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id bigint, text string"), BYTES).count() == 0
 
 
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets = {}
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
@@ -147,7 +147,7 @@ def brute_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -176,6 +176,20 @@ def test_shingle_join_over_a_group_of_edits_and_a_shared_passage(spark):
     assert jaccard.shingle_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [34, 50])
+def test_shingle_join_at_other_percentages(spark, percent):
+    base = prose(60, 400).split(" ")
+    # Sets of one to six shingles that share one or more, and cuts of a longer text.
+    rows = [(10 * n + k, " ".join(base[k : k + n])) for n in range(4, 11) for k in range(3)] + [(500 + n, " ".join(base[20 : 20 + n])) for n in range(5, 40, 5)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.shingle_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=percent).collect()}
+    assert got == brute_components(rows, percent)
+
+
+def test_shingle_join_refuses_other_numbers(spark):
+    with pytest.raises(ValueError):
+        jaccard.shingle_components(spark.createDataFrame([], "doc_id bigint, text string"), percent=0)
+
+
 def test_shingle_join_with_repeated_and_null_ids(spark):
     a, b = prose(60, 900), prose(60, 901)
     rows = [(1, a, "x"), (1, b, "y"), (2, b, "y"), (2, b, "y"), (3, a, "x"), (None, a, "x"), (None, b, "y"), (4, prose(60, 902), "z"), (5, "", None), (6, None, None)]
