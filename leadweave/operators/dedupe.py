@@ -14,6 +14,8 @@ from leadweave.operators.components import connected_components
 from leadweave.sources.shared import written
 
 GRID, SPAN_CAP = 0.005, 64
+#: Between a campaign and an id in the keys of one table for all campaigns; ids and names don't have it.
+SEPARATOR = "\x1f"
 EDGE = ("a", "b", "rule")
 
 
@@ -31,27 +33,27 @@ def name_place_edges(sites: DataFrame) -> DataFrame:
     return _star(sites.where("name_norm <> ''").select("site_id", "name_norm", "gh7"), ["name_norm", "gh7"], 1)
 
 
-def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200.0) -> DataFrame:
+def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200.0, within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of similar names near each other, blocked on a degree grid whose neighbour cells are met by an equi-join.
 
     Sites of one name at one point form a star to their smallest id, which alone meets the others, so
     that however many stand at one point of a geocoder stay linear. Different names of a cell meet, in parts of
     PART_ROWS rows, and only pairs whose letters allow the similarity go to the function. Sites without a
-    point have no edge.
+    point have no edge. Only sites with equal columns `within` meet.
     """
     row, col = F.floor(F.col("lat") / GRID), F.floor(F.col("lon") / GRID)
-    named = sites.where("name_norm <> '' and lat is not null and lon is not null").select("site_id", "name_norm", "lat", "lon")
-    star = _star(named, ["name_norm", "lat", "lon"], 2)
-    plain = named.groupBy("name_norm", "lat", "lon").agg(F.min("site_id").alias("site_id")).select("site_id", "name_norm", "lat", "lon", row.alias("row"), col.alias("col"))
+    named = sites.where("name_norm <> '' and lat is not null and lon is not null").select(*within, "site_id", "name_norm", "lat", "lon")
+    star = _star(named, [*within, "name_norm", "lat", "lon"], 2)
+    plain = named.groupBy(*within, "name_norm", "lat", "lon").agg(F.min("site_id").alias("site_id")).select(*within, "site_id", "name_norm", "lat", "lon", row.alias("row"), col.alias("col"))
     plain = written(plain.withColumn("letters", letters(F.col("name_norm"))), "names")
     lat_span = math.ceil(within_m / (GRID * 111_320))
     lon_span = F.least(F.ceil(within_m / (GRID * 111_320 * F.cos(F.radians(F.abs("lat") + GRID)))), F.lit(SPAN_CAP))
     around = (
         plain.withColumn("row", F.explode(F.sequence(F.col("row") - lat_span, F.col("row") + lat_span)))
         .withColumn("col", F.explode(F.sequence(F.col("col") - lon_span, F.col("col") + lon_span)))
-        .select("row", "col", F.col("site_id").alias("b"), F.col("name_norm").alias("name_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("letters").alias("letters_b"))
+        .select(*within, "row", "col", F.col("site_id").alias("b"), F.col("name_norm").alias("name_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("letters").alias("letters_b"))
     )
-    left, right, keys = split_blocks(plain, around, ["row", "col"])
+    left, right, keys = split_blocks(plain, around, [*within, "row", "col"])
     pairs = (
         left.join(right, keys).where("site_id > b").where(may_reach(F.col("name_norm"), F.col("name_b"), F.col("letters"), F.col("letters_b"), threshold))
         .where(distance_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= within_m)
@@ -64,24 +66,37 @@ def fuzzy_edges(sites: DataFrame, threshold: float = 0.92, within_m: float = 200
 RULES = ("domain", "name-place", "fuzzy")
 
 
-def all_edges(sites: DataFrame) -> DataFrame:
+def all_edges(sites: DataFrame, within: str | None = None) -> DataFrame:
     """The edges of all rules; the keys that they need are worked out once and written."""
-    sites = written(sites.select("site_id", "name_norm", "domain_key", "gh7", "lat", "lon"), "keys")
-    return domain_edges(sites).unionByName(name_place_edges(sites)).unionByName(fuzzy_edges(sites))
+    own = [within] if within else []
+    scoped = lambda c: F.concat_ws(SEPARATOR, within, c).alias(c) if within else F.col(c)
+    there = lambda c: F.when(F.col(c).isNotNull(), scoped(c)).alias(c) if within else F.col(c)
+    keys = written(sites.select(*own, scoped("site_id"), "name_norm", there("domain_key"), there("gh7"), "lat", "lon"), "keys")
+    return domain_edges(keys).unionByName(name_place_edges(keys)).unionByName(fuzzy_edges(keys, within=tuple(own)))
 
 
-def dedupe(sites: DataFrame) -> DataFrame:
-    """sites with component, rule and is_primary: most confident, then smallest id; rule of the earliest edge, `none` alone."""
-    edges = written(all_edges(sites), "edges")
+def dedupe(sites: DataFrame, within: str | None = None) -> DataFrame:
+    """sites with component, rule and is_primary: most confident, then smallest id; rule of the earliest edge, `none` alone.
+
+    With a column `within`, such as the campaign, only sites of one value are compared, and a site may be in several.
+    """
+    if within:
+        out = _grouped(sites.withColumn("_uid", F.concat_ws(SEPARATOR, within, "site_id")), "_uid", all_edges(sites, within))
+        return out.drop("_uid").withColumn("component", F.substring_index("component", SEPARATOR, -1))
+    return _grouped(sites, "site_id", all_edges(sites))
+
+
+def _grouped(sites: DataFrame, uid: str, edges: DataFrame) -> DataFrame:
+    edges = written(edges, "edges")
     parts = connected_components(edges)
-    met = sites.join(parts.withColumnRenamed("id", "site_id"), "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
+    met = sites.join(parts.withColumnRenamed("id", uid), uid, "left").withColumn("component", F.coalesce("component", uid))
     rules = edges.join(parts, edges["a"] == parts["id"]).groupBy("component").agg(F.min("rule").alias("r"))
     c = F.col("confidence")
     # A minimum has partial results in every task, so a component of any size needs no sort.
-    first = met.groupBy("component").agg(F.min(F.struct(c.isNull(), ~F.isnan(c), -c, F.col("site_id").alias("primary"))).alias("f")).select("component", "f.primary")
+    first = met.groupBy("component").agg(F.min(F.struct(c.isNull(), ~F.isnan(c), -c, F.col(uid).alias("primary"))).alias("f")).select("component", "f.primary")
     name = F.coalesce(F.get(F.array(*map(F.lit, RULES)), F.col("r")), F.lit("none"))
     known = first.join(rules, "component", "left")
-    return met.join(known, "component").withColumns({"rule": name, "is_primary": F.col("site_id") == F.col("primary")}).drop("r", "primary")
+    return met.join(known, "component").withColumns({"rule": name, "is_primary": F.col(uid) == F.col("primary")}).drop("r", "primary")
 
 
 def distinct_by_id(places: DataFrame, id_col: str, order: list[Column]) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from leadweave.functions.geo import DEGREE_MILES, circle, inside_rings
 from leadweave.operators.routing import sized
 
 CELL = 0.25
+#: Edges of a part of a cell, about, and the most parts that a side of a cell has; degrees within which an edge is kept in both of two parts.
+PART_EDGES, MOST_PARTS, SLACK = 8, 32, 1e-9
+EDGE = ("x1", "y1", "x2", "y2")
+COVER = ["county_fips", "_cx", "_cy", "_k", "_parts", "_xmin", "_xmax", "_ymin", "_ymax"]
 COUNTY_WORDS = ("county", "parish", "borough", "census area", "municipality", "city and borough")
 FILLER = r"\b(?:metro|metropolitan|micropolitan|area|region|greater|statistical|the)\b"
 
@@ -20,14 +29,88 @@ def with_box(counties: DataFrame) -> DataFrame:
     return counties.withColumns({"xmin": F.array_min(each("lon")), "xmax": F.array_max(each("lon")), "ymin": F.array_min(each("lat")), "ymax": F.array_max(each("lat"))})
 
 
-def point_in_county(points: DataFrame, counties: DataFrame) -> DataFrame:
-    """points (id, lon, lat, ...) with county_fips, by cells of a grid, then the box, then the rings. Points in none drop out."""
-    boxed = counties if "xmin" in counties.columns else with_box(counties)
-    steps = lambda a, b: F.sequence(F.floor(F.col(a) / CELL), F.floor(F.col(b) / CELL))
-    cells = boxed.withColumn("_cx", F.explode(steps("xmin", "xmax"))).withColumn("_cy", F.explode(steps("ymin", "ymax"))).select("_cx", "_cy", F.col("geoid").alias("county_fips"), "rings", "xmin", "xmax", "ymin", "ymax")
-    at = points.withColumns({"_cx": F.floor(F.col("lon") / CELL), "_cy": F.floor(F.col("lat") / CELL)})
-    met = at.join(sized(cells), ["_cx", "_cy"]).where("lon > xmin and lon < xmax and lat > ymin and lat < ymax")
-    return met.where(inside_rings(F.col("lon"), F.col("lat"), F.col("rings"))).select(*points.columns, "county_fips")
+def _edges(rings: list) -> np.ndarray:
+    """(x1, y1, x2, y2) of every edge that is not level; a level one crosses no ray."""
+    points = [np.array([(p["lon"], p["lat"]) for p in ring], float).reshape(-1, 2) for ring in rings]
+    every = np.concatenate([np.zeros((0, 4)), *(np.hstack([r[:-1], r[1:]]) for r in points if len(r) > 1)])
+    return every[every[:, 1] != every[:, 3]]
+
+
+def _met_by_rays(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether an odd number of edges is crossed from each point to the east."""
+    x1, y1, x2, y2 = (c[None, :] for c in edges.T)
+    x, y = x[:, None], y[:, None]
+    return (((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(axis=1) % 2 == 1
+
+
+def _cover(edges: np.ndarray, xmin: float, xmax: float, ymin: float, ymax: float) -> Iterator[tuple]:
+    """(cx, cy, k, parts) of the grid's cells that a polygon meets; k is 0 for one that it fills, and parts are k x k."""
+    low, high = edges[:, 1::2].min(axis=1), edges[:, 1::2].max(axis=1)
+    west, east = edges[:, ::2].min(axis=1), edges[:, ::2].max(axis=1)
+    for cy in range(math.floor(ymin / CELL), math.floor(ymax / CELL) + 1):
+        for cx in range(math.floor(xmin / CELL), math.floor(xmax / CELL) + 1):
+            near = (high >= cy * CELL - SLACK) & (low <= (cy + 1) * CELL + SLACK) & (east >= cx * CELL - SLACK)
+            inner = near & (west <= (cx + 1) * CELL + SLACK)
+            if not inner.any():
+                if _met_by_rays(edges[near], np.array([(cx + 0.5) * CELL]), np.array([(cy + 0.5) * CELL]))[0]:
+                    yield cx, cy, 0, None
+                continue
+            k = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, inner.sum()) / PART_EDGES) / 2)))
+            size, parts = CELL / k, []
+            for i in range(k * k):
+                x0, y0 = cx * CELL + i % k * size, cy * CELL + i // k * size
+                own = near & (high >= y0 - SLACK) & (low <= y0 + size + SLACK) & (east >= x0 - SLACK)
+                beyond = own & (west > x0 + size + SLACK)
+                if not (own & ~beyond).any():  # nothing passes through it, so all of its points are alike
+                    parts.append((bool(_met_by_rays(edges[own], np.array([x0 + size / 2]), np.array([y0 + size / 2]))[0]), []))
+                    continue
+                across = beyond & (low < y0 - SLACK) & (high > y0 + size + SLACK)  # every ray crosses these
+                parts.append((bool(across.sum() % 2), edges[own & ~across].tolist()))
+            yield cx, cy, k, parts
+
+
+def county_cover(counties: DataFrame) -> DataFrame:
+    """Cells of the grid that each county (geoid, rings) fills or whose part it is, with its box: made once for any number of points.
+
+    A cell that the county fills has _k 0. Another is cut into _k x _k parts, the more edges pass through it
+    the more, and each part has only the edges that a ray to the east from one of its points can meet or
+    miss; those that every such ray meets are in `odd`. So no ring stands in more than one row, and the
+    edges of a part tell exactly what the whole rings would.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = pa.struct([(c, pa.float64()) for c in EDGE])
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("odd", pa.bool_()), ("edges", pa.list_(edge))])), *[pa.float64()] * 4]
+        for batch in batches:
+            out = []
+            for geoid, rings in zip(batch["geoid"].to_pylist(), batch["rings"].to_pylist(), strict=True):
+                points = [p for ring in rings or () for p in ring]
+                edges = _edges(rings or [])
+                if len(edges):
+                    x, y = [p["lon"] for p in points], [p["lat"] for p in points]
+                    box = min(x), max(x), min(y), max(y)
+                    out += [(geoid, cx, cy, k, parts and [{"odd": odd, "edges": [dict(zip(EDGE, e, strict=True)) for e in some]} for odd, some in parts], *box) for cx, cy, k, parts in _cover(edges, *box)]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=COVER)
+
+    edge = ", ".join(f"{c}: double" for c in EDGE)
+    types = ["string", "bigint", "bigint", "int", f"array<struct<odd: boolean, edges: array<struct<{edge}>>>>", *["double"] * 4]
+    return counties.select("geoid", "rings").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in zip(COVER, types, strict=True)))
+
+
+def point_in_county(points: DataFrame, counties: DataFrame, cover: DataFrame | None = None) -> DataFrame:
+    """points (id, lon, lat, ...) with county_fips, by the cells of the counties' cover. Points in none drop out.
+
+    A point meets the rows of its cell only: in a filled one it sees no edge, else those of its part.
+    """
+    lon, lat, k = F.col("lon"), F.col("lat"), F.col("_k")
+    at = points.withColumns({"_cx": F.floor(lon / CELL), "_cy": F.floor(lat / CELL)})
+    met = at.join(cover if cover is not None else county_cover(counties), ["_cx", "_cy"]).where("lon > _xmin and lon < _xmax and lat > _ymin and lat < _ymax")
+    place = lambda v, c: F.least(F.greatest(F.floor(v / CELL * k) - F.col(c) * k, F.lit(0)), k - 1)
+    part = F.get("_parts", (place(lat, "_cy") * k + place(lon, "_cx")).cast("int"))
+    crossed = lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    inside = (k == 0) | ((F.size(F.filter(part["edges"], crossed)) % 2 == 1) != part["odd"])
+    return met.where(inside).select(*points.columns, "county_fips")
 
 
 def scope_by_state(requests: DataFrame, states: DataFrame, counties: DataFrame) -> DataFrame:
@@ -96,9 +179,11 @@ def counties_for_radius(requests: DataFrame, counties: DataFrame) -> DataFrame:
     asked = requests.select("request_id", "lat", "lon", circle(F.col("lat"), F.col("lon"), F.col("miles")).alias("ring"), (F.col("lon") - dlon).alias("x0"), (F.col("lon") + dlon).alias("x1"), (F.col("lat") - dlat).alias("y0"), (F.col("lat") + dlat).alias("y1"))
     boxed = counties if "xmin" in counties.columns else with_box(counties)
     steps = lambda a, b: F.sequence(F.floor(F.col(a) / CELL), F.floor(F.col(b) / CELL))
-    cells = sized(boxed.withColumn("_cx", F.explode(steps("xmin", "xmax"))).withColumn("_cy", F.explode(steps("ymin", "ymax"))).select("_cx", "_cy", "geoid", "rings", "xmin", "xmax", "ymin", "ymax"))
-    spread = asked.withColumn("_cx", F.explode(steps("x0", "x1"))).withColumn("_cy", F.explode(steps("y0", "y1")))
-    met = spread.join(cells, ["_cx", "_cy"]).where("x0 <= xmax and x1 >= xmin and y0 <= ymax and y1 >= ymin").dropDuplicates(["request_id", "geoid"])
+    boxes = boxed.withColumn("_cx", F.explode(steps("xmin", "xmax"))).withColumn("_cy", F.explode(steps("ymin", "ymax"))).select("_cx", "_cy", "geoid", "xmin", "xmax", "ymin", "ymax")
+    spread = asked.select("request_id", "x0", "x1", "y0", "y1").withColumn("_cx", F.explode(steps("x0", "x1"))).withColumn("_cy", F.explode(steps("y0", "y1")))
+    near = spread.join(boxes, ["_cx", "_cy"]).where("x0 <= xmax and x1 >= xmin and y0 <= ymax and y1 >= ymin").select("request_id", "geoid").distinct()
+    # Boxes choose the pairs; only then each pair gets its rings and its circle, once.
+    met = near.join(counties.select("geoid", "rings"), "geoid").join(asked.select("request_id", "lat", "lon", "ring"), "request_id")
     edges = lambda ring: F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     touched = F.exists("rings", lambda ring: F.exists(edges(ring), lambda e: F.exists(edges(F.col("ring")), lambda c: _crosses(e["a"], e["b"], c["a"], c["b"]))))
     corner = F.get(F.get("rings", F.lit(0)), F.lit(0))

@@ -70,6 +70,66 @@ def find_places(places: DataFrame, counties: DataFrame, county_fips: list[str],
     return met.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_state).drop("_rn")
 
 
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All substrings of this length, each once."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array())
+
+
+def _containing(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, word) of every name (id, n) that contains a word, by an inverted index of the words.
+
+    A word of GRAM letters or more stands in the index under that one of its grams that the fewest names
+    have, a shorter one under itself. Names meet the index by their grams, so a name sees the few words
+    that it may contain, however many there are.
+    """
+    long, short = words.where(F.length("word") >= GRAM), words.where(F.length("word") < GRAM)
+    of_words = long.select("word", F.explode(_grams(F.col("word"), GRAM)).alias("gram"))
+    of_names = names.select("id", "n", F.explode(_grams(F.col("n"), GRAM)).alias("gram"))
+    often = of_names.join(of_words.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("names"))
+    index = of_words.join(often, "gram").groupBy("word").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"), F.count("*").alias("met"))
+    # A word some gram of which no name has is in no name.
+    index = index.where(F.col("met") == F.size(_grams(F.col("word"), GRAM))).drop("met")
+    few = names.select("id", "n", F.explode(F.concat(_grams(F.col("n"), 1), _grams(F.col("n"), 2))).alias("word")).join(short, "word").select("id", "word")
+    return of_names.join(index, "gram").where(F.col("n").contains(F.col("word"))).select("id", "word").unionByName(few)
+
+
+def match_targets(places: DataFrame, targets: DataFrame) -> DataFrame:
+    """(campaign_id, id) of places (id, name, hierarchy, leaf, confidence) that fit a campaign's targets (campaign_id, kind, value).
+
+    As find_places does for one profile: a place has one of the categories in its taxonomy or one of the
+    keywords in its name, none of the excluded ones, and the confidence; where a campaign excludes categories
+    (keywords), a place without a taxonomy (name) doesn't fit. Targets stay a table: taxonomies meet them by
+    node, names by an inverted index, so one pass over the places serves all campaigns.
+    """
+    nodes = places.select("id", F.explode(F.array_distinct(F.concat(F.coalesce("hierarchy", F.array().cast("array<string>")), F.array("leaf")))).alias("value")).where("value is not null")
+    by_node = nodes.join(targets.where("kind in ('category', 'not_category')"), "value").select("campaign_id", "id", "kind")
+    words = targets.where("kind in ('keyword', 'not_keyword')").select("campaign_id", "kind", F.lower(F.trim("value")).alias("word"))
+    names = places.where("name is not null").select("id", F.lower("name").alias("n"))
+    by_word = _containing(names, words.select("word").distinct()).join(words, "word").select("campaign_id", "id", "kind")
+    said = by_node.unionByName(by_word).groupBy("campaign_id", "id").agg(F.max(F.col("kind").startswith("not_")).alias("excluded")).where("not excluded").drop("excluded")
+    has = lambda k: F.coalesce(F.max(F.col("kind") == k), F.lit(False)).alias(k)
+    asks = targets.groupBy("campaign_id").agg(has("not_category"), has("not_keyword"), F.coalesce(F.max(F.when(F.col("kind") == "min_confidence", F.col("value").try_cast("double"))), F.lit(CONFIDENCE_FLOOR)).alias("floor"))
+    known = places.select("id", "confidence", (F.col("hierarchy").isNotNull() & F.col("leaf").isNotNull()).alias("has_taxonomy"), F.col("name").isNotNull().alias("has_name"))
+    met = said.join(asks, "campaign_id").join(known, "id")
+    return met.where("confidence >= floor and (has_taxonomy or not not_category) and (has_name or not not_keyword)").select("campaign_id", "id")
+
+
+def find_for_campaigns(places: DataFrame, counties: DataFrame, scopes: DataFrame, targets: DataFrame, per_state: int = PER_STATE) -> DataFrame:
+    """(campaign_id, id, county_fips, state): find_places for every campaign of the tables scopes (campaign_id, county_fips) and targets.
+
+    Places are located once, in the counties that any campaign asks for. Ids of places are distinct.
+    """
+    asked = counties.join(scopes.select(F.col("county_fips").alias("geoid")).distinct(), "geoid", "left_semi")
+    located = point_in_county(places.select("id", "lon", "lat", "state"), asked).select("id", "county_fips", "state")
+    met = match_targets(places, targets).join(located, "id").join(scopes.select("campaign_id", "county_fips").distinct(), ["campaign_id", "county_fips"])
+    order = Window.partitionBy("campaign_id", "state").orderBy("id")
+    return met.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_state).select("campaign_id", "id", "county_fips", "state")
+
+
 def scope_filter(sites: DataFrame, zips: list[str] | None = None, centre: tuple[float, float] | None = None, miles: float | None = None) -> DataFrame:
     """The exact scope inside its counties: ZIP codes, or a distance."""
     from leadweave.functions.geo import MILE_M, distance_m

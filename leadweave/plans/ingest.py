@@ -6,20 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from leadweave.functions import geo
-
 from leadweave.operators import dedupe as D
 from leadweave.operators import geography as G
 from leadweave.operators import lists as L
 from leadweave.operators import places as P
-from leadweave.operators import routing as R
 from leadweave.operators import scoring as C
+from leadweave.operators.campaigns import Known, find_candidates
 from leadweave.plans import market as MK
 from leadweave.plans.registry import NSITES, domain_key, name_norm, query
 from leadweave.plans.resolution import _DEDUPED, _HITS, _ROUTED, _rules, sites
 from leadweave.sources import imports as I
 from leadweave.sources.adapter import table
-from leadweave.sources.shared import shared_folder, written
+from leadweave.sources.shared import shared_folder
 
 BOX = (-95.7, 29.6, -95.0, 30.4)
 
@@ -261,29 +259,22 @@ def l8_candidate_summary(spark, d):
 _CAMPAIGN = """{"segments":[{"name":"A","categories":["building","machinery"],"keywords":["Steel","roofing "]}],"excludeCategories":["furniture"],"excludeKeywords":["marine"]}"""
 
 
+def _search(spark, d, profiles, asked):
+    """The chain of a search: requests (campaign_id, query) become scopes, the rest is find_candidates."""
+    asked = asked.withColumn("request_id", F.concat_ws("|", "campaign_id", "query"))
+    resolved = G.resolve_queries(asked.select("request_id", "query"), MK.states(spark), MK.counties(spark, d), MK.cbsa(spark, d), MK.zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories"))
+    scopes = asked.join(resolved, "request_id").select("campaign_id", F.explode("counties").alias("county_fips")).distinct()
+    number = F.concat(F.lit("L"), F.lpad((F.col("k") + 1).cast("string"), 8, "0"))
+    leads = table(spark, d, "leads")
+    studied = table(spark, d, "research").join(leads.select(F.col("lead_id"), number.alias("number")), "lead_id").select(F.lit("c1").alias("campaign_id"), F.col("number").alias("lead_id"))
+    known = Known(leads.select("campaign_id", number.alias("lead_id"), "site_id", "status"), studied, leads.select("site_id", F.lit(None).cast("string").alias("company_id")), _rules(spark, d), table(spark, d, "territories"), table(spark, d, "branches"))
+    return find_candidates(profiles, scopes, places(spark, d), raw_places(spark, d).drop("k"), MK.counties(spark, d), known, "r1")
+
+
 def p1_find_candidates_plan(spark, d):
     """Requests -> counties; profile -> targets; places -> sites -> groups -> leads of the campaign -> suppressed -> routed."""
-    asked = spark.createDataFrame([(0, f"Nation_{i} County") for i in range(len(_FIPS))], "campaign int, query string").withColumn("request_id", F.monotonically_increasing_id())
-    scopes = G.resolve_queries(asked, MK.states(spark), MK.counties(spark, d), MK.cbsa(spark, d), MK.zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories"))
-    scope = G.union_scopes(scopes.join(asked.select("request_id", "campaign"), "request_id").select(F.col("campaign").alias("request_id"), "counties"))
-    targets = P.profile_targets(spark.createDataFrame([("c1", _CAMPAIGN)], "campaign_id string, profile_json string"))
-    # Counties of one scope and values of one profile: some thousands at most.
-    fips = scope.first()["counties"]
-    wanted = {r["kind"]: r["values"] for r in targets.groupBy("kind").agg(F.collect_list("value").alias("values")).collect()}
-    found = P.find_places(places(spark, d), MK.counties(spark, d), fips, wanted["category"], wanted["keyword"], wanted["not_category"], wanted["not_keyword"], float(wanted["min_confidence"][0]))
-    found = written(D.distinct_by_id(found.select("id", "county_fips"), "id", [F.col("county_fips")]), "found")
-    flat = P.places_to_sites(raw_places(spark, d).drop("k").join(found, "id", "left_semi"), "r1").drop("payload_json")
-    deduped = written(D.dedupe(flat.withColumn("gh7", geo.geohash(F.col("lat"), F.col("lon")))), "deduped")
-    number = F.concat(F.lit("L"), F.lpad((F.col("k") + 1).cast("string"), 8, "0"))
-    known = table(spark, d, "leads")
-    old = I.clear_candidates(known, table(spark, d, "research").withColumn("campaign_id", F.lit("c1")), "c1").select("campaign_id", number.alias("lead_id"), "site_id")
-    stored = I.store_candidates(deduped, known.select("site_id", F.lit(None).cast("string").alias("company_id")), old, "c1")
-    none = F.lit(None).cast("string")
-    leads = stored.join(deduped.select("site_id", "name_norm", "domain_key", "zip5", "lat", "lon", "leaf"), "site_id").join(found.select(F.col("id").alias("site_id"), "county_fips"), "site_id")
-    leads = written(leads.withColumn("postcode", F.col("zip5")).withColumns({c: none for c in ("pre_status", "suppress_reason", "assignment", "dealer_id", "branch_id")}), "leads")
-    hits = R.match_suppression(leads.select("lead_id", "name_norm", "domain_key", "zip5"), _rules(spark, d))
-    after = R.apply_suppression(leads, hits).select(leads.columns)
-    return R.assign_dealers(after, table(spark, d, "territories"), table(spark, d, "branches"))
+    asked = spark.createDataFrame([("c1", f"Nation_{i} County") for i in range(len(_FIPS))], "campaign_id string, query string")
+    return _search(spark, d, spark.createDataFrame([("c1", _CAMPAIGN)], "campaign_id string, profile_json string"), asked)
 
 
 _P1 = f"""{_FOUND}, {_DEDUPED.replace('FROM sites)', 'FROM (SELECT * REPLACE (CASE WHEN k % 37 <> 0 THEN postcode END AS postcode) FROM sites WHERE site_id IN (SELECT id FROM found)) x)')}, {_HITS[len(NSITES) + 2:]},
@@ -302,11 +293,59 @@ def p1_find_candidates(spark, d):
 @query(f"+{_P1}, top AS (SELECT site_id FROM newleads JOIN sites USING (site_id) WHERE status = 'candidate' ORDER BY confidence DESC, site_id LIMIT 10) SELECT 'category' AS part, leaf AS name, count(*) AS leads FROM given WHERE status <> 'duplicate' GROUP BY 2 UNION ALL SELECT 'sample', site_id, 1 FROM top", _P1_TABLES)
 def p1_candidate_report(spark, d):
     """What p1 stored by category, and a sample of ten candidates."""
-    leads = p1_find_candidates_plan(spark, d).join(table(spark, d, "sites").select("site_id", "confidence"), "site_id")
+    leads = p1_find_candidates_plan(spark, d)
     summary = L.candidate_summary(leads.withColumn("is_primary", F.col("status") != "duplicate")).select(F.lit("category").alias("part"), F.col("category").alias("name"), "leads")
     return summary.unionByName(L.sample_candidates(leads).select(F.lit("sample").alias("part"), F.col("site_id").alias("name"), F.lit(1).cast("bigint").alias("leads")))
 
 
+# A search for each region, over the counties of its nations: categories, keywords, what is excluded, the least confidence.
+_SEARCHES = [
+    (0, ["building"], ["Steel"], [], ["marine"], None), (1, ["machinery", "building"], ["Steel", "roofing "], ["furniture"], ["marine"], 0.6), (2, [], ["ar", "GLASS", "no such"], [], [], 0.5),
+    (3, ["automobile", "asia"], [], ["household"], [], 0.75), (4, ["services"], ["storage"], [], ["s 1", "acme"], 0.45),
+]
+
+
+def _regions(spark, d):
+    """(profiles, requests) of the searches by region, as far as the table of regions has them."""
+    rows = spark.createDataFrame(_SEARCHES, "r int, categories array<string>, keywords array<string>, excludeCategories array<string>, excludeKeywords array<string>, minConfidence double")
+    met = rows.join(table(spark, d, "region"), F.col("r") == F.col("r_regionkey")).withColumn("campaign_id", F.concat(F.lit("c"), F.col("r").cast("string")))
+    profile = F.struct(F.array(F.struct(F.lit("A").alias("name"), "categories", "keywords")).alias("segments"), "excludeCategories", "excludeKeywords", "minConfidence")
+    asked = met.join(table(spark, d, "nation"), F.col("r") == F.col("n_regionkey")).select("campaign_id", F.concat(F.initcap("n_name"), F.lit(" County")).alias("query"))
+    return met.select("campaign_id", F.to_json(profile).alias("profile_json")), asked
+
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+_FOUND_ALL = f"""{_PL}, searches(r, cats, words, nocats, nowords, floor) AS (VALUES {", ".join(f"({r}, {_LIST(c)}, {_LIST(w)}, {_LIST(n)}, {_LIST(m)}, {f or 0.6}::DOUBLE)" for r, c, w, n, m, f in _SEARCHES)}),
+  found AS (SELECT 'c' || r AS campaign_id, site_id AS id, geoid AS county_fips, 'S' || g % 3 AS state FROM pl JOIN counties ON {MK._IN} JOIN nation ON geoid = {MK._GEOID} JOIN searches ON n_regionkey = r WHERE confidence >= floor
+    AND (coalesce(list_has_any(h, cats), false) OR coalesce(list_contains(cats, pleaf), false) OR coalesce(len(list_filter(words, lambda w: contains(lower(pname), lower(trim(w))))) > 0, false))
+    AND (len(nocats) = 0 OR (h IS NOT NULL AND pleaf IS NOT NULL AND NOT list_has_any(h, nocats) AND NOT list_contains(nocats, pleaf)))
+    AND (len(nowords) = 0 OR (pname IS NOT NULL AND len(list_filter(nowords, lambda w: contains(lower(pname), lower(trim(w))))) = 0))
+    QUALIFY row_number() OVER (PARTITION BY r, g % 3 ORDER BY site_id) <= {P.PER_STATE})"""
+
+
+@query(f"+{_FOUND_ALL} SELECT campaign_id, id, county_fips, state FROM found", ("sites", "counties"))
+def f3_find_for_campaigns(spark, d):
+    """f3 for a table of campaigns: targets stay a table, places are located once."""
+    profiles, asked = _regions(spark, d)
+    n = table(spark, d, "nation")
+    scopes = asked.join(n.select(F.concat(F.initcap("n_name"), F.lit(" County")).alias("query"), F.concat(F.lit("48"), F.lpad((2 * F.col("n_nationkey") + 1).cast("string"), 3, "0")).alias("county_fips")), "query")
+    return P.find_for_campaigns(places(spark, d), MK.counties(spark, d), scopes, P.profile_targets(profiles))
+
+
+_EACH = _DEDUPED.replace("FROM sites)", "FROM (SELECT campaign_id, sites.* REPLACE (campaign_id || '|' || site_id AS site_id, CASE WHEN k % 37 <> 0 THEN postcode END AS postcode) FROM sites JOIN found ON site_id = id) x)").replace("JOIN nsites q ON p.", "JOIN nsites q ON p.campaign_id = q.campaign_id AND p.")
+_P1_ALL = f"""{_FOUND_ALL}, {_EACH}, {_HITS[len(NSITES) + 2:]},
+  kept AS (SELECT 'c1|' || site_id AS site_id, k FROM leads WHERE status NOT IN ('candidate', 'duplicate', 'suppressed') OR lead_id IN (SELECT lead_id FROM research)),
+  stored AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY site_id) + CASE WHEN campaign_id = 'c1' THEN (SELECT coalesce(max(k + 1), 0) FROM kept) ELSE 0 END AS num FROM deduped WHERE site_id NOT IN (SELECT site_id FROM kept)),
+  newleads AS (SELECT s.campaign_id || '|L' || CASE WHEN num < 1000 THEN lpad(CAST(num AS STRING), 4, '0') ELSE CAST(num AS STRING) END AS lead_id, s.site_id, s.lat, s.lon, s.postcode, s.leaf, f.county_fips, CASE WHEN NOT is_primary THEN 'duplicate' WHEN h.rule_id IS NOT NULL THEN 'suppressed' ELSE 'candidate' END AS status,
+    CAST(NULL AS STRING) AS assignment, CAST(NULL AS STRING) AS dealer_id, CAST(NULL AS STRING) AS branch_id FROM stored s JOIN found f ON f.campaign_id || '|' || f.id = s.site_id LEFT JOIN hits h ON h.lead_id = s.site_id), {_ROUTED.replace('FROM leads', 'FROM newleads').replace('ruled', 'eligible')}"""
+
+
+@query(f"+{_P1_ALL} SELECT split_part(lead_id, '|', 1) AS campaign_id, split_part(lead_id, '|', 2) AS lead_id, split_part(site_id, '|', 2) AS site_id, status, dealer_id, branch_id, assignment FROM given", _P1_TABLES)
+def p1_find_for_campaigns(spark, d):
+    """The whole search for all campaigns of a table in one plan."""
+    return _search(spark, d, *_regions(spark, d)).select("campaign_id", "lead_id", "site_id", "status", "dealer_id", "branch_id", "assignment")
+
+
 @query(f"""SELECT 'counties' AS part, count(*) AS rows FROM counties UNION ALL SELECT 'cbsa', count(*) FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT 'zcta', count(*) FROM (SELECT DISTINCT postcode, g % 25 FROM sites WHERE k % 5 <> 0 AND k % 6 <> 0) z
   UNION ALL SELECT 'places', count(*) FROM sites WHERE {_EXT} UNION ALL SELECT 'states to build', count(DISTINCT g) FROM sites WHERE g % 3 <> 0""", ("sites", "counties"))
 def p6_prepare_data(spark, d):

@@ -135,19 +135,31 @@ def numbered(df: DataFrame, order: list[Column], start: Column | int = 0, out: s
     return within.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_n") + F.col("_before") + start).cast("bigint")).drop("_part", "_n", "_before")
 
 
-def store_candidates(deduped: DataFrame, sites: DataFrame, leads: DataFrame, campaign_id: str) -> DataFrame:
-    """New lead rows: of places the campaign has none of; duplicates as such; known sites keep their company; ids go on from the largest."""
-    new = deduped.join(leads.where(F.col("campaign_id") == campaign_id).select("site_id"), "site_id", "left_anti")
+def store_candidates(deduped: DataFrame, sites: DataFrame, leads: DataFrame, campaign_id: str | None = None) -> DataFrame:
+    """New lead rows: of places the campaign has none of; duplicates as such; known sites keep their company; ids go on from the largest.
+
+    Without a campaign_id, deduped has a column of that name, and every campaign counts on for itself.
+    """
+    if campaign_id is not None:
+        deduped = deduped.withColumn("campaign_id", F.lit(campaign_id))
+    new = deduped.join(leads.select("campaign_id", "site_id"), ["campaign_id", "site_id"], "left_anti")
     company = sites.select("site_id", F.col("company_id").alias("_known"))
     met = new.join(company, "site_id", "left").withColumn("company_id", F.coalesce("_known", row_digest("co_", F.col("component")))).drop("_known")
-    top = leads.where(F.col("campaign_id") == campaign_id).agg(F.coalesce(F.max(F.substring("lead_id", 2, 12).cast("bigint")), F.lit(0)).alias("_top"))
-    out = numbered(met, [F.col("site_id")]).crossJoin(F.broadcast(top))  # one row
-    number = (F.col("number") + F.col("_top")).cast("string")
-    return out.select(F.lit(campaign_id).alias("campaign_id"), F.concat(F.lit("L"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("lead_id"), "site_id", "company_id", F.when(F.col("is_primary"), "candidate").otherwise("duplicate").alias("status"))
-
-
-def clear_candidates(leads: DataFrame, research: DataFrame, campaign_id: str) -> DataFrame:
-    """leads without the campaign's candidates, duplicates and suppressed that have no research."""
-    goes = (F.col("campaign_id") == campaign_id) & F.col("status").isin("candidate", "duplicate", "suppressed")
-    kept = leads.where(~goes)
-    return kept.unionByName(leads.where(goes).join(research.select("campaign_id", "lead_id").distinct(), ["campaign_id", "lead_id"], "left_semi").select(leads.columns))
+    every = numbered(met, [F.col("campaign_id"), F.col("site_id")])
+    first = every.groupBy("campaign_id").agg(F.min("number").alias("_first"))
+    top = leads.groupBy("campaign_id").agg(F.max(F.substring("lead_id", 2, 12).try_cast("bigint")).alias("_top"))
+    out = every.join(first.join(top, "campaign_id", "left"), "campaign_id")
+    number = (F.col("number") - F.col("_first") + 1 + F.coalesce("_top", F.lit(0))).cast("string")
+    return out.select("campaign_id", F.concat(F.lit("L"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("lead_id"), "site_id", "company_id", F.when(F.col("is_primary"), "candidate").otherwise("duplicate").alias("status"))
+
+
+def clear_candidates(leads: DataFrame, research: DataFrame, campaign: str | DataFrame) -> DataFrame:
+    """leads without the candidates, duplicates and suppressed that have no research, of a campaign or of a table of campaign_id."""
+    if isinstance(campaign, str):
+        cleared, rest = leads.where(F.col("campaign_id") == campaign), leads.where(F.col("campaign_id") != campaign)
+    else:
+        cleared, rest = leads.join(campaign.select("campaign_id"), "campaign_id", "left_semi"), leads.join(campaign.select("campaign_id"), "campaign_id", "left_anti")
+    goes = F.col("status").isin("candidate", "duplicate", "suppressed")
+    studied = research.select("campaign_id", "lead_id").distinct()
+    kept = cleared.where(~goes).unionByName(cleared.where(goes).join(studied, ["campaign_id", "lead_id"], "left_semi").select(leads.columns))
+    return rest.select(leads.columns).unionByName(kept.select(leads.columns))
