@@ -127,3 +127,33 @@ def market_notes(estimates: DataFrame, dropped: DataFrame, county_only: DataFram
     if county_only is not None:
         out = out.unionByName(county_only.select("request_id", F.lit("whole counties are counted, though the area is smaller").alias("note")))
     return out
+
+
+def size_market(asked: DataFrame, resolved: DataFrame, codes: DataFrame, requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """(request_id, part, code, detail, value): the whole answer to requests in words, a row per fact.
+
+    asked: (request_id, query), one or more places in words per request. resolved: (query, kind, counties) of
+    every distinct query. codes: (request_id, code). requests: (request_id, min_employees). rows: decoded business tables.
+    Parts are `unknown` (a query that names no area), `county`, `dropped` (a code and, as detail, the one it is part of), `establishments`,
+    `with_min` and `gap` (per code; null where nothing is published), `absent` (a code and a county), `total` (detail says of what)
+    and `note`. A request none of whose queries names an area has no counties and so only its unknown queries and dropped codes.
+    """
+    met = asked.join(resolved, "query")
+    known = met.where("kind <> 'error'")
+    counties = known.select("request_id", F.explode("counties").alias("county_fips")).distinct()
+    smaller = known.where("kind = 'zips'").select("request_id").distinct()
+    dropped = drop_descendant_codes(codes)
+    live = dropped.where("ancestor is null").select("request_id", "code")
+    estimates = estimate_market(rows, requests, codes, counties)
+    none = F.lit(None)
+    fact = lambda df, part, code=none, detail=none, value=none: df.select("request_id", F.lit(part).alias("part"), code.cast("string").alias("code"), detail.cast("string").alias("detail"), value.cast("bigint").alias("value"))
+    code, totals = F.col("code"), market_totals(estimates)
+    parts = [
+        fact(met.where("kind = 'error'"), "unknown", detail=F.col("query")), fact(counties, "county", detail=F.col("county_fips")), fact(dropped.where("ancestor is not null"), "dropped", code, F.col("ancestor")),
+        *(fact(estimates, c, code, value=F.col(c)) for c in ("establishments", "with_min", "gap")), fact(absent_counties(rows, live, counties).withColumn("county", F.explode("absent")), "absent", code, F.col("county")),
+        *(fact(totals, "total", detail=F.lit(c), value=F.col(c)) for c in ("establishments", "with_min")), fact(market_notes(estimates, dropped, smaller), "note", detail=F.col("note")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions.similarity import letters, may_reach, similarity
 from leadweave.operators.blocks import split_blocks
+from leadweave.operators.ranks import grouped_median, with_place
 from leadweave.operators.routing import sized
+from leadweave.sources.shared import written
 
 CODE_LETTERS = "23456789ABCDEFGHJKLMNPQRSTUVWXYZ"
 ROUNDS = 20
@@ -110,10 +116,7 @@ def assign_cohorts(leads: DataFrame, designs: list[list[tuple[str, float]]], see
     base = leads.select("lead_id", F.coalesce("tier", F.lit("-")).alias("tier"), F.coalesce("dealer_id", F.lit("-")).alias("dealer_id")).withColumn("cohort", F.lit(""))
     for design in designs:
         total = sum(share for _, share in design)
-        stratum = Window.partitionBy("tier", "dealer_id", "cohort")
-        order = stratum.orderBy(F.sha2(F.concat(F.lit(seed), "lead_id"), 256), "lead_id")
-        place, size = F.row_number().over(order), F.count("*").over(stratum)
-        base = base.withColumns({"_p": place, "_n": size})
+        base = with_place(base, ["tier", "dealer_id", "cohort"], [F.sha2(F.concat(F.lit(seed), "lead_id"), 256), F.col("lead_id")], "_p", "_n")
         name, reached = F.lit(design[-1][0]), 0.0
         chosen = None
         for label, share in design[:-1]:
@@ -169,11 +172,11 @@ def credit(matches: DataFrame, sales: DataFrame, responses: DataFrame, outcomes:
     return before.select("sale_id", "lead_id", kind.alias("credit"))
 
 
-def cohort_report(matches: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """Per cohort: leads, matched purchases by tier, rate, purchases that need a review."""
+def cohort_report(matches: DataFrame, cohorts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per cohort, and per columns `by` of cohorts: leads, matched purchases by tier, rate, purchases that need a review."""
     bought = matches.groupBy("lead_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("tier") == t).alias(t) for t in ("exact", "strong", "fuzzy")), F.count_if("needs_review").alias("review"))
     met = cohorts.join(bought, "lead_id", "left").na.fill(0, ["n", "exact", "strong", "fuzzy", "review"])
-    out = met.groupBy("cohort").agg(F.count("*").alias("leads"), F.count_if(F.col("n") > 0).alias("buyers"), *(F.sum(c).alias(c) for c in ("exact", "strong", "fuzzy", "review")))
+    out = met.groupBy(*by, "cohort").agg(F.count("*").alias("leads"), F.count_if(F.col("n") > 0).alias("buyers"), *(F.sum(c).alias(c) for c in ("exact", "strong", "fuzzy", "review")))
     return out.withColumn("rate", F.col("buyers") / F.col("leads"))
 
 
@@ -186,9 +189,40 @@ def lift(report: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     return s.select(p.alias("rate_mailed"), q.alias("rate_held"), (p - q).alias("lift"), (p - q - z * error).alias("low"), (p - q + z * error).alias("high"))
 
 
-def campaign_funnel(leads: DataFrame, responses: DataFrame, outcomes: DataFrame, revenue: DataFrame, costs: DataFrame) -> DataFrame:
+def lift_by_campaign(report: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """A row per campaign and one for all (null campaign): rates of mailed and held-out leads, their difference and its normal interval.
+
+    report: (campaign_id, cohort, leads, buyers). The row for all pools the campaigns' own differences by the
+    weights of Mantel and Haenszel (mailed times held, over both), with the variance of such a sum; so a
+    campaign with much mail and few sales doesn't pass for an effect of the mail. A campaign without mailed or
+    without held-out leads has no difference and isn't pooled; without any, the pooled row has none either.
+    """
+    held = F.coalesce(F.col("cohort").contains("holdout"), F.lit(False))
+    s = report.groupBy("campaign_id").agg(*(F.coalesce(F.sum(F.when(held if h else ~held, F.col(c))), F.lit(0)).alias(f"{c}_{n}") for h, n in ((False, "mailed"), (True, "held")) for c in ("leads", "buyers")))
+    n1, n0, both = F.col("leads_mailed"), F.col("leads_held"), (F.col("leads_mailed") > 0) & (F.col("leads_held") > 0)
+    p, q = F.when(n1 > 0, F.col("buyers_mailed") / n1), F.when(n0 > 0, F.col("buyers_held") / n0)
+    var = F.when(both, p * (1 - p) / n1 + q * (1 - q) / n0)
+    each = s.select("campaign_id", "leads_mailed", "leads_held", p.alias("rate_mailed"), q.alias("rate_held"), (p - q).alias("lift"), var.alias("var"), F.when(both, n1 * n0 / (n1 + n0)).alias("w"))
+    w = F.col("w")
+    # One row: sums over campaigns, with the rates weighted alike.
+    share = lambda c: F.try_divide(F.sum(w * F.col(c)), F.sum(w))
+    pooled = each.agg(
+        F.lit(None).cast("string").alias("campaign_id"), F.sum("leads_mailed").alias("leads_mailed"), F.sum("leads_held").alias("leads_held"), share("rate_mailed").alias("rate_mailed"), share("rate_held").alias("rate_held"), share("lift").alias("lift"),
+        F.try_divide(F.sum(w * w * F.col("var")), F.sum(w) * F.sum(w)).alias("var"),
+    )
+    error = z * F.sqrt("var")
+    return each.drop("w").withColumn("pooled", F.lit(False)).unionByName(pooled.withColumn("pooled", F.lit(True))).withColumns({"low": F.col("lift") - error, "high": F.col("lift") + error}).drop("var")
+
+
+#: What a funnel is broken down by; each alone, each within its campaign, and all.
+DIMENSIONS = ("campaign_id", "dealer_id", "segment", "tier", "creative")
+
+
+def campaign_funnel(leads: DataFrame, responses: DataFrame, outcomes: DataFrame, revenue: DataFrame, costs: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
     """Leads mailed, responded, contacted, quoted, won, units, revenue and cost by campaign, dealer, segment and tier, with all sums over these.
 
+    With `dimensions`, columns of leads, by grouping sets instead of that rollup: the first of them (the campaign), each other
+    alone and within it, and all, so that a dealer or a creative is seen across campaigns; `level` has a bit for each that is summed over.
     revenue and costs are (lead_id, amount) rows; units are rows of revenue. A ratio is null where there is nothing to divide by.
     """
     r = responses.select("lead_id").distinct().withColumn("responded", F.lit(1))
@@ -196,7 +230,13 @@ def campaign_funnel(leads: DataFrame, responses: DataFrame, outcomes: DataFrame,
     m = revenue.groupBy("lead_id").agg(F.sum("amount").alias("revenue"), F.count("*").alias("units"))
     c = costs.groupBy("lead_id").agg(F.sum("amount").alias("cost"))
     wide = leads.join(r, "lead_id", "left").join(o, "lead_id", "left").join(m, "lead_id", "left").join(c, "lead_id", "left")
-    out = wide.rollup("campaign_id", "dealer_id", "segment", "tier").agg(
+    if dimensions:
+        top, *others = dimensions
+        sets = [[], [F.col(top)], *([F.col(o)] for o in others), *([F.col(top), F.col(o)] for o in others)]
+        grouped = wide.groupingSets(sets, *dimensions)
+    else:
+        grouped = wide.rollup("campaign_id", "dealer_id", "segment", "tier")
+    out = grouped.agg(
         F.count("*").alias("mailed"), *(F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("responded", "contacted", "quoted", "won", "units")),
         *(F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2).alias(c) for c in ("revenue", "cost")), F.grouping_id().cast("int").alias("level"),
     )
@@ -211,7 +251,9 @@ def time_to_first_contact(leads: DataFrame, responses: DataFrame, outcomes: Data
     met = leads.where("dealer_id is not null").select("lead_id", "dealer_id").join(asked, "lead_id").join(after, "lead_id", "left")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     hours = (micros("contact") - micros("ts")) / 3_600_000_000.0
-    return met.groupBy("dealer_id").agg(F.count("*").alias("responded"), (F.count("contact") / F.count("*")).alias("share"), F.percentile(hours, 0.5).alias("median_hours"))
+    met = written(met.select("dealer_id", "contact", hours.alias("hours")), "contacts")
+    share = met.groupBy("dealer_id").agg(F.count("*").alias("responded"), (F.count("contact") / F.count("*")).alias("share"))
+    return share.join(grouped_median(met, ["dealer_id"], "hours", "median_hours"), "dealer_id")
 
 
 def permits_to_signals(permits: DataFrame, leads: DataFrame) -> DataFrame:
@@ -220,21 +262,75 @@ def permits_to_signals(permits: DataFrame, leads: DataFrame) -> DataFrame:
     return met.select("lead_id", F.lit("permit").alias("type"), "text", F.date_format("issued", "yyyy-MM-dd").alias("date_text"), "permit_id")
 
 
-def fit_weights(labelled: DataFrame, label: str = "won", least: int = 100) -> DataFrame:
-    """(segment, feature, weight): logistic regression per segment with `least` labels or more, shares of positive coefficients.
-
-    Segments are a profile's handful; each is one distributed fit.
+def _newton(batches: Iterator[pd.DataFrame], k: int, penalty: float) -> Iterator[pd.DataFrame]:
+    """The next coefficients of each segment from its sums; a step that made the loss greater is halved instead."""
+    at = np.triu_indices(k)
+    for t in batches:
+        out = []
+        for r in t.itertuples(index=False):
+            r = r._asdict()
+            beta, step, scale = np.array(r["beta"], float), np.array(r["step"], float), np.concatenate(([0.0], np.nan_to_num(np.array(r["scale"], float))))
+            loss = r["loss_sum"] / r["n"] + penalty / 2 * float((scale * beta**2).sum())
+            if loss > r["loss"] + 1e-15 and np.abs(step).max() > 1e-12:
+                step = step / 2
+                out.append((r["segment"], beta - step, step, r["loss"], r["rounds"] + 1, False))
+                continue
+            h = np.zeros((k, k))
+            h[at] = np.array(r["h"], float) / r["n"]
+            h = h + np.triu(h, 1).T + np.diag(penalty * scale)
+            g = np.array(r["g"], float) / r["n"] + penalty * scale * beta
+            alive = np.concatenate(([True], scale[1:] > 0))  # a feature that doesn't vary has no weight
+            new = np.zeros(k)
+            new[alive] = -np.linalg.lstsq(h[np.ix_(alive, alive)], g[alive], rcond=None)[0]
+            out.append((r["segment"], beta + new, new, loss, r["rounds"] + 1, bool(np.abs(new).max() < 1e-10)))
+        yield pd.DataFrame(out, columns=["segment", "beta", "step", "loss", "rounds", "done"])
+
+
+def fit_coefficients(labelled: DataFrame, features: list[str], label: str = "won", least: int = 100, penalty: float = 0.01, max_rounds: int = 60) -> DataFrame:
+    """(segment, beta): ridge logistic regressions of all segments at once; beta is the intercept and a coefficient per feature.
+
+    The mean loss and half of penalty times the squared coefficients in units of the features' deviations
+    is made least, by Newton's steps. A round is one aggregate over all rows: for each segment the sums of the
+    gradient and of the products of features, which tasks add up before the shuffle; a small table of coefficients comes
+    back. Segments need `least` labels and both outcomes; rows with a null label or feature don't count; a null segment is one.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    spark = labelled.sparkSession
+    y, k = F.col(label).cast("double"), len(features) + 1
+    rows = labelled.where(F.col(label).isNotNull()).select("segment", y.alias("y"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features, 1))).dropna(subset=[f"x{i}" for i in range(1, k)])
+    rows = written(rows, "labels")
+    spread = F.array(*(F.var_samp(f"x{i}") for i in range(1, k))).alias("scale")
+    known = rows.groupBy("segment").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), spread).where((F.col("n") >= least) & (F.col("low") < F.col("high")))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    known = written(known.select("segment", "n", "scale"), "segments")
+    state = known.select("segment", zeros.alias("beta"), zeros.alias("step"), F.lit(float("inf")).alias("loss"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    x = [F.lit(1.0), *(F.col(f"x{i}") for i in range(1, k))]
+    schema = "segment string, beta array<double>, step array<double>, loss double, rounds int, done boolean"
+    for _ in range(max_rounds):
+        state = written(state, "coefficients")
+        if not state.where("not done").limit(1).count():
+            break
+        now = state.where("not done").select(F.col("segment").alias("_s"), *(F.col("beta")[i].alias(f"b{i}") for i in range(k)))
+        z = sum((F.col(f"b{i}") * x[i] for i in range(1, k)), F.col("b0"))
+        met = rows.join(now, F.col("segment").eqNullSafe(F.col("_s"))).withColumn("z", z).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+        weight = F.col("p") * (1 - F.col("p"))
+        loss = F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z") + F.log1p(F.exp(-F.abs("z")))
+        sums = met.groupBy("segment").agg(
+            F.sum(loss).alias("loss_sum"), F.array(*(F.sum((F.col("p") - F.col("y")) * x[i]) for i in range(k))).alias("g"), F.array(*(F.sum(weight * x[i] * x[j]) for i in range(k) for j in range(i, k))).alias("h")
+        ).withColumnRenamed("segment", "_s")
+        same = F.col("segment").eqNullSafe(F.col("_s"))
+        wide = state.join(sums, same).drop("_s").join(known.withColumnRenamed("segment", "_s"), same).drop("_s", "done")
+        state = wide.mapInPandas(lambda batches: _newton(batches, k, penalty), schema).unionByName(state.where("done"))
+    else:
+        raise RuntimeError(f"coefficients did not settle in {max_rounds} rounds")
+    return state.select("segment", "beta")
+
 
+def fit_weights(labelled: DataFrame, label: str = "won", least: int = 100) -> DataFrame:
+    """(segment, feature, weight): logistic regression of all segments with `least` labels or more, shares of positive coefficients."""
     from leadweave.operators.scoring import FEATURES
 
-    wide = VectorAssembler(inputCols=[f"v_{f}" for f in FEATURES], outputCol="features").transform(labelled.withColumn(label, F.col(label).cast("double")))
-    rows = []
-    for r in labelled.groupBy("segment").agg(F.count(label).alias("n"), F.countDistinct(label).alias("k")).where((F.col("n") >= least) & (F.col("k") == 2)).orderBy("segment").collect():
-        model = LogisticRegression(labelCol=label, maxIter=50, regParam=0.01).fit(wide.where(F.col("segment").eqNullSafe(r["segment"])))
-        positive = [max(0.0, c) for c in model.coefficients]
-        total = sum(positive) or 1.0
-        rows += [(r["segment"], f, float(c / total)) for f, c in zip(FEATURES, positive, strict=True)]
-    return labelled.sparkSession.createDataFrame(rows, "segment string, feature string, weight double")
+    fitted = fit_coefficients(labelled, [f"v_{f}" for f in FEATURES], label, least)
+    positive = F.transform(F.slice("beta", 2, len(FEATURES)), lambda b: F.greatest(b, F.lit(0.0)))
+    total = F.aggregate("positive", F.lit(0.0), lambda t, b: t + b)
+    shares = fitted.select("segment", positive.alias("positive")).withColumn("total", total)
+    return shares.select("segment", F.posexplode("positive").alias("pos", "b"), "total").select("segment", F.get(F.array(*map(F.lit, FEATURES)), F.col("pos")).alias("feature"), F.when(F.col("total") > 0, F.col("b") / F.col("total")).otherwise(0.0).alias("weight"))

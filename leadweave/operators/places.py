@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions.normalize import domain_key, name_norm, zip5
 from leadweave.operators.geography import point_in_county
+from leadweave.operators.routing import sized
+from leadweave.sources.shared import written
 
 COLUMNS = ("id", "name", "basic_category", "taxonomy", "confidence", "websites", "phones", "addresses", "lon", "lat")
 CONFIDENCE_FLOOR, PER_STATE = 0.6, 5000
@@ -38,6 +41,52 @@ def incremental_extract(wanted: DataFrame, existing: DataFrame, force: bool = Fa
     return met.select("state", F.when(build, "build").otherwise("skip").alias("step"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+def extract_manifest(spark: SparkSession, path: str, release: str) -> DataFrame:
+    """(state, rows) of the states that the release's extract has; Parquet counts the rows in its footers."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "state string, rows bigint")
+    return found.where(F.col("release") == release).groupBy(F.col("state").cast("string").alias("state")).agg(F.count("*").alias("rows"))
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def extract_states(raw: DataFrame, bounds: DataFrame) -> DataFrame:
+    """extract_state for a table of states (state, west, south, east, north), in one pass over raw."""
+    first = F.get("addresses", F.lit(0))["region"]
+    inside = F.col("bbox.xmin").between(F.col("west"), F.col("east")) & F.col("bbox.ymin").between(F.col("south"), F.col("north"))
+    return raw.join(sized(bounds), first == F.col("state")).where(inside).select(*COLUMNS, "state")
+
+
+def rebuild_extract(raw: DataFrame, bounds: DataFrame, path: str, release: str, force: bool = False) -> DataFrame:
+    """(state, step, rows): builds the wanted states that the extract lacks, all if forced, and says what it has now.
+
+    A state with rows is skipped, and if none is left raw isn't read. Those that are built are written beside the others
+    and take their partitions' places; a forced state without rows any more loses its partition.
+    """
+    spark = raw.sparkSession
+    wanted = bounds.select("state").distinct()
+    have = written(extract_manifest(spark, path, release).where("rows > 0"), "manifest")
+    steps = written(wanted.join(have, "state", "left").select("state", F.when(F.lit(force) | F.col("rows").isNull(), "build").otherwise("skip").alias("step")), "steps")
+    todo = bounds.join(steps.where("step = 'build'"), "state", "left_semi")
+    if todo.limit(1).count():
+        built = written(extract_states(raw, todo), "extract") if force else extract_states(raw, todo)
+        write_extract(built.hint("rebalance", "state"), path, release)
+        if force:
+            # Partitions that were forced and have no rows any more, some of fifty states.
+            gone = todo.select("state").distinct().join(have.select("state"), "state", "left_semi").join(built.select("state").distinct(), "state", "left_anti")
+            for r in gone.collect():
+                _drop_folder(spark, f"{path}/release={release}/state={r['state']}")
+    now = extract_manifest(spark, path, release)
+    return steps.join(now, "state", "left").select("state", "step", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def category_match(hierarchy: Column, leaf: Column, categories: list[str]) -> Column:
     """Case-sensitive; null where the taxonomy is, so that a negated match drops the row too."""
     return F.arrays_overlap(F.filter(hierarchy, lambda h: h.isNotNull()), F.array(*map(F.lit, categories)).cast("array<string>")) | leaf.isin(*categories)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.functions.geo import distance_m
 from leadweave.functions.similarity import letters, may_reach, similarity
 from leadweave.operators.blocks import split_blocks
+from leadweave.operators.ranks import with_place
 
 #: Bytes, by the statistics of its plan, of a rule or dealer list up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -150,6 +151,6 @@ def coverage_gap_report(leads: DataFrame) -> DataFrame:
 
 def dealer_capacity(leads: DataFrame, caps: DataFrame) -> DataFrame:
     """(lead_id, dealer_id, place, mailed): the best scored within the dealer's cap now, the rest later."""
-    order = Window.partitionBy("dealer_id").orderBy(F.desc_nulls_last("score"), "lead_id")
-    met = leads.where("dealer_id is not null and status in ('candidate', 'approved')").join(sized(caps), "dealer_id")
-    return met.withColumn("place", F.row_number().over(order)).select("lead_id", "dealer_id", "place", (F.col("place") <= F.col("cap")).alias("mailed"))
+    met = leads.where("dealer_id is not null and status in ('candidate', 'approved')").select("lead_id", "dealer_id", "score").join(sized(caps), "dealer_id")
+    placed = with_place(met, ["dealer_id"], [F.desc_nulls_last("score"), F.col("lead_id")])
+    return placed.select("lead_id", "dealer_id", F.col("place").cast("int").alias("place"), (F.col("place") <= F.col("cap")).alias("mailed"))

@@ -17,7 +17,7 @@ from leadweave.plans.registry import NSITES, domain_key, name_norm, query
 from leadweave.plans.resolution import _DEDUPED, _HITS, _ROUTED, _rules, sites
 from leadweave.sources import imports as I
 from leadweave.sources.adapter import table
-from leadweave.sources.shared import shared_folder
+from leadweave.sources.shared import shared_folder, written
 
 BOX = (-95.7, 29.6, -95.0, 30.4)
 
@@ -48,6 +48,26 @@ def i3_incremental_extract(spark, d):
     return P.incremental_extract(s.select("state").distinct(), s.where("g % 3 = 0"))
 
 
+_RUNS = "(1, 'TX', 'build', (SELECT n FROM c WHERE s = 'TX')), (2, 'TX', 'skip', (SELECT n FROM c WHERE s = 'TX')), (2, 'LA', 'build', (SELECT n FROM c WHERE s = 'LA')), (2, 'OK', 'build', 0), (3, 'TX', 'build', (SELECT even FROM c WHERE s = 'TX')), (3, 'LA', 'build', 0), (4, 'TX', 'skip', (SELECT even FROM c WHERE s = 'TX')), (4, 'OK', 'build', 0)"
+_STATES_SQL = f"c AS (SELECT CASE WHEN k % 5 = 0 THEN 'LA' ELSE 'TX' END AS s, count(*) AS n, count(*) FILTER (k % 2 = 0) AS even FROM sites WHERE k % 37 <> 0 AND (k % 5 = 0 OR ({_EXT})) GROUP BY 1)"
+
+
+def _rebuilt(spark, d):
+    """An extract's reports: one state; two more, one of them without places; the first again from fewer places, and another from none; nothing left to do."""
+    path, raw = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}", raw_places(spark, d)
+    rows = [("TX", *BOX), ("LA", -180.0, -90.0, 180.0, 90.0), ("OK", -180.0, -90.0, 180.0, 90.0)]
+    bounds = lambda *states: spark.createDataFrame([r for r in rows if r[0] in states], "state string, west double, south double, east double, north double")
+    runs = [(raw, bounds("TX"), False), (raw, bounds("TX", "LA", "OK"), False), (raw.where("k % 2 = 0 and k % 5 <> 0"), bounds("TX", "LA"), True), (raw, bounds("TX", "OK"), False)]
+    # Each report is written at once: the extract changes with the next run.
+    reports = [written(P.rebuild_extract(r.drop("k"), b, path, "r1", force).withColumn("run", F.lit(i)), "report") for i, (r, b, force) in enumerate(runs, 1)]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2]).unionByName(reports[3])
+
+
+@query(f"+{_STATES_SQL} SELECT run, state, step, coalesce(rows, 0) AS rows FROM (VALUES {_RUNS}) t(run, state, step, rows)", ("sites",))
+def i3_rebuild_extract(spark, d):
+    return _rebuilt(spark, d)
+
+
 @query("SELECT geoid, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM counties", ("counties",))
 def i4_load_counties(spark, d):
     return I.load_counties(MK.counties(spark, d)).select("geoid", *(F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
@@ -142,6 +162,42 @@ def p5_import_suppression_list(spark, d):
     return counts.crossJoin(rejected)  # one row each
 
 
+_TALLY = """SELECT CAST(count(*) FILTER (key NOT IN (SELECT key FROM cur)) AS BIGINT) AS imported, CAST(sum(CASE WHEN key IN (SELECT key FROM cur) THEN n ELSE n - 1 END) AS BIGINT) AS updated,
+  (SELECT count(*) FROM cur WHERE key NOT IN (SELECT key FROM inc)) AS removed, (SELECT count(*) FROM r WHERE NOT fine AND row // 3 % 3 = 0) AS rejected FROM inc"""
+
+
+def _imported(good, bad, key):
+    """A third of the checked rows replaces what a quarter of them had stored: counts, with the rejects of that third."""
+    current = good.where("row % 4 = 0").groupBy(key).agg(F.min("dealer_id").alias("dealer_id"))
+    counts = I.merge_list(current, good.where("floor(row / 3) % 3 = 0").select("row", key, "dealer_id"), key, True)[1]
+    return counts.crossJoin(bad.where("floor(row / 3) % 3 = 0").agg(F.count("*").alias("rejected")))  # one row each
+
+
+@query(f"""WITH r0 AS (SELECT k AS row, CASE WHEN k % 11 = 0 THEN '' ELSE 'd' || g % 12 END AS dealer_id, 'b' || g % 40 AS key, k % 13 = 0 OR k % 17 = 0 AS bad FROM (SELECT c_custkey AS k, c_custkey // 3 AS g FROM customer)),
+  r AS (SELECT *, dealer_id <> '' AND NOT bad AND first_value(dealer_id) OVER (PARTITION BY key ORDER BY row) = dealer_id AS fine FROM r0),
+  cur AS (SELECT DISTINCT key FROM r WHERE fine AND row % 4 = 0), inc AS (SELECT key, count(*) AS n FROM r WHERE fine AND row // 3 % 3 = 0 GROUP BY 1) {_TALLY}""")
+def p5_import_dealer_list(spark, d):
+    """Raw rows -> headers and blank rows -> checked branches -> the list that they replace, with counts."""
+    return _imported(*I.import_dealers(I.required_columns(_dealer_rows(spark, d), "dealers")), "branch_id")
+
+
+@query(f"""WITH r AS (SELECT k AS row, concat_ws('|', 'd' || k % 14, CASE WHEN k % 3 = 1 THEN 'b' || k % 120 ELSE '' END, 'zip', CAST(77000 + k % 300 AS STRING)) AS key,
+    k % 14 IN (SELECT s_suppkey % 12 FROM supplier) AND NOT (k % 3 = 1 AND (NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = k % 120) OR (k % 120) % 12 <> k % 14)) AND k % 5 <> 0 AND k % 7 <> 0 AND k % 8 <> 0 AS fine FROM (SELECT c_custkey AS k FROM customer) c),
+  cur AS (SELECT DISTINCT key FROM r WHERE fine AND row % 4 = 0 OR fine AND row % 9 = 1), inc AS (SELECT key, count(*) AS n FROM r WHERE fine AND row // 3 % 3 = 0 GROUP BY 1) {_TALLY}""")
+def p5_import_territory_list(spark, d):
+    """Raw rows -> headers and blank rows -> rules checked with the dealers' branches -> the list that they replace, with counts."""
+    k = F.col("c_custkey")
+    raw = table(spark, d, "customer").select(
+        k.alias("row"), F.concat(F.lit("D"), (k % 14).cast("string")).alias(" Dealer_ID"), F.when(k % 3 == 1, F.concat(F.lit("b"), (k % 120).cast("string"))).otherwise("").alias("branch_id"),
+        F.when(k % 5 == 0, "state").otherwise("ZIP").alias("level"), F.when(k % 7 == 0, "7700").otherwise((77000 + k % 300).cast("string")).alias("code"), F.when(k % 8 == 0, "high").when(k % 2 == 0, "2").otherwise("").alias("priority"),
+    )
+    good, bad = I.import_territories(I.required_columns(raw, "territories"), table(spark, d, "dealers"), table(spark, d, "branches"))
+    good = good.withColumn("rule", F.concat_ws("|", "dealer_id", F.coalesce("branch_id", F.lit("")), "level", "code"))
+    current = good.where("row % 4 = 0 or row % 9 = 1").groupBy("rule").agg(F.min("dealer_id").alias("dealer_id"))
+    counts = I.merge_list(current, good.where("floor(row / 3) % 3 = 0").select("row", "rule", "dealer_id"), "rule", True)[1]
+    return counts.crossJoin(bad.where("floor(row / 3) % 3 = 0").agg(F.count("*").alias("rejected")))  # one row each
+
+
 @query("SELECT count(*) AS rows FROM customer WHERE c_custkey % 5 <> 0")
 def i12_required_columns(spark, d):
     k = F.col("c_custkey")
@@ -351,3 +407,12 @@ def p1_find_for_campaigns(spark, d):
 def p6_prepare_data(spark, d):
     parts = {"counties": i4_load_counties(spark, d), "cbsa": i5_load_cbsa(spark, d), "zcta": i6_load_zcta_county(spark, d), "places": i2_extract_state(spark, d), "states to build": i3_incremental_extract(spark, d).where("step = 'build'")}
     return L.list_counts(parts).withColumnRenamed("list", "part")
+
+
+@query(f"""+{_STATES_SQL}, runs AS (SELECT * FROM (VALUES {_RUNS}) t(run, part, step, rows)) SELECT 0 AS run, 'counties' AS part, 'load' AS step, count(*) AS rows FROM counties UNION ALL SELECT 0, 'cbsa', 'load', count(*) FROM customer WHERE c_custkey % 4 <> 0
+  UNION ALL SELECT 0, 'zcta', 'load', count(*) FROM (SELECT DISTINCT postcode, g % 25 FROM sites WHERE k % 5 <> 0 AND k % 6 <> 0) z UNION ALL SELECT run, part, step, coalesce(rows, 0) FROM runs""", ("sites", "counties"))
+def p6_prepare_and_rebuild(spark, d):
+    """Reference tables loaded, and the extract built, completed, rebuilt by force and found complete."""
+    parts = {"counties": i4_load_counties(spark, d), "cbsa": i5_load_cbsa(spark, d), "zcta": i6_load_zcta_county(spark, d)}
+    loaded = L.list_counts(parts).select(F.lit(0).alias("run"), F.col("list").alias("part"), F.lit("load").alias("step"), "rows")
+    return loaded.unionByName(_rebuilt(spark, d).select("run", F.col("state").alias("part"), "step", "rows"))

@@ -255,3 +255,26 @@ def g10_resolve_queries(spark, d):
     req = table(spark, d, "sites").select(F.col("k").alias("request_id"), text.alias("query"))
     out = G.resolve_queries(req, states(spark), counties(spark, d), cbsa(spark, d), zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories"))
     return joined(out, "counties", "alternatives")
+
+
+@query(f"""+{_BASE} SELECT 'q99' AS request_id, 'unknown' AS part, NULL AS code, 'Atlantis' AS detail, CAST(NULL AS BIGINT) AS value UNION ALL SELECT request_id, 'county', NULL, county_fips, NULL FROM wanted
+  UNION ALL SELECT request_id, 'dropped', code, ancestor, NULL FROM desc_codes WHERE ancestor IS NOT NULL UNION ALL SELECT request_id, 'establishments', code, NULL, CAST(establishments AS BIGINT) FROM est
+  UNION ALL SELECT request_id, 'with_min', code, NULL, CAST(with_min AS BIGINT) FROM est UNION ALL SELECT request_id, 'gap', code, NULL, CAST(gap AS BIGINT) FROM est
+  UNION ALL SELECT request_id, 'absent', code, county_fips, NULL FROM live JOIN wanted USING (request_id) WHERE NOT EXISTS (SELECT 1 FROM cbp WHERE naics = live.code AND cbp.county_fips = wanted.county_fips)
+  UNION ALL SELECT request_id, 'total', NULL, 'establishments', CAST(sum(establishments) AS BIGINT) FROM est GROUP BY 1 UNION ALL SELECT request_id, 'total', NULL, 'with_min', CAST(sum(with_min) AS BIGINT) FROM est GROUP BY 1
+  UNION ALL SELECT request_id, 'note', NULL, code || ': sizes are counted from ' || effective_min || ' employees, not ' || min_employees, NULL FROM est WHERE effective_min > min_employees
+  UNION ALL SELECT request_id, 'note', NULL, code || ': no published size band begins at ' || min_employees || ' or more', NULL FROM est WHERE min_employees IS NOT NULL AND effective_min IS NULL
+  UNION ALL SELECT request_id, 'note', NULL, code || ': ' || CAST(gap AS BIGINT) || ' establishments have no published size', NULL FROM est WHERE gap > 0
+  UNION ALL SELECT request_id, 'note', NULL, code || ': ' || absent || ' counties are not published, so unknown', NULL FROM est WHERE absent > 0
+  UNION ALL SELECT request_id, 'note', NULL, code || ' is part of ' || ancestor, NULL FROM desc_codes WHERE ancestor IS NOT NULL""", ("cbp",))
+def p2_size_market(spark, d):
+    """Places in words -> counties; codes -> those that stay; tables -> estimates, what is absent, totals and notes."""
+    _, req, codes, _ = _inputs(spark, d)
+    n = table(spark, d, "nation")
+    words = n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey = b.n_regionkey")).select(F.concat(F.lit("q"), F.expr("a.n_nationkey").cast("string")).alias("request_id"), F.concat(F.initcap("b.n_name"), F.lit(" County")).alias("query"))
+    asked = words.unionByName(spark.createDataFrame([("q99", "Atlantis")], "request_id string, query string"))
+    distinct = asked.select(F.col("query").alias("request_id"), "query").distinct()
+    resolved = G.resolve_queries(distinct, states(spark), counties(spark, d), cbsa(spark, d), zcta(spark, d), table(spark, d, "dealers"), table(spark, d, "territories")).select(F.col("request_id").alias("query"), "kind", "counties")
+    text = _JSON.replace("CASE WHEN estab % 7 = 0 THEN 'N' ELSE CAST(estab AS STRING) END", "CAST(estab AS STRING)")
+    rows = M.decode_cbp(spark.sql(text + "{cbp}", cbp=table(spark, d, "cbp")))[0]
+    return M.size_market(asked, resolved, codes, req, rows)

@@ -149,6 +149,36 @@ def b5_campaign_funnel(spark, d):
     return M.campaign_funnel(ls, table(spark, d, "responses"), o, o.select("lead_id", F.col("value").alias("amount")), costs)
 
 
+@query(f"""+{_REPORT.replace("SELECT cohort, count(*) AS leads", "SELECT campaign_id, cohort, count(*) AS leads").replace("FROM cohorts LEFT JOIN", "FROM (SELECT cohorts.*, 'c' || k % 5 AS campaign_id FROM cohorts JOIN leads USING (lead_id)) cohorts LEFT JOIN").replace("b USING (lead_id) GROUP BY 1)", "b USING (lead_id) GROUP BY ALL)")},
+  s AS (SELECT campaign_id, sum(leads) FILTER (cohort NOT LIKE '%holdout%') AS n, sum(buyers) FILTER (cohort NOT LIKE '%holdout%') AS b, sum(leads) FILTER (cohort LIKE '%holdout%') AS hn, sum(buyers) FILTER (cohort LIKE '%holdout%') AS hb FROM report GROUP BY 1),
+  e AS (SELECT campaign_id, n, hn, b / n AS p, hb / hn AS q, n * hn / (n + hn) AS w FROM s), v AS (SELECT *, p - q AS d, p * (1 - p) / n + q * (1 - q) / hn AS var FROM e),
+  u AS (SELECT campaign_id, d, var FROM v UNION ALL SELECT NULL, sum(w * d) / sum(w), sum(w * w * var) / (sum(w) * sum(w)) FROM v)
+  SELECT campaign_id, round(d, 6) AS lift, round(d - 1.959963984540054::DOUBLE * sqrt(var), 6) AS low, round(d + 1.959963984540054::DOUBLE * sqrt(var), 6) AS high FROM u""", ("sales", "leads"))
+def b4_lift_by_campaign(spark, d):
+    """Leads of five mailings by key; each mailing's difference and the pooled one."""
+    mailings = _cohorts(spark, d).join(table(spark, d, "leads").select("lead_id", F.concat(F.lit("c"), (F.col("k") % 5).cast("string")).alias("campaign_id")), "lead_id")
+    report = M.cohort_report(_matches(spark, d), mailings, ("campaign_id",))
+    return M.lift_by_campaign(report).select("campaign_id", *(F.round(c, 6).alias(c) for c in ("lift", "low", "high")))
+
+
+@query(f"""+{LP._SEG}, wide AS (SELECT 'c' || l.k % 4 AS campaign_id, l.dealer_id, segment, l.tier, 'card ' || l.k % 3 AS creative, r.lead_id IS NOT NULL AS responded, coalesce(c, 0) AS contacted, coalesce(q, 0) AS quoted, coalesce(w, 0) AS won, coalesce(u, 0) AS units, rev, 55.0::DOUBLE + 5 * (k % 3) AS cost
+  FROM leads l LEFT JOIN seg USING (lead_id) LEFT JOIN (SELECT DISTINCT lead_id FROM responses) r USING (lead_id)
+  LEFT JOIN (SELECT lead_id, max(CASE outcome WHEN 'contacted' THEN 1 ELSE 0 END) AS c, max(CASE outcome WHEN 'quoted' THEN 1 ELSE 0 END) AS q, max(CASE outcome WHEN 'won' THEN 1 ELSE 0 END) AS w, count(*) AS u, sum(value) AS rev FROM outcomes GROUP BY 1) o USING (lead_id)),
+  sums AS (SELECT campaign_id, dealer_id, segment, tier, creative, count(*) AS mailed, count(*) FILTER (responded) AS responded, CAST(sum(contacted) AS BIGINT) AS contacted, CAST(sum(quoted) AS BIGINT) AS quoted, CAST(sum(won) AS BIGINT) AS won, CAST(sum(units) AS BIGINT) AS units,
+    round(coalesce(sum(rev), 0), 2) AS revenue, round(sum(cost), 2) AS cost, CAST(grouping(campaign_id, dealer_id, segment, tier, creative) AS INTEGER) AS level FROM wide
+    GROUP BY GROUPING SETS ((), (campaign_id), (dealer_id), (segment), (tier), (creative), (campaign_id, dealer_id), (campaign_id, segment), (campaign_id, tier), (campaign_id, creative)))
+  SELECT *, round(CASE WHEN responded > 0 THEN cost / responded END, 4) AS cost_per_response, round(CASE WHEN won > 0 THEN cost / won END, 4) AS cost_per_win, round(CASE WHEN cost > 0 THEN revenue / cost END, 4) AS revenue_per_cost FROM sums""", ("leads", "responses", "outcomes"))
+def b5_funnel_by_dimension(spark, d):
+    """Four mailings and three creatives by key; every dimension alone, within its campaign, and all."""
+    o = table(spark, d, "outcomes")
+    ls = LP.leads(spark, d)
+    ls = ls.join(match_segment(ls, LP.segments(spark)).select("lead_id", "segment"), "lead_id", "left")
+    by = lambda word, n: F.concat(F.lit(word), (F.col("k") % n).cast("string"))
+    ls = ls.withColumns({"campaign_id": by("c", 4), "creative": by("card ", 3)})
+    costs = ls.select("lead_id", (F.lit(55.0) + 5 * (F.col("k") % 3)).alias("amount"))
+    return M.campaign_funnel(ls, table(spark, d, "responses"), o, o.select("lead_id", F.col("value").alias("amount")), costs, M.DIMENSIONS)
+
+
 @query("""+a AS (SELECT lead_id, min(ts) AS ts FROM responses GROUP BY 1), f AS (SELECT a.lead_id, min(outcome_ts) AS contact FROM a JOIN outcomes o ON o.lead_id = a.lead_id AND outcome_ts >= ts GROUP BY 1)
   SELECT dealer_id, count(*) AS responded, round(count(contact) / count(*), 6) AS share, round(quantile_cont(epoch_us(contact) - epoch_us(ts), 0.5) / 3600000000.0::DOUBLE, 4) AS median_hours FROM leads JOIN a USING (lead_id) LEFT JOIN f USING (lead_id) WHERE dealer_id IS NOT NULL GROUP BY 1""", ("leads", "responses", "outcomes"))
 def b6_time_to_first_contact(spark, d):
