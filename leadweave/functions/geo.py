@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.functions.binding import let
+
 # Geohash letters, Earth radius in metres, metres in a mile, miles in a degree.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 EARTH_M = 6_371_008.8
@@ -20,16 +22,19 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     lon_bits, lat_bits = (bits + 1) // 2, bits // 2
     x = F.least(F.floor((lon + 180.0) / 360.0 * float(2**lon_bits)), F.lit(2**lon_bits - 1))
     y = F.least(F.floor((lat + 90.0) / 180.0 * float(2**lat_bits)), F.lit(2**lat_bits - 1))
-    letters = []
-    for i in range(precision):
-        index = F.lit(0)
-        for j in range(5):
-            at = 5 * i + j
-            source, size = (x, lon_bits) if at % 2 == 0 else (y, lat_bits)
-            bit = F.shiftright(source.cast("bigint"), size - 1 - at // 2).bitwiseAND(F.lit(1))
-            index = index + bit * (1 << (4 - j))
-        letters.append(F.substring(F.lit(ALPHABET), (index + 1).cast("int"), F.lit(1)))
-    return F.concat(*letters)
+
+    def letters(at: Column) -> Column:
+        out = []
+        for i in range(precision):
+            index = F.lit(0)
+            for j in range(5):
+                bit = 5 * i + j
+                source, size = (at["x"], lon_bits) if bit % 2 == 0 else (at["y"], lat_bits)
+                index = index + F.shiftright(source, size - 1 - bit // 2).bitwiseAND(F.lit(1)) * (1 << (4 - j))
+            out.append(F.substring(F.lit(ALPHABET), (index + 1).cast("int"), F.lit(1)))
+        return F.concat(*out)
+
+    return let(F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y")), letters)
 
 
 def with_geohash(df: DataFrame, lat: str, lon: str, precision: int = 7, out: str = "geohash") -> DataFrame:

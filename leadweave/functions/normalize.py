@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.functions.binding import let
+
 # Fixed values of the name and domain rules.
 LEGAL_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "co", "corp", "corporation", "company", "lp", "llp", "pllc")
 SECOND_LEVEL = ("co.uk", "com.au", "co.nz", "com.br")
@@ -26,24 +28,25 @@ def name_norm(name: Column) -> Column:
 
 def domain_key(url: Column) -> Column:
     """Registrable domain of a website, null if it isn't one or is a host that many businesses share."""
-    raw = F.trim(url)
-    scheme = F.when(raw.contains("://"), F.lower(F.substring_index(raw, "://", 1)))
-    rest = F.when(scheme.isNull(), raw).otherwise(F.regexp_extract(raw, r"^.*?://(.*)$", 1))
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    no_port = F.regexp_replace(authority, r":[^:]*$", "")
-    host = F.lower(F.regexp_extract(no_port, r"([^@]*)$", 1))
-    bare = F.regexp_replace(host, r"^www\.", "")
-    labels = F.split(bare, r"\.")
-    n = F.size(labels)
-    two, three = F.array_join(F.slice(labels, -2, 2), "."), F.array_join(F.slice(labels, F.greatest(-n, F.lit(-3)), 3), ".")
-    key = F.when(two.isin(*SECOND_LEVEL), F.when(n >= 3, three)).otherwise(two)
-    good = (
-        (scheme.isNull() | scheme.isin("http", "https"))
-        & ~(scheme.isNull() & raw.contains(":") & ~raw.contains("/"))
-        & host.contains(".") & host.rlike(r"^[a-z0-9-]++(?:\.[a-z0-9-]++)++$") & (n >= 2)
-        & ~key.isin(*GENERIC_HOSTS) & ~bare.isin(*GENERIC_HOSTS)
-    )
-    return F.when(good, key)
+
+    def of_url(raw: Column) -> Column:
+        scheme = F.when(raw.contains("://"), F.lower(F.substring_index(raw, "://", 1)))
+        rest = F.when(raw.contains("://"), F.regexp_extract(raw, r"^.*?://(.*)$", 1)).otherwise(raw)
+        no_port = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r":[^:]*$", "")
+        wrong = (scheme.isNotNull() & ~scheme.isin("http", "https")) | (scheme.isNull() & raw.contains(":") & ~raw.contains("/"))
+        return F.when(~wrong, F.lower(F.regexp_extract(no_port, r"([^@]*)$", 1)))
+
+    def of_host(host: Column) -> Column:
+        bare = F.regexp_replace(host, r"^www\.", "")
+        shaped = host.contains(".") & host.rlike(r"^[a-z0-9-]++(?:\.[a-z0-9-]++)++$")
+        return F.when(shaped & ~bare.isin(*GENERIC_HOSTS), let(F.split(bare, r"\."), of_labels))
+
+    def of_labels(labels: Column) -> Column:
+        n, two = F.size(labels), F.array_join(F.slice(labels, -2, 2), ".")
+        three = F.array_join(F.slice(labels, F.greatest(-n, F.lit(-3)), 3), ".")
+        return F.when(n >= 2, let(F.when(two.isin(*SECOND_LEVEL), F.when(n >= 3, three)).otherwise(two), lambda key: F.when(~key.isin(*GENERIC_HOSTS), key)))
+
+    return let(let(F.trim(url), of_url), of_host)
 
 
 def zip5(code: Column) -> Column:

@@ -36,6 +36,7 @@ def find_candidates(profiles: DataFrame, scopes: DataFrame, matched: DataFrame,
     that fit -> sites -> groups within a campaign -> stored -> suppressed -> routed. Profiles, scopes and
     targets stay tables, so nothing depends on how many campaigns there are.
     """
+    scopes = written(scopes.select("campaign_id", "county_fips").distinct(), "scopes")
     found = written(places.find_for_campaigns(matched, counties, scopes, places.profile_targets(profiles)), "found")
     flat = places.places_to_sites(raw.join(found.select("id").distinct(), "id", "left_semi"), release).drop("payload_json", "state")
     flat = flat.withColumn("gh7", geo.geohash(F.col("lat"), F.col("lon")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadweave.sources.shared import written
+
 TOTAL_BAND = "001"
 MAX_INT = 2_147_483_647
 
@@ -138,13 +140,15 @@ def size_market(asked: DataFrame, resolved: DataFrame, codes: DataFrame, request
     `with_min` and `gap` (per code; null where nothing is published), `absent` (a code and a county), `total` (detail says of what)
     and `note`. A request none of whose queries names an area has no counties and so only its unknown queries and dropped codes.
     """
-    met = asked.join(resolved, "query")
+    # Each of these feeds several parts.
+    met = written(asked.join(resolved, "query"), "asked")
+    rows = written(rows, "rows")
     known = met.where("kind <> 'error'")
-    counties = known.select("request_id", F.explode("counties").alias("county_fips")).distinct()
+    counties = written(known.select("request_id", F.explode("counties").alias("county_fips")).distinct(), "counties")
     smaller = known.where("kind = 'zips'").select("request_id").distinct()
-    dropped = drop_descendant_codes(codes)
+    dropped = written(drop_descendant_codes(codes), "codes")
     live = dropped.where("ancestor is null").select("request_id", "code")
-    estimates = estimate_market(rows, requests, codes, counties)
+    estimates = written(estimate_market(rows, requests, codes, counties), "estimates")
     none = F.lit(None)
     fact = lambda df, part, code=none, detail=none, value=none: df.select("request_id", F.lit(part).alias("part"), code.cast("string").alias("code"), detail.cast("string").alias("detail"), value.cast("bigint").alias("value"))
     code, totals = F.col("code"), market_totals(estimates)

@@ -173,8 +173,9 @@ def find_for_campaigns(places: DataFrame, counties: DataFrame, scopes: DataFrame
     Places are located once, in the counties that any campaign asks for. Ids of places are distinct.
     """
     asked = counties.join(scopes.select(F.col("county_fips").alias("geoid")).distinct(), "geoid", "left_semi")
-    located = point_in_county(places.select("id", "lon", "lat", "state"), asked).select("id", "county_fips", "state")
-    met = match_targets(places, targets).join(located, "id").join(scopes.select("campaign_id", "county_fips").distinct(), ["campaign_id", "county_fips"])
+    # The only pass over all places: what is in some campaign's counties is written, and matched from there.
+    near = written(point_in_county(places.select("id", "name", "hierarchy", "leaf", "confidence", "lon", "lat", "state"), asked), "near")
+    met = match_targets(near, targets).join(near.select("id", "county_fips", "state"), "id").join(scopes.select("campaign_id", "county_fips").distinct(), ["campaign_id", "county_fips"])
     order = Window.partitionBy("campaign_id", "state").orderBy("id")
     return met.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_state).select("campaign_id", "id", "county_fips", "state")
 

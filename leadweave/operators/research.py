@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.functions.binding import let
+
 # Fixed values of the document's rules.
 STATUSES = ("researched", "no_signal")
 LEVELS = ("high", "medium", "low", "unknown")
@@ -38,11 +40,6 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def one_of(*values: str) -> Rule:
     def rule(v: Column, at: Column) -> Column:
         known = (_kind(v) == "STRING") & F.try_variant_get(v, "$", "string").isin(*values)
@@ -57,7 +54,7 @@ def text(least: int = 0, most: int = 1 << 30, pattern: str | None = None, shape:
             found = [_where(F.length(s) < least, at, "too short"), _where(F.length(s) > most, at, "too long")]
             return F.concat(*found, *([_where(~s.rlike(pattern), at, shape)] if pattern else []))
 
-        return F.when(_kind(v) != "STRING", _one(at, "not a text")).otherwise(_let(F.try_variant_get(v, "$", "string"), body))
+        return F.when(_kind(v) != "STRING", _one(at, "not a text")).otherwise(let(F.try_variant_get(v, "$", "string"), body))
 
     return rule
 
@@ -68,7 +65,7 @@ def whole_number(least: int, most: int | None, problem: str) -> Rule:
     def rule(v: Column, at: Column) -> Column:
         number = F.when(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double"))
         outside = lambda n: (n < least) | (n > most) if most is not None else n < least
-        return _let(number, lambda n: F.when(n.isNull() | (n != F.floor(n)), _one(at, "not a whole number")).otherwise(_where(outside(n), at, problem)))
+        return let(number, lambda n: F.when(n.isNull() | (n != F.floor(n)), _one(at, "not a whole number")).otherwise(_where(outside(n), at, problem)))
 
     return rule
 
@@ -79,7 +76,7 @@ def list_of(item: Rule, most: int) -> Rule:
             each = F.transform(items, lambda x, i: item(x, F.concat(at, F.lit("/"), i.cast("string"))))
             return F.concat(_where(F.size(items) > most, at, "too many"), F.flatten(each))
 
-        return F.when(~_kind(v).startswith("ARRAY"), _one(at, "not a list")).otherwise(_let(F.try_variant_get(v, "$", "array<variant>"), body))
+        return F.when(~_kind(v).startswith("ARRAY"), _one(at, "not a list")).otherwise(let(F.try_variant_get(v, "$", "array<variant>"), body))
 
     return rule
 
@@ -98,10 +95,10 @@ def members(required: tuple[str, ...], rules: dict[str, Rule]) -> Rule:
             found = [F.transform(other, lambda k: F.struct(F.concat(at, F.lit("/"), escaped(k)).alias("pointer"), F.lit("unknown key").alias("problem")))]
             for name, own in rules.items():
                 inner = F.concat(at, F.lit(f"/{name}"))
-                found.append(_let(F.try_element_at(m, F.lit(name)), _optional(own, inner, name in required)))
+                found.append(let(F.try_element_at(m, F.lit(name)), _optional(own, inner, name in required)))
             return F.concat(*found)
 
-        return F.when(~_kind(v).startswith("OBJECT"), _one(at, "not an object")).otherwise(_let(F.try_variant_get(v, "$", "map<string,variant>"), body))
+        return F.when(~_kind(v).startswith("OBJECT"), _one(at, "not an object")).otherwise(let(F.try_variant_get(v, "$", "map<string,variant>"), body))
 
     return rule
 
@@ -143,7 +140,7 @@ def problems(document: Column) -> Column:
         found = F.concat(DOCUMENT(v, F.lit("")), _where(quiet & some, F.lit("/signals"), "must be empty without a signal"))
         return F.when(v.isNull() | ~_kind(v).startswith("OBJECT"), _one(F.lit(""), "not a JSON object")).otherwise(found)
 
-    return _let(F.try_parse_json(document), body)
+    return let(F.try_parse_json(document), body)
 
 
 def validate_research(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
