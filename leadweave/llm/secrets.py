@@ -1,8 +1,9 @@
 r"""Secrets in texts: known forms, and multipart credentials linked within a scope.
 
 Known forms stand alone: assignments, access identifiers and long hexadecimal runs. Weak candidates
-are runs of 20 or more letters, digits and `+/_=-` with a capital, a small letter and a digit, which
-alone say nothing. A scope is a paragraph (blank lines part them). A weak candidate is reported as a
+are runs of 20 or more letters, digits and `+/_-` with a capital, a small letter and a digit, which
+alone say nothing; `=` only ends one, so the name before it is no part of it, and a run that begins with a slash
+or follows a dot is a path. A scope is a paragraph (blank lines part them, however lines end). A weak candidate is reported as a
 `secret` only if an access identifier or an endpoint (a URL, or a host of three labels or more)
 lies within `reach` characters of it in the same scope; then the identifiers and endpoints within reach
 of a weak candidate are reported too, as `access_part` and `endpoint`. Runs and URLs have no greatest length
@@ -24,10 +25,11 @@ KNOWN = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 # Possessive, so a run of any length is one match and none is tried twice; the look-aheads stop at the first character they seek.
-WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+WEAK = r"(?<![A-Za-z0-9+/_.-])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+_-][A-Za-z0-9+/_-]{19,}+={0,2}"
 # A host name has at most 127 labels of 63 characters.
-ENDPOINT = r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]++|(?<![A-Za-z0-9@.-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){1,125}\.[a-z]{2,63}(?![A-Za-z0-9.-])"
-BREAK = r"\n[\x20\t]*\n\s*"
+ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]{1,12}://[^\s\"'<>]++|(?<![A-Za-z0-9@.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,125}\.[A-Za-z]{2,63}(?![A-Za-z0-9.-])"
+#: Two ends of lines; CR and LF together are one, so atomic.
+BREAK = r"(?>\r\n|\r|\n)[\x20\t]*(?>\r\n|\r|\n)\s*"
 #: Access keys, roles and users of one cloud, account numbers of telephony, client numbers and service accounts of another.
 IDENTIFIER = r"(?<![A-Z0-9])(?:AKIA|ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}+|(?<![A-Za-z0-9])(?:AC|SK)[0-9a-f]{32}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])\d{6,21}-[a-z0-9]{32}(?=\.apps\.)|(?<![A-Za-z0-9.-])[a-z0-9-]{3,63}+@[a-z0-9-]{3,63}+(?=\.iam\.)"
 _SPAN = "array<struct<start:int,end:int>>"

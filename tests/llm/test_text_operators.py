@@ -416,3 +416,37 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == want[r["doc_id"]] for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs.count()
     assert quality.score(docs, quality.train(docs, labels.limit(0))).count() == docs.count()
+
+
+def linked_spans(spark, text):
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()["spans"]
+    return [s for s in found.split(",") if s.split(":")[0] in ("secret", "access_part", "endpoint")]
+
+
+KEY = "aB3dEfGh1jKlMn0pQrStUvWxYz12"
+
+
+def test_blank_lines_part_scopes_however_lines_end(spark):
+    for end in ("\n", "\r\n", "\r"):
+        assert len(linked_spans(spark, f"https://api.example.com/v1{end}{KEY}")) == 2
+        assert linked_spans(spark, f"https://api.example.com/v1{end}{end}{KEY}") == []
+        assert linked_spans(spark, f"https://api.example.com/v1{end} \t{end}{KEY}") == []
+
+
+def test_endpoints_in_any_case_and_secrets_without_their_names(spark):
+    lower, upper = linked_spans(spark, f"https://api.example.com/x {KEY}"), linked_spans(spark, f"HTTPS://Api.Example.COM/x {KEY}")
+    assert lower == upper == ["endpoint:0:25", f"secret:26:{26 + len(KEY)}"]
+    assert linked_spans(spark, f"Api.Example.COM AccountKey={KEY}==") == ["endpoint:0:15", f"secret:27:{27 + len(KEY) + 2}"]
+    assert linked_spans(spark, f"api.example.com /usr/Local/lib9/python/site/{KEY}") == []
+    assert linked_spans(spark, KEY) == []
+
+
+def test_operators_on_empty_tables_and_clashing_names(spark):
+    columns = "doc_id bigint, text string, _id int, _text string, _hash int, n int, tokens int, score double, held_out boolean, kept string, words int, line string, host string"
+    rows = [(1, "plain words of a text that is there " * 9, 1, "x", 2, 3, 4, 0.5, True, "y", 6, "z", "h"), (2, None, None, None, None, None, None, None, None, None, None, None, None), (3, "", 1, "", 1, 1, 1, 1.0, False, "", 1, "", "")]
+    some = spark.createDataFrame(rows, columns)
+    made = {"secrets": secrets.find_secrets, "fertility": lambda df: fertility.measure(df, PIECES), "codec": lambda df: piece_codec.encode_decode(df, PIECES), "packing": lambda df: packing.best_fit(df, BYTES)}
+    for name, f in made.items():
+        assert f(some.limit(0)).count() == 0, name
+        assert {r["doc_id"] for r in f(some).select("doc_id").collect()} == {1, 2, 3}, name
+        assert f(some.select("doc_id", "text")).columns == f(some).columns, name
