@@ -87,8 +87,8 @@ def measure(df: DataFrame, model: str, bands: dict[str, Band] | None = None, gro
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. kept: not
     base_failed, and within the bands of its group; a group without bands has those of "other". A null
-    text counts as empty: no words, failed. Repeated rows come back each; other columns are ignored.
-    One pass, no shuffle.
+    text counts as empty: no words, failed. Repeated rows come back each; a text has no limit; an empty
+    table gives no rows; other columns are ignored, whatever their names. One pass, no shuffle.
     """
     bands = BANDS if bands is None else bands
     columns = [id_col, text_col, *([group_col] if group_col else [])]

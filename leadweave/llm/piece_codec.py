@@ -272,8 +272,8 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row of df.
 
     The ids are those of the model with an end id behind. A null text counts as empty, which is the
-    end id alone; repeated rows give repeated rows; the length of a text has no limit; other columns
-    are ignored. One pass, no shuffle: a text never leaves its row.
+    end id alone; repeated rows give repeated rows; the length of a text has no limit; an empty table
+    gives no rows; other columns are ignored, whatever their names. One pass, no shuffle: a text never leaves its row.
     """
     source = df.select(id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()

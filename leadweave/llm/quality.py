@@ -194,7 +194,8 @@ def score(df: DataFrame, model: QualityModel, at: float = 0.3, id_col: str = "do
     """(id, held_out, score, predicted) of every row of df; only the text is an input of the score.
 
     A null or empty text is scored as one without tokens; repeated rows come back each; a null id is
-    held out; other columns are ignored. One pass, no shuffle.
+    held out; a text has no limit; an empty table gives no rows; other columns are ignored, whatever their
+    names. One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

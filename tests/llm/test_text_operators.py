@@ -441,6 +441,21 @@ def test_endpoints_in_any_case_and_secrets_without_their_names(spark):
     assert linked_spans(spark, KEY) == []
 
 
+def test_trained_operators_on_empty_tables_and_clashing_names(spark):
+    columns = "doc_id bigint, text string, id int, y int, x string, vec string, words int, part int"
+    rows = [(i, prose(80, i) if i % 2 else "bad bad $$$ " * (i % 9 + 1), 1, 2, "x", "v", 3, 4) for i in range(60)] + [(None, "no id here", 0, 0, "", "", 0, 0), (70, None, 0, 0, None, None, None, None), (71, "", 0, 0, "", "", 0, 0), (1, prose(80, 1), 1, 2, "x", "v", 3, 4)]
+    df = spark.createDataFrame(rows, columns)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2, "extra") for i in range(60)] + [(None, 1, 1, "n"), (2, None, None, "n")], "doc_id bigint, quality int, toxic int, text string")
+    for train, apply in ((quality.train, quality.score), (toxicity.train, toxicity.grade)):
+        model = train(df, labels)
+        made = apply(df, model)
+        assert made.count() == len(rows) and apply(df.limit(0), model).count() == 0
+        assert made.columns == apply(df.select("doc_id", "text"), model).columns
+        one = [tuple(r) for r in made.where("doc_id = 1").collect()]
+        assert len(one) == 2 and one[0] == one[1]
+    assert toxicity.drop_toxic(df.limit(0), model).columns == df.columns
+
+
 def test_operators_on_empty_tables_and_clashing_names(spark):
     columns = "doc_id bigint, text string, _id int, _text string, _hash int, n int, tokens int, score double, held_out boolean, kept string, words int, line string, host string"
     rows = [(1, "plain words of a text that is there " * 9, 1, "x", 2, 3, 4, 0.5, True, "y", 6, "z", "h"), (2, None, None, None, None, None, None, None, None, None, None, None, None), (3, "", 1, "", 1, 1, 1, 1.0, False, "", 1, "", "")]
