@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from leadweave.sources.shared import shared_folder
+from leadweave.sources.shared import step_path
 
 
 def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edges from a written table, and what tells it from another: its rows and the sum of their hashes."""
-    path, seen = f"{shared_folder(edges.sparkSession)}/edges-{uuid.uuid4().hex}", Observation()
+    path, seen = step_path(edges.sparkSession, "edges"), Observation()
     edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
     return edges.sparkSession.read.schema(edges.schema).parquet(path), seen.get
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -140,6 +141,20 @@ def test_places_in_groups_and_medians(spark):
     assert ranks.grouped_median(df.limit(0), ["g"], "v").count() == 0
 
 
+def test_tables_of_steps_are_deleted_on_demand(spark):
+    from leadweave.operators.components import connected_components
+    from leadweave.sources.shared import drop_written, shared_folder, written
+
+    drop_written(spark)
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    kept = written(spark.range(5).toDF("a"), "mine").count() + connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")).count()
+    new = {p.name for p in folder.iterdir()} - before
+    assert kept == 8 and len(new) >= 3
+    assert drop_written(spark) == len(new) and not {p.name for p in folder.iterdir()} & new
+    assert drop_written(spark) == 0
+
+
 def test_one_group_spreads_over_tasks(spark):
     df = spark.range(0, 20_000, 1, 4).select(F.lit("all").alias("g"), ((F.col("id") * 7919) % 20_011).alias("v"), "id")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
