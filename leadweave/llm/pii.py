@@ -1,10 +1,12 @@
 r"""Surrogates for personal data: keyed, of the same type and format, distinct, and the same wherever an entity recurs.
 
-Entities are e-mail addresses, IPv4 addresses, phone numbers, card-like numbers of 13 to 19 digits, and
-names behind an honorific. A surrogate is made from SHA-256 of a secret key, the type and the
+Entities are e-mail addresses, IPv4 addresses, phone numbers, card-like numbers of 13 to 19 digits,
+names behind an honorific (as listed, or in capitals), and first and last names of these people where
+the same text has them without one, with capital initials or in capitals; a last
+name or a first name alone stays, since many are ordinary words. A surrogate is made from SHA-256 of a secret key, the type and the
 normalised entity, so an entity gets the same one in every document. Digits keep their number and
 punctuation, phone numbers their country code, card numbers a right check digit if they had one; a name keeps its honorific, letter case and script, and
-its first name the gender that the honorific says; last names are replaced on their own, so `Mr. A B`
+its first name the gender that the honorific says (without one, that of the first person of the name in the text); last names are replaced on their own, so `Mr. A B`
 and `Mr. B` stay one person. First names repeat among people and are distinct among those of one last
 name; where the list of names has no free one, syllables are added. All distinct entities are checked: of entities whose
 surrogates are equal, and of those whose surrogate is itself an entity, all but one (or all) get
@@ -28,6 +30,8 @@ from leadweave.llm.tables import fresh, written
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Mister", "Господин", "Г-н", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Г-жа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
+ABBREVIATED = ("Mr", "Mrs", "Ms", "Sr", "Sra", "Mme", "Dr", "Prof")  # in capitals (MS, SR) a title only with its point
+ALSO_A_WORD = ("Miss",)  # in capitals no title
 FIRST = {
     ("latin", "m"): ("Adrian", "Bruno", "Conrad", "Desmond", "Edgar", "Felix", "Gregor", "Hector", "Ivan", "Julius", "Leon", "Marius", "Nolan", "Oscar", "Quentin", "Rupert"),
     ("latin", "f"): ("Amelia", "Beatrix", "Clara", "Daphne", "Elena", "Fiona", "Greta", "Helena", "Irene", "Julia", "Lydia", "Marina", "Nadia", "Olivia", "Rosalie", "Sabina"),
@@ -51,7 +55,9 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 HONORIFIC = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + ")"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC}\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
+_CAPITALS = [h.upper() + (r"\." if h in ABBREVIATED else r"\.?") for h in MALE + FEMALE + NEUTRAL if h not in ALSO_A_WORD]
+TITLE = rf"(?:{HONORIFIC}\.?|{'|'.join(_CAPITALS)})\x20"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
 ENTITY = f"{EMAIL}|{IP}|{PHONE}|{CARD}|{NAME}"
 ROUNDS = 40
 BROADCAST_ROWS = 100_000
@@ -72,20 +78,25 @@ def _steps(items: Column, *steps: Callable[[Column], dict[str, Column]]) -> Colu
     return items
 
 
+def _both(honorifics: tuple[str, ...]) -> tuple[str, ...]:
+    return honorifics + tuple(h.upper() for h in honorifics)
+
+
 def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def matches(found: Column) -> Column:
+def matches(found: Column, people: Column | None = None) -> Column:
     """Of each match: raw, title, head (country code), kind, names, and its parts as array<struct<type, norm>>.
 
-    A name is made of its names (the first one with the last one), anything else of itself.
+    A name is made of its names (the first one with the last one), anything else of itself. `people`
+    (array<struct<name, gender>>, see known_people) tells the gender of names without a title.
     """
 
     def seen(raw: Column) -> dict[str, Column]:
         return {
             "raw": raw,
-            "title": F.regexp_extract(raw, rf"^{HONORIFIC}\.?\x20", 0),
+            "title": F.regexp_extract(raw, rf"^{TITLE}", 0),
             "head": F.regexp_extract(raw, r"^\+\d{1,3}(?=[ (.-])", 0),
             "digits": F.regexp_replace(raw, r"\D", ""),
         }
@@ -93,11 +104,13 @@ def matches(found: Column) -> Column:
     def told(x: Column) -> dict[str, Column]:
         bare = F.regexp_replace(x["title"], r"\.?\x20$", "")
         card = (F.length(x["digits"]) >= 13) & ~x["raw"].rlike(r"^[+(]")
+        titled = F.when(bare.isin(*_both(MALE)), "m").when(bare.isin(*_both(FEMALE)), "f").otherwise("n")
+        same = None if people is None else F.filter(people, lambda p: p["name"] == F.lower(x["raw"]))
         return {
             **{c: x[c] for c in ("raw", "title", "head", "digits")},
-            "kind": F.when(x["raw"].contains("@"), "email").when(x["title"] != "", "name").when(x["raw"].rlike(f"^(?:{IP})$"), "ip").when(card, "card").otherwise("phone"),
+            "kind": F.when(x["raw"].contains("@"), "email").when(x["raw"].rlike(r"^\p{L}"), "name").when(x["raw"].rlike(f"^(?:{IP})$"), "ip").when(card, "card").otherwise("phone"),
             "names": F.split(F.substr(x["raw"], F.length(x["title"]) + 1), " "),
-            "gender": F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n"),
+            "gender": titled if same is None else F.when(x["title"] != "", titled).otherwise(F.coalesce(F.get(same, F.lit(0))["gender"], F.lit("n"))),
         }
 
     def made_of(x: Column) -> dict[str, Column]:
@@ -113,6 +126,21 @@ def matches(found: Column) -> Column:
     return _steps(found, seen, told, made_of)
 
 
+def known_people(found: Column) -> Column:
+    """array<struct<name, gender>>: the first and last names behind an honorific in lower case, once for each gender, first ones first."""
+    named = F.filter(matches(found), lambda x: (x["kind"] == "name") & (F.size(x["names"]) > 1))
+    of = lambda x: F.struct(F.lower(F.array_join(x["names"], " ")).alias("name"), F.split_part(F.get(x["parts"], F.lit(0))["type"], F.lit("."), F.lit(2)).alias("gender"))
+    return F.array_distinct(F.transform(named, of))
+
+
+def entity_pattern(people: Column) -> Column:
+    """ENTITY, or a known person's first and last name without an honorific. Names hold letters, ' and - only, so none needs escapes."""
+    word = lambda w: F.concat(F.lit(r"(?=\p{Lu})(?iu:"), w, F.lit(")"))
+    forms = F.transform(F.array_distinct(F.transform(people, lambda p: p["name"])), lambda n: F.array_join(F.transform(F.split(n, " "), word), " "))
+    # The start of an e-mail address is no name.
+    return F.concat(F.lit(rf"{ENTITY}|(?<![\p{{L}}\p{{N}}'-])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}'-]|[\p{L}\p{N}._%+-]*+@)"))
+
+
 def _own(kind: Column, norm: Column) -> Column:
     """The norm without the last name that a first name's ends in."""
     return F.when(kind.startswith("first."), F.substring_index(norm, " ", 1)).otherwise(norm)
@@ -173,7 +201,7 @@ def _shaped(raw: Column, new: Column) -> Column:
     return F.when((F.upper(raw) == raw) & (F.length(raw) > 1), F.upper(new)).otherwise(F.initcap(new))
 
 
-def _rewritten(found: Column, key: str, attempts: Column | None) -> Column:
+def _rewritten(found: Column, people: Column, key: str, attempts: Column | None) -> Column:
     """array<string>: each match with its parts replaced, in its own format."""
 
     def new(part: Column) -> Column:
@@ -189,7 +217,7 @@ def _rewritten(found: Column, key: str, attempts: Column | None) -> Column:
         person = F.concat(x["title"], given, _shaped(F.element_at(x["names"], -1), last))
         return F.when(x["kind"] == "name", person).when(x["kind"].isin("phone", "card"), number).otherwise(last)
 
-    made = _steps(matches(found), lambda x: {c: x[c] for c in ("raw", "title", "head", "kind", "names")} | {"made": F.transform(x["parts"], new)})
+    made = _steps(matches(found, people), lambda x: {c: x[c] for c in ("raw", "title", "head", "kind", "names")} | {"made": F.transform(x["parts"], new)})
     return F.transform(made, put)
 
 
@@ -223,7 +251,7 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     entity with a further attempt are told by their 64-bit hash; if two had the same, each would be
     given the attempts of both, which changes nothing, since attempts are looked up by entity.
     """
-    text, row, tried = F.col(f"`{text_col}`"), fresh(df, "row"), fresh(df, "attempts")
+    text, row, tried, who = F.col(f"`{text_col}`"), fresh(df, "row"), fresh(df, "attempts"), fresh(df, "people")
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
     found = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
     # Distinct per text first, so that one that repeats an entity shuffles it once.
@@ -242,10 +270,14 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
             per_row = F.broadcast(per_row)
         base = df.withColumn(row, F.xxhash64(text)).join(per_row, row, "left")
         attempts = F.coalesce(F.col(tried), F.expr("cast(map() as map<string,int>)"))
-    gaps = F.split(text, ENTITY, -1)
-    new = F.concat(_rewritten(found, key, attempts), F.array(F.lit("")))
+    # A column of its own, as it is used more than once. People without a title add no entity, so `named` has all.
+    base = base.withColumn(who, F.when(has, known_people(found)))
+    people = F.col(f"`{who}`")
+    every = F.when(F.size(people) > 0, F.regexp_extract_all(text, F.concat(F.lit("("), entity_pattern(people), F.lit(")")), F.lit(1))).otherwise(found)
+    gaps = F.when(F.size(people) > 0, F.split(text, entity_pattern(people), -1)).otherwise(F.split(text, ENTITY, -1))
+    new = F.concat(_rewritten(every, people, key, attempts), F.array(F.lit("")))
     replaced = F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")
     out = [F.when(has, replaced).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if count_col:
-        out.append(F.when(has, F.size(found)).otherwise(0).cast("bigint").alias(count_col))
+        out.append(F.when(has, F.size(every)).otherwise(0).cast("bigint").alias(count_col))
     return base.select(out)

@@ -379,6 +379,27 @@ def test_people_of_one_last_name_stay_distinct(spark):
     assert len(set(new)) == len(who) and len({last for _, last in new}) == 3
 
 
+def test_people_without_honorifics_and_in_capitals(spark):
+    rows = [
+        (1, "Mr. John Smith, Mr. Smith, John Smith and JOHN SMITH wrote. John Smithson didn't; Long-John Smith neither. Smith"),
+        (2, "DR. JOHN SMITH met MRS. ANNE-MARIE O'NEIL; Anne-Marie O'neil left. HERR MÜLLER"),
+        (3, "John Smith alone, PLEASE DO NOT MISS THE SALE, MS EXCEL, SR ANALYST"),
+        (4, "Ms. Kim Lee; Kim Lee@corp.example.com, kim.Kim Lee.x@corp.example.com, Kim Lee"),
+        (5, "Mr. Kim Lee and Ms. Kim Lee: Kim Lee"),
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), Mr\. (\w+), (\w+) (\w+) and ([A-Z]+) ([A-Z]+) wrote\. John Smithson didn't; Long-John Smith neither\. Smith", got[1]["text"])
+    assert m and m[1] == m[4] == m[6].capitalize() and m[2] == m[3] == m[5] == m[7].capitalize() and got[1]["n_entities"] == 4
+    assert m[1] != "John" and m[2] != "Smith"
+    n = re.fullmatch(r"DR\. ([A-Z]+) ([A-Z]+) met MRS\. ([A-Z]+) ([A-Z]+); (\w+) (\w+) left\. HERR ([A-Z]+)", got[2]["text"])
+    assert n and n[2] == m[7] and n[3].capitalize() == n[5] and n[4].capitalize() == n[6] and n[3].capitalize() in pii.FIRST["latin", "f"] and n[7] != "MÜLLER"
+    assert got[3]["text"] == rows[2][1] and got[3]["n_entities"] == 0
+    k = re.fullmatch(r"Ms\. (\w+) (\w+); Kim (\S+@mail\d\.example\.org), kim\.Kim (\S+@mail\d\.example\.org), (\w+) (\w+)", got[4]["text"])
+    assert k and (k[1], k[2]) == (k[5], k[6])
+    w = re.fullmatch(r"Mr\. (\w+) (\w+) and Ms\. (\w+) (\w+): (\w+) (\w+)", got[5]["text"])
+    assert w and w[1] == w[5] != w[3] and w[2] == w[4] == w[6]
+
+
 def labelled(spark, n=900):
     rows, labels = [], []
     for i in range(n):
