@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadweave.functions.binding import let
 from leadweave.functions.similarity import letters, may_reach, similarity
 from leadweave.operators.blocks import split_blocks
 from leadweave.operators.ranks import grouped_median, with_place
@@ -19,14 +20,64 @@ CODE_LETTERS = "23456789ABCDEFGHJKLMNPQRSTUVWXYZ"
 ROUNDS = 20
 
 
+# Elements whose ends close what is open inside them, those of them that hold no text of a page's own, and named characters.
+CONTAINERS = ("article", "aside", "blockquote", "body", "details", "dialog", "div", "fieldset", "figure", "footer", "form", "header", "html", "li", "main", "nav", "ol", "section", "table", "td", "th", "tr", "ul")
+UNREAD = ("nav", "footer")
+NAMED = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"))
+# A comment, script or style sheet that isn't closed goes on to the end of the page.
+_RAW = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_CONTAINER = rf"(?i)</?(?:{'|'.join(CONTAINERS)})(?=[\s/>])[^>]*>"
+_ENTITY = rf"&(?:{'|'.join(n for n, _ in NAMED)}|#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});"
+
+
+def outside_blocks(html: Column) -> Column:
+    """The parts of html that are in no nav or footer, joined by blanks.
+
+    The tags of containers are events in order. The elements open after each are kept as a string of names, the
+    innermost first: an end closes its element and all inside it, an end of nothing open is passed over, and what is never closed goes on to
+    the end of what it is in. So nested and unclosed blocks end where a browser ends them.
+    """
+    tags = F.regexp_extract_all(html, F.lit(f"({_CONTAINER})"), F.lit(1))
+    name = lambda tag: F.concat(F.lit("<"), F.lower(F.regexp_extract(tag, r"^</?([A-Za-z]+)", 1)), F.lit(">"))
+
+    def follow(state: Column, tag: Column) -> Column:
+        at = F.locate("</", tag)
+        found = F.instr(state["open"], name(tag))
+        inside = F.when(at != 1, F.concat(name(tag), state["open"])).when(found > 0, F.substr(state["open"], found + F.length(name(tag)))).otherwise(state["open"])
+        return let(inside, lambda now: F.struct(now.alias("open"), F.concat(state["seen"], F.when(now.rlike(f"<(?:{'|'.join(UNREAD)})>"), "0").otherwise("1")).alias("seen")))
+
+    # A digit for each part: 1 outside, 0 inside; the part before the first tag is outside.
+    seen = F.aggregate(tags, F.struct(F.lit("").alias("open"), F.lit("1").alias("seen")), follow, lambda s: F.split(s["seen"], "(?!^)(?!$)"))
+    parts = F.zip_with(F.split(html, _CONTAINER, -1), seen, lambda part, visible: F.when(visible == "1", part).otherwise(""))
+    return F.when(html.rlike(f"(?i)<(?:{'|'.join(UNREAD)})\\b"), F.array_join(parts, " ")).otherwise(html)
+
+
+def decoded(text: Column) -> Column:
+    """text with named and numeric characters put in, each once; numbers of no character are U+FFFD."""
+
+    def one(entity: Column) -> Column:
+        number = F.when(entity.rlike("^&#[xX]"), F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+);$", 1)).try_cast("int")
+        proper = lambda n: F.when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), n).otherwise(0xFFFD)
+        named = F.lit(None).cast("string")
+        for word, value in NAMED:
+            named = F.when(entity == f"&{word};", value).otherwise(named)
+        return F.when(entity.startswith("&#"), let(number, lambda n: F.decode(F.unhex(F.lpad(F.hex(proper(n)), 8, "0")), "UTF-32"))).otherwise(named)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), F.lit(1)), one)
+    put = F.zip_with(F.split(text, _ENTITY, -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return F.when(text.contains("&"), F.array_join(put, "")).otherwise(text)
+
+
+def visible_text(html: Column) -> Column:
+    """What a reader of the page sees outside nav and footer, white space as single blanks; null is empty."""
+    raw = F.regexp_replace(F.coalesce(html, F.lit("")), _RAW, " ")
+    text = let(raw, lambda h: F.regexp_replace(outside_blocks(h), r"(?s)<[^>]*>", " "))
+    return F.trim(F.regexp_replace(let(text, decoded), r"[\s\x{A0}]+", " "))
+
+
 def page_features(pages: DataFrame, keywords: list[str], html: str = "html") -> DataFrame:
     """page_id, visible text up to 4000 characters, and the distinct keywords in it as whole words in any case."""
-    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(value))
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    out = pages.withColumn("_text", text)
+    out = pages.withColumn("_text", visible_text(F.col(html)))
     hits = F.array_compact(F.array(*(F.when(F.col("_text").rlike(rf"(?iu)(?<![\p{{L}}\p{{Nd}}])\Q{k}\E(?![\p{{L}}\p{{Nd}}])"), F.lit(k)) for k in keywords)))
     return out.select("page_id", F.substring("_text", 1, 4000).alias("excerpt"), hits.alias("keywords"), F.size(hits).alias("keyword_count"))
 
