@@ -190,7 +190,7 @@ def mailing_manifest(leads: DataFrame, codes: DataFrame, cohorts: DataFrame, wav
     return marked.where("reason = 'mailed'").select("lead_id", "name", "address", "postcode", "code", "cohort"), marked.groupBy("reason").agg(F.count("*").alias("leads"))
 
 
-def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, threshold: float = 0.90) -> DataFrame:
+def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, threshold: float = 0.90, whole: bool = False) -> DataFrame:
     """(sale_id, lead_id, tier, needs_review): a sale in the window by code, else by name and ZIP or by address, else by similar name in the ZIP.
 
     sales: sale_id, name_norm, zip5, address_norm, sale_date, promo_code; leads: lead_id, offer_code, name_norm, zip5, address_norm.
@@ -206,7 +206,7 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
     a = live.where("name_norm <> '' and zip5 is not null").select("name_norm", "zip5").distinct().withColumn("sl", letters(F.col("name_norm")))
     b = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id")).withColumn("ll", letters(F.col("ln")))
     left, right, block = split_blocks(a, b, ["zip5"])
-    near = left.join(right, block).where("name_norm <> ln").where(may_reach(F.col("name_norm"), F.col("ln"), F.col("sl"), F.col("ll"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"))).where(F.col("jw") >= threshold)
+    near = left.join(right, block).where("name_norm <> ln").where(may_reach(F.col("name_norm"), F.col("ln"), F.col("sl"), F.col("ll"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"), whole)).where(F.col("jw") >= threshold)
     best = near.groupBy("name_norm", "zip5").agg(F.min_by("lead_id", F.struct(-F.col("jw"), F.col("lead_id"))).alias("lead_id"))
     fuzzy = live.join(best, ["name_norm", "zip5"]).select("sale_id", F.lit(2).alias("t"), "lead_id")
     every = exact.unionByName(strong).unionByName(placed).unionByName(fuzzy)

@@ -12,6 +12,7 @@ from leadweave.operators.scoring import match_segment, score_breakdown
 from leadweave.plans import leads as LP
 from leadweave.plans.registry import name_norm as sql_name
 from leadweave.plans.registry import query
+from leadweave.plans.resolution import WHOLE
 from leadweave.sources.adapter import MAIL_DATE, WINDOW_DAYS, table
 from leadweave.sources.shared import shared_folder
 from leadweave.streaming import responses as X
@@ -100,7 +101,7 @@ def h2_mailing_manifest(spark, d):
 def _matches(spark, d):
     s = table(spark, d, "sales").select("sale_id", name_norm(F.col("customer_name")).alias("name_norm"), F.col("sale_zip").alias("zip5"), address_norm(F.col("sale_address")).alias("address_norm"), "sale_date", "promo_code")
     ls = table(spark, d, "leads").select("lead_id", F.concat(F.lit("lift-"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("offer_code"), name_norm(F.col("name")).alias("name_norm"), F.col("postcode").alias("zip5"), address_norm(F.col("address")).alias("address_norm"))
-    return M.matchback(s, ls, MAIL_DATE, WINDOW_DAYS)
+    return M.matchback(s, ls, MAIL_DATE, WINDOW_DAYS, whole=WHOLE)
 
 
 _ADDR = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\s+', ' ', 'g'), '[^\p{{L}}\p{{Nd}} ]', '', 'g'), ' +', ' ', 'g')), '')"
