@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from leadweave.functions.similarity import jaro_winkler, jaro_winklers
-from leadweave.operators import dedupe, routing
+from leadweave.operators import dedupe, places, routing
 
 # 0.9190 with half transpositions and 0.9253 with whole ones.
 NEAR = ("frontier marine 2933", "frontier farms 933")
@@ -45,3 +45,16 @@ def test_suppression_by_either_form(spark):
     rules = spark.createDataFrame([("r1", NEAR[1], None, "77001", "dnc")], "rule_id string, name_norm string, domain_key string, zip5 string, reason string")
     hits = lambda whole: [(r.rule_id, r.kind) for r in routing.match_suppression(subjects, rules, whole=whole).collect()]
     assert hits(True) == [("r1", "fuzzy")] and hits(False) == []
+
+
+def test_places_of_a_search_are_not_broadcast(spark, tmp_path, capsys):
+    """A table of names that packs well passes for a small one; its grams are many times as many rows."""
+    spark.range(3000).selectExpr("concat('p', id) as id", "concat('Steel works ', id) as name", "array('services') as hierarchy", "'steel' as leaf", "0.9D as confidence").write.parquet(f"{tmp_path}/p")
+    places_ = spark.read.parquet(f"{tmp_path}/p")
+    # Of these the plan knows no size, so what it would broadcast are places.
+    targets = spark.createDataFrame([("c", "keyword", "works"), ("c", "not_keyword", "17")], "campaign_id string, kind string, value string")
+    out = places.match_targets(places_, targets)
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" not in plan
+    assert out.count() == sum("17" not in f"steel works {i}" for i in range(3000))
