@@ -202,15 +202,18 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
     exact = live.join(own.withColumn("oc", F.upper("offer_code")).dropna(subset=["oc"]).groupBy("oc").agg(F.min("lead_id").alias("lead_id")), F.upper("promo_code") == F.col("oc")).select("sale_id", F.lit(0).alias("t"), "lead_id")
     strong = live.where("name_norm <> ''").join(first_of(["ln", "lz"]), F.expr("name_norm = ln and zip5 = lz")).select("sale_id", F.lit(1).alias("t"), "lead_id")
     placed = live.join(first_of(["la"]), F.expr("address_norm = la")).select("sale_id", F.lit(1).alias("t"), "lead_id")
-    # Distinct names of a ZIP are compared once.
-    a = live.where("name_norm <> '' and zip5 is not null").select("name_norm", "zip5").distinct().withColumn("sl", letters(F.col("name_norm")))
-    b = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id")).withColumn("ll", letters(F.col("ln")))
+    found = exact.unionByName(strong).unionByName(placed).groupBy("sale_id").agg(F.min(F.struct("t", "lead_id")).alias("m"))
+    found = written(found, "matches")
+    # Only sales without such a match are compared by similarity; distinct names of a ZIP once.
+    rest = live.where("name_norm <> '' and zip5 is not null").join(found, "sale_id", "left_anti")
+    a = rest.select("name_norm", "zip5").distinct().withColumn("sl", letters(F.col("name_norm")))
+    named = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id"))
+    b = named.withColumn("ll", letters(F.col("ln")))
     left, right, block = split_blocks(a, b, ["zip5"])
     near = left.join(right, block).where("name_norm <> ln").where(may_reach(F.col("name_norm"), F.col("ln"), F.col("sl"), F.col("ll"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"), whole)).where(F.col("jw") >= threshold)
     best = near.groupBy("name_norm", "zip5").agg(F.min_by("lead_id", F.struct(-F.col("jw"), F.col("lead_id"))).alias("lead_id"))
-    fuzzy = live.join(best, ["name_norm", "zip5"]).select("sale_id", F.lit(2).alias("t"), "lead_id")
-    every = exact.unionByName(strong).unionByName(placed).unionByName(fuzzy)
-    first = every.groupBy("sale_id").agg(F.min(F.struct("t", "lead_id")).alias("m"))
+    fuzzy = rest.join(best, ["name_norm", "zip5"]).groupBy("sale_id").agg(F.min(F.struct(F.lit(2).alias("t"), "lead_id")).alias("m"))
+    first = found.unionByName(fuzzy).groupBy("sale_id").agg(F.min("m").alias("m"))
     return first.select("sale_id", F.col("m.lead_id").alias("lead_id"), F.element_at(F.array(*map(F.lit, ("exact", "strong", "fuzzy"))), F.col("m.t") + 1).alias("tier"), (F.col("m.t") == 2).alias("needs_review"))
 
 

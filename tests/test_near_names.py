@@ -4,9 +4,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from leadweave.functions.similarity import jaro_winkler, jaro_winklers
-from leadweave.operators import dedupe, places, routing
+from leadweave.operators import dedupe, measure, places, routing
 
 # 0.9190 with half transpositions and 0.9253 with whole ones.
 NEAR = ("frontier marine 2933", "frontier farms 933")
@@ -58,3 +59,14 @@ def test_places_of_a_search_are_not_broadcast(spark, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" not in plan
     assert out.count() == sum("17" not in f"steel works {i}" for i in range(3000))
+
+
+def test_matched_sales_meet_no_similar_names(spark, monkeypatch):
+    seen, inner = [], measure.split_blocks
+    monkeypatch.setattr(measure, "split_blocks", lambda left, *rest: seen.append(sorted(r.name_norm for r in left.collect())) or inner(left, *rest))
+    leads = spark.createDataFrame([("l1", "c-1", "acme glass", "77001", "1 main"), ("l2", "c-2", "delta farms", "77001", None)], "lead_id string, offer_code string, name_norm string, zip5 string, address_norm string")
+    rows = [(1, "acme glass", "77001", None, None), (2, "acme glas", "77001", None, "C-2"), (3, "acme glasss", "77001", None, None), (4, "other", "77009", "1 main", None), (5, "", "77001", None, None)]
+    sales = spark.createDataFrame(rows, "sale_id long, name_norm string, zip5 string, address_norm string, promo_code string").withColumn("sale_date", F.lit("1996-02-01").cast("date"))
+    got = sorted(tuple(r) for r in measure.matchback(sales, leads, "1996-01-01", 365).collect())
+    assert got == [(1, "l1", "strong", False), (2, "l2", "exact", False), (3, "l1", "fuzzy", True), (4, "l1", "strong", False)]
+    assert seen == [["acme glasss"]]
