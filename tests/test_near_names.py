@@ -35,6 +35,19 @@ def test_whole_form_equals_duckdb():
     assert jaro_winkler(*NEAR) < 0.92 <= want.iloc[-1]
 
 
+def test_whole_form_rounds_as_duckdb(spark):
+    """Thirteen of fifteen letters and the first of them: 0.92 if the boost is rounded once, else a bit below."""
+    duckdb = pytest.importorskip("duckdb")
+    a, b = _names(3000)
+    a, b = pd.concat([a, pd.Series(["abcdefghijklmno"])], ignore_index=True), pd.concat([b, pd.Series(["axcdefghijklmny"])], ignore_index=True)
+    pairs = pd.DataFrame({"i": range(len(a)), "a": a, "b": b})  # noqa: F841
+    want = duckdb.connect().execute("SELECT jaro_winkler_similarity(a, b) AS s FROM pairs ORDER BY i").df()["s"]
+    assert list(jaro_winklers(a, b, True)) == list(want) and want.iloc[-1] == 0.92
+    sites = spark.createDataFrame([("a", a.iloc[-1], 29.5, -95.8), ("b", b.iloc[-1], 29.5, -95.8)], "site_id string, name_norm string, lat double, lon double")
+    got = {r.site_id: (r.component, r.rule, r.is_primary) for r in dedupe.dedupe(sites.selectExpr("*", "null as domain_key", "site_id as gh7", "0.5D as confidence"), whole=True).collect()}
+    assert got == {"a": ("a", "fuzzy", True), "b": ("a", "fuzzy", False)}
+
+
 def test_links_by_either_form(spark):
     sites = spark.createDataFrame([("a", NEAR[0], 29.5, -95.8), ("b", NEAR[1], 29.5, -95.8)], "site_id string, name_norm string, lat double, lon double")
     edges = lambda whole: [tuple(r) for r in dedupe.fuzzy_edges(sites, whole=whole).select("a", "b").collect()]
