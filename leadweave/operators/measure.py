@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions.binding import let
-from leadweave.functions.similarity import letters, may_reach, similarity
 from leadweave.operators.blocks import split_blocks
+from leadweave.operators.nearest import nearest_names
 from leadweave.operators.ranks import grouped_median, with_place
 from leadweave.operators.routing import sized
 from leadweave.sources.shared import written
@@ -206,12 +206,10 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
     found = written(found, "matches")
     # Only sales without such a match are compared by similarity; distinct names of a ZIP once.
     rest = live.where("name_norm <> '' and zip5 is not null").join(found, "sale_id", "left_anti")
-    a = rest.select("name_norm", "zip5").distinct().withColumn("sl", letters(F.col("name_norm")))
-    named = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id"))
-    b = named.withColumn("ll", letters(F.col("ln")))
+    a = rest.select("name_norm", "zip5").distinct()
+    b = own.where("ln <> '' and lz is not null").groupBy("ln", F.col("lz").alias("zip5")).agg(F.min("lead_id").alias("lead_id"))
     left, right, block = split_blocks(a, b, ["zip5"])
-    near = left.join(right, block).where("name_norm <> ln").where(may_reach(F.col("name_norm"), F.col("ln"), F.col("sl"), F.col("ll"), threshold)).withColumn("jw", similarity(F.col("name_norm"), F.col("ln"), whole)).where(F.col("jw") >= threshold)
-    best = near.groupBy("name_norm", "zip5").agg(F.min_by("lead_id", F.struct(-F.col("jw"), F.col("lead_id"))).alias("lead_id"))
+    best = nearest_names(left, right, block, threshold, whole)
     fuzzy = rest.join(best, ["name_norm", "zip5"]).groupBy("sale_id").agg(F.min(F.struct(F.lit(2).alias("t"), "lead_id")).alias("m"))
     first = found.unionByName(fuzzy).groupBy("sale_id").agg(F.min("m").alias("m"))
     return first.select("sale_id", F.col("m.lead_id").alias("lead_id"), F.element_at(F.array(*map(F.lit, ("exact", "strong", "fuzzy"))), F.col("m.t") + 1).alias("tier"), (F.col("m.t") == 2).alias("needs_review"))

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from leadweave.functions.similarity import jaro_winkler, jaro_winklers
-from leadweave.operators import dedupe, measure, places, routing
+from leadweave.operators import dedupe, measure, nearest, places, routing
 
 # 0.9190 with half transpositions and 0.9253 with whole ones.
 NEAR = ("frontier marine 2933", "frontier farms 933")
@@ -83,3 +84,35 @@ def test_matched_sales_meet_no_similar_names(spark, monkeypatch):
     got = sorted(tuple(r) for r in measure.matchback(sales, leads, "1996-01-01", 365).collect())
     assert got == [(1, "l1", "strong", False), (2, "l2", "exact", False), (3, "l1", "fuzzy", True), (4, "l1", "strong", False)]
     assert seen == [["acme glasss"]]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_best_names_of_blocks_equal_brute_force(whole, monkeypatch):
+    a, b = (v[:150].sort_values(ignore_index=True) for v in _names(3000))
+    b = pd.concat([b, a[:9], pd.Series(["é中 aab", "a" * 40])], ignore_index=True)  # equal names don't count
+    block_a, block_b = np.arange(len(a)) // 40, np.arange(len(b)) // 60 + 1
+    monkeypatch.setattr(nearest, "BOUNDED", 500)
+    monkeypatch.setattr(nearest, "DEEP", 2)
+    want = set()
+    for i, name in enumerate(a):
+        js = [j for j in range(len(b)) if block_b[j] == block_a[i] and b[j] != name]
+        jw = jaro_winklers(pd.Series([name] * len(js)), pd.Series([b[j] for j in js]), whole) if js else np.zeros(0)
+        want |= {(i, j, s) for j, s in zip(js, jw, strict=True) if s == jw.max() and s >= 0.75}
+    assert len(want) > 20 and set(zip(*nearest.best_in(a, b, block_a, block_b, 0.75, whole), strict=True)) == want
+
+
+def test_names_of_a_zip_are_not_all_compared(spark, monkeypatch):
+    """600 sales by 600 leads of one ZIP, all of them near: a few comparisons each, also when the ZIP is cut."""
+    word = ("steel", "glass", "farms")
+    b = pd.Series([f"acme {word[i % 3]} {600 * i + 7}" for i in range(600)])
+    a = b + " llcs"
+    seen = []
+    monkeypatch.setattr(nearest, "jaro_winklers", lambda x, y, w=False: seen.append(len(x)) or jaro_winklers(x, y, w))
+    i, j, _ = nearest.best_in(a, b, np.zeros(600, int), np.zeros(600, int), 0.9, True)
+    assert list(i) == list(j) and len(i) == 600 and sum(seen) < 20 * 600
+    monkeypatch.undo()
+    monkeypatch.setattr(nearest, "RIGHT_ROWS", 100)
+    left = spark.createDataFrame([(x, "77001", 0) for x in a], "name_norm string, zip5 string, _part int")
+    right = spark.createDataFrame([(x, f"l{k:03}", "77001", 0) for k, x in enumerate(b)], "ln string, lead_id string, zip5 string, _part int")
+    got = {r.name_norm: r.lead_id for r in nearest.nearest_names(left, right, ["zip5", "_part"], 0.9, True).collect()}
+    assert got == {x: f"l{k:03}" for k, x in enumerate(a)}
