@@ -197,6 +197,8 @@ def matchback(sales: DataFrame, leads: DataFrame, mail_date: str, days: int, thr
     """
     live = sales.where(F.col("sale_date").between(F.lit(mail_date).cast("date"), F.date_add(F.lit(mail_date).cast("date"), days)))
     own = leads.select("lead_id", "offer_code", F.col("name_norm").alias("ln"), F.col("zip5").alias("lz"), F.col("address_norm").alias("la"))
+    # Each rule reads them again; their names and addresses are normalised once.
+    live, own = written(live.select("sale_id", "name_norm", "zip5", "address_norm", "promo_code"), "sales"), written(own, "leads")
     # Of leads that share a key the first by id is taken, so a popular name or address makes no pairs.
     first_of = lambda keys: own.dropna(subset=keys).groupBy(*keys).agg(F.min("lead_id").alias("lead_id"))
     exact = live.join(own.withColumn("oc", F.upper("offer_code")).dropna(subset=["oc"]).groupBy("oc").agg(F.min("lead_id").alias("lead_id")), F.upper("promo_code") == F.col("oc")).select("sale_id", F.lit(0).alias("t"), "lead_id")
