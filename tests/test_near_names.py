@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,56 @@ def test_names_of_a_zip_are_not_all_compared(spark, monkeypatch):
     right = spark.createDataFrame([(x, f"l{k:03}", "77001", 0) for k, x in enumerate(b)], "ln string, lead_id string, zip5 string, _part int")
     got = {r.name_norm: r.lead_id for r in nearest.nearest_names(left, right, ["zip5", "_part"], 0.9, True).collect()}
     assert got == {x: f"l{k:03}" for k, x in enumerate(a)}
+
+
+def test_names_are_worked_out_once_for_fuzzy_edges(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def norm(name):
+        seen.add(1)
+        return name.lower()
+
+    sites = spark.range(60).selectExpr("format_string('s%02d', id) as site_id", "concat('Acme Steel ', id) as name", "29.5D as lat", "-95.8D as lon").withColumn("name_norm", F.udf(norm)("name"))
+    assert dedupe.fuzzy_edges(sites).count() > 60
+    assert seen.value == 60
+
+
+def test_two_names_of_a_cell_are_compared_once(monkeypatch):
+    """Forty names at nine points each, all near: no pair of names twice, though 81 pairs of sites have it."""
+    rows = [(f"s{i:02}{k}", f"acme steel {i * 7}", 29.5 + k % 3 * 1e-4, -95.8 + k // 3 * 1e-4) for i in range(40) for k in range(9)]
+    sites = pa.table(dict(zip(("site_id", "name_norm", "lat", "lon"), zip(*rows), strict=True)) | {"block": ["c"] * len(rows)})
+    compared, inner = [], nearest.winklers
+    monkeypatch.setattr(nearest, "winklers", lambda x, *rest: compared.append(x.shape[1]) or inner(x, *rest))
+    got = [(ids[i].as_py(), ids[j].as_py()) for a, b, ids in dedupe._near_sites(sites, sites, 0.92, 200.0, True) for i, j in zip(a, b, strict=True)]
+    names = pd.DataFrame(rows)[1].unique()
+    similar = {(x, y) for x in names for y in names if jaro_winklers(pd.Series([x]), pd.Series([y]), True)[0] >= 0.92}
+    assert len(got) == len(set(got)) and set(got) == {(p[0], q[0]) for p in rows for q in rows if p[0] > q[0] and (p[1], q[1]) in similar}
+    assert sum(compared) <= 40 * 41 / 2
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_fuzzy_edges_of_cut_cells_equal_brute_force(spark, monkeypatch, whole):
+    """Cells cut on either side, a name that alone is more than a part, sites across borders of cells and none without a point."""
+    draw = random.Random(5)
+    a, b = _names(30)
+    names = sorted({*a, *b} - {"", *(x for x in a if not x.strip())})
+    rows = [(f"s{k:03}", draw.choice(names[:12] if k % 2 else names), 29.4985 + draw.randrange(30) * 1e-4, -95.8015 + draw.randrange(30) * 1e-4) for k in range(350)]
+    rows += [(f"t{k:03}", "acme", 29.5 + k * 1e-5, -95.8) for k in range(40)] + [("u1", "acme", None, -95.8), ("u2", "acme", float("nan"), -95.8), ("u3", "", 29.5, -95.8)]
+    monkeypatch.setattr(dedupe, "PART_ROWS", 25)
+    monkeypatch.setattr(dedupe, "RIGHT_ROWS", 40)
+    monkeypatch.setattr(dedupe, "GROUP_ROWS", 60)
+    sites = spark.createDataFrame(rows, "site_id string, name_norm string, lat double, lon double")
+    got = [(r.a, r.b) for r in dedupe.fuzzy_edges(sites, 0.85, whole=whole).collect()]
+    first, want = {}, set()
+    for r in sorted(r for r in rows if r[1] and r[2] is not None and r[2] == r[2]):
+        if r[1:] in first:
+            want.add((r[0], first[r[1:]]))
+        else:
+            first[r[1:]] = r[0]
+    kept = [(i, *key) for key, i in first.items()]
+    pairs = pd.DataFrame([(p, q) for p in kept for q in kept if p[0] > q[0]], columns=["p", "q"])
+    p, q = (pd.DataFrame(list(pairs[c]), columns=["id", "name", "lat", "lon"]) for c in "pq")
+    h = np.sin(np.radians(q.lat - p.lat) / 2) ** 2 + np.cos(np.radians(p.lat)) * np.cos(np.radians(q.lat)) * np.sin(np.radians(q.lon - p.lon) / 2) ** 2
+    near = (2 * 6_371_008.8 * np.arcsin(np.sqrt(h)) <= 200) & (jaro_winklers(p.name, q.name, whole) >= 0.85)
+    want |= set(zip(p.id[near], q.id[near], strict=True))
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
