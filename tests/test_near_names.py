@@ -170,3 +170,19 @@ def test_fuzzy_edges_of_cut_cells_equal_brute_force(spark, monkeypatch, whole):
     near = (2 * 6_371_008.8 * np.arcsin(np.sqrt(h)) <= 200) & (jaro_winklers(p.name, q.name, whole) >= 0.85)
     want |= set(zip(p.id[near], q.id[near], strict=True))
     assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_all_edges_of_many_near_names_are_linear(spark):
+    """200 names at one point, each near all others of its kind: one edge a site, with the components of all pairs."""
+    rows = [(f"s{k:03}", f"{('acme steel', 'bayou farms')[k % 2]} {k * 7 if k % 10 else 'x' * k}", 29.5, -95.8) for k in range(200)]
+    sites = spark.createDataFrame(rows, "site_id string, name_norm string, lat double, lon double").selectExpr("*", "null as domain_key", "site_id as gh7")
+    pairs = dedupe.fuzzy_edges(sites).cache()
+    edges = dedupe.all_edges(sites)
+    parts = lambda e: sorted(tuple(r) for r in dedupe.connected_components(e).select("id", "component").collect())
+    assert parts(edges) == parts(pairs) and edges.count() < 200 < 5000 < pairs.count()
+    assert {r.rule for r in edges.select("rule").distinct().collect()} == {2}
+
+
+def test_lowest_follows_chains():
+    label = dedupe._lowest(np.arange(9), np.array([8, 7, 6, 3]), np.array([7, 6, 5, 2]))
+    assert list(dedupe._lowest(label, np.array([8]), np.array([3]))) == [0, 1, 2, 2, 4, 2, 2, 2, 2]
